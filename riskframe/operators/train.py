@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -36,13 +36,31 @@ SEED = 42
 def feature_stages(
     cols: Sequence[str], invalid: str = "error", standardise: bool = True
 ) -> list:
-    """Assemble ``cols`` into ``features``; ``invalid`` is error, skip or keep."""
-    if not standardise:
-        return [VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid=invalid)]
-    return [
-        VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid=invalid),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-    ]
+    """Assemble ``cols`` into ``features``.
+
+    ``invalid`` says what a null or NaN does: ``error``, ``skip`` its row, or
+    ``keep`` it as NaN.  Skipping is a filter with one condition per column
+    instead of the assembler's own: that one is a single condition over all
+    columns, from which the optimizer derives exponentially many variants once
+    the columns are projections of others.
+    """
+    stages = []
+    if invalid == "skip":
+        valid = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(double(`{c}`))" for c in cols)
+        stages.append(SQLTransformer(statement=f"SELECT * FROM __THIS__ WHERE {valid}"))
+    assembled = "raw_features" if standardise else "features"
+    stages.append(
+        VectorAssembler(
+            inputCols=list(cols),
+            outputCol=assembled,
+            handleInvalid="keep" if invalid == "keep" else "error",
+        )
+    )
+    if standardise:
+        stages.append(
+            StandardScaler(inputCol=assembled, outputCol="features", withMean=True, withStd=True)
+        )
+    return stages
 
 
 def gbt_pipeline(

@@ -48,6 +48,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write ``df`` once so that several consumers do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` once in the shared folder, so that its readers do not recompute it.
+
+    A Parquet table rather than ``checkpoint()``: readers scan only the columns
+    they need, and a checkpoint derives the constraints of its whole plan,
+    which takes exponentially long below an assembled vector of many columns.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
