@@ -66,12 +66,19 @@ def valid_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and sample standard deviation per column: one pass, one row back."""
-    row = df.agg(
-        *[F.avg(F.col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_samp(F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
+    """Mean and sample standard deviation per column: one pass, one row per column back.
+
+    The columns are turned into rows before the map-side aggregation; dozens of
+    moment aggregates side by side outgrow what the JVM compiles.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    moments = (
+        values.unpivot([], list(cols), "col", "value")
+        .groupBy("col")
+        .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    )
+    found = {row["col"]: (row["mean"], row["std"]) for row in moments.collect()}
+    return {c: found.get(c, (None, None)) for c in cols}
 
 
 def standardize(
