@@ -10,20 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
-from riskframe.session import shared_dir
+from riskframe.functions.columns import positive_probability
+from riskframe.operators import evaluate
+from riskframe.session import materialised, shared_dir
 from riskframe.sources.schema import LABEL, WEIGHT
 
 # The settings the published figures were made with.
@@ -130,7 +132,7 @@ def cross_validate(
     weight: str | None = WEIGHT,
     invalid: str = "skip",
     axes: Mapping[str, Sequence] = TUNING_GRID,
-    metric: str = "areaUnderPR",
+    metric: str = "pr_auc",
     parallelism: int = 1,
     partitions: int | None = None,
 ) -> CrossValidation:
@@ -143,6 +145,8 @@ def cross_validate(
     sends every row through a Python function).  Assembling and scaling do not
     depend on the settings, so they are fitted once per fold and their result
     is kept while that fold's settings are tried, ``parallelism`` at a time.
+    One query then ranks the fold's rows under all settings; ``metric`` is
+    ``pr_auc`` or ``roc_auc``.
     """
     rows = _training_input(train, [*cols, label, weight, fold], partitions)
     complete = _complete_folds(train, fold, label)
@@ -151,9 +155,6 @@ def cross_validate(
     *stages, trees = gbt_pipeline(cols, label, weight, invalid).getStages()
     settings = grid(axes)
     maps = [{trees.getParam(name): value for name, value in s.items()} for s in settings]
-    evaluator = BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol="rawPrediction", metricName=metric
-    )
     vectors = [c for c in ("features", label, weight) if c is not None]
     totals = [0.0] * len(settings)
     for i in range(k):
@@ -163,19 +164,21 @@ def cross_validate(
             features.transform(side).select(*vectors).persist(StorageLevel.MEMORY_AND_DISK)
             for side in (inside, rows.filter(F.col(fold) == i))
         )
-        models = trees.fitMultiple(fit_on, maps)
-
-        def attempt(_):
-            index, model = next(models)
-            return index, evaluator.evaluate(model.transform(judge_on))
-
+        attempts = trees.fitMultiple(fit_on, maps)
         with ThreadPool(parallelism) as pool:
-            for index, value in pool.imap_unordered(
-                inheritable_thread_target(train.sparkSession)(attempt), settings
-            ):
-                totals[index] += value / k
+            fitted = inheritable_thread_target(train.sparkSession)(lambda _: next(attempts))
+            models = dict(pool.map(fitted, settings))
         fit_on.unpersist()
+        judged = [
+            model.transform(judge_on).select(
+                F.lit(index).alias("setting"), label, positive_probability().alias("score")
+            )
+            for index, model in models.items()
+        ]
+        scored = materialised(reduce(DataFrame.unionByName, judged))
         judge_on.unpersist()
+        for row in evaluate.ranking(scored, label, by=["setting"]).collect():
+            totals[row["setting"]] += row[metric] / k
     best = settings[max(range(len(settings)), key=totals.__getitem__)]
     # One row per setting, so a local table is the right size for it.
     metrics = train.sparkSession.createDataFrame(
