@@ -30,6 +30,14 @@ from riskframe.sources import fixtures  # noqa: E402
 from riskframe.sources.schema import AMOUNT, BASE_FEATURES, COMPONENTS, LABEL, TIME  # noqa: E402
 from riskframe.sources.tables import write_table  # noqa: E402
 
+try:  # The training-data operators are an optional part.
+    import corpus_pipeline
+    from riskframe.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "riskframe.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
@@ -189,6 +197,11 @@ def _scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each reads whole tables below ``sf_dir``."""
+    extra = {} if llm is None else {**llm.QUERIES, "pipeline": corpus_pipeline.run}
+    return {**_queries(), **extra}
+
+
+def _queries() -> dict[str, Query]:
     return {
         # counts and exploratory queries
         "row_count": _on(_txn, profile.row_count),
@@ -452,6 +465,13 @@ def _metric(name: str, value: str, source: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL, for every query that SQL can express."""
+    extra = {} if llm is None else dict(llm.ORACLE_SQL)
+    if llm is not None and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**_oracle_sql(), **extra}
+
+
+def _oracle_sql() -> dict[str, str]:
     hour_rates = f"SELECT hour, {_RATE} FROM (SELECT *, {_HOUR} FROM txn) GROUP BY hour"
     class_distribution = """SELECT Class, count(*) AS count, round(avg(Amount), 2) AS avg_amount,
       round(min(Amount), 2) AS min_amount, round(max(Amount), 2) AS max_amount

@@ -9,7 +9,7 @@ from riskframe.session import materialised
 from riskframe.sources import fixtures
 from tests.conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry._queries(), entry._oracle_sql()
 TABLES = ["lineitem", "embeddings", "events"]
 
 
