@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm import packing, tokenfiles
+from riskframe.llm import decontaminate, packing, preferences, quality, shards, tokenfiles, urls
 from riskframe.llm.common import table
 from riskframe.session import shared_path
 
@@ -17,15 +18,113 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1, keep_ids=False)
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _spans(spans: str) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])))
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.preference_pairs(*preferences.stale_replies(table(spark, sf_dir, "conversations")))
+    return pairs.select(
+        "pair_id",
+        "n_prefix",
+        "prompt",
+        "chosen",
+        "rejected",
+        _spans("chosen_spans").alias("chosen_mask"),
+        _spans("rejected_spans").alias("rejected_mask"),
+        "paired",
+    )
+
+
+def held_out(doc_id: str | Column) -> Column:
+    """The rows that no quality model may learn from."""
+    remainder = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+    return F.coalesce(remainder == 1, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    scored = quality.score(docs, quality.fit(docs, known), keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, end_id=0)
     return tokenfiles.checksums(tokenfiles.read_tokens(spark, path))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.scan(docs, items, window=10, keep=["doc_id"]))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_kd_shards": op3_kd_shards,
+    "op4_preferences": op4_preferences,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op8_decontamination": op8_decontamination,
+    "op9_urls": op9_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TURNS = r"""
+WITH marked AS (
+  SELECT conv_id, turn, role, text,
+    max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS last_turn,
+    last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER earlier AS reply,
+    lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+  FROM conversations
+  WINDOW earlier AS (PARTITION BY conv_id ORDER BY turn, role, text
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role,
+    last_turn IS NOT NULL AS paired, text AS c,
+    CASE WHEN role = 'assistant' AND turn = last_turn THEN coalesce(reply, before, '') ELSE text END AS r
+  FROM marked WHERE last_turn IS NULL OR turn <= last_turn),
+prefix AS (
+  SELECT conv_id, bool_and(paired) AS paired,
+    CASE WHEN NOT bool_and(paired) THEN 0
+      ELSE coalesce(min(CASE WHEN c <> r THEN i END) - 1, count(*)) END AS n
+  FROM turns GROUP BY conv_id),
+lines AS (
+  SELECT conv_id, i, n, p.paired, role,
+    '<|' || role || E'|>\n' || c || E'<|end|>\n' AS c, '<|' || role || E'|>\n' || r || E'<|end|>\n' AS r,
+    length(role) + 5 AS head
+  FROM turns t JOIN prefix p USING (conv_id)),
+placed AS (
+  SELECT *, sum(length(c)) OVER w AS c_end, sum(length(r)) OVER w AS r_end
+  FROM lines WINDOW w AS (PARTITION BY conv_id, i > n ORDER BY i))
+SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prefix,
+  coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt,
+  coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE i > n), '') AS chosen,
+  coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE i > n AND paired), '') AS rejected,
+  coalesce(string_agg((c_end - length(c) + head) || '-' || c_end, ',' ORDER BY i)
+    FILTER (WHERE i > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((r_end - length(r) + head) || '-' || r_end, ',' ORDER BY i)
+    FILTER (WHERE i > n AND role = 'assistant' AND paired), '') AS rejected_mask,
+  paired
+FROM placed GROUP BY conv_id, n, paired
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_preferences": _TURNS}
