@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, packing, preferences, quality, shards, tokenfiles, urls
+from riskframe.llm import decontaminate, packing, preferences, quality, shards, surrogates, tokenfiles, urls
 from riskframe.llm.common import table
 from riskframe.session import shared_path
 
+#: The key of the registered queries; a caller passes one of their own and keeps it secret.
+KEY = "surrogates"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -68,6 +71,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(tokenfiles.read_tokens(spark, path))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.checked(surrogates.entities(table(spark, sf_dir, "documents"), KEY))
+    return found.select(
+        "doc_id",
+        "ordinal",
+        "kind",
+        "start",
+        F.length("entity").alias("length"),
+        F.crc32(F.col("entity").cast("binary")).alias("entity_crc32"),
+        "surrogate",
+        "collides",
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.scan(docs, items, window=10, keep=["doc_id"]))
@@ -84,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op4_preferences": op4_preferences,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_surrogates": op7_surrogates,
     "op8_decontamination": op8_decontamination,
     "op9_urls": op9_urls,
 }
