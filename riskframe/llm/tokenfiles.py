@@ -100,11 +100,14 @@ def write_tokens(
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
-    """``(at, before)``: the ids in all files before; one row per file."""
+    """``(at, before)``: the ids in all files before.
+
+    One row per file, of which the writer makes no more than shuffle partitions: a side to broadcast.
+    """
     sizes = spark.read.parquet(path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        F.col("file").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    return F.broadcast(
+        sizes.select(F.col("file").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
 
 
