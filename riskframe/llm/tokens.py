@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 CACHE_WORDS = 500_000
-JOINED = 256
+JOINED = 64
 
 _AFTER_BLANK = re.compile(r"\s ")
 _BREAK = re.compile(r"(?<=\S) ")
@@ -56,7 +57,9 @@ class Encoder:
         """Have ``cache`` hold all of ``words``, each encoded with ``lead`` before it."""
         missing = words.difference(cache)
         if len(cache) + len(missing) > CACHE_WORDS:
-            kept = {word: cache[word] for word in words if word in cache}
+            # Frequent words came early, and a dictionary keeps that order.
+            kept = dict(islice(cache.items(), CACHE_WORDS // 2))
+            kept.update((word, cache[word]) for word in words if word in cache)
             cache.clear()
             cache.update(kept)
         plain = []
