@@ -1,26 +1,68 @@
-"""From raw documents to packed training sequences, one stage after another."""
+"""From raw documents to packed training sequences, one stage after another.
+
+Every stage but the last returns the columns of ``documents``; each works on the rows its predecessor
+kept.  A document that is rejected, a further copy of one that stays, and one with a passage of the
+benchmark are dropped; personal data is replaced; what is left is packed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from riskframe.llm import packing
+from riskframe.llm import decontaminate, forest, packing, quality, surrogates
+from riskframe.llm.common import table
+from riskframe.llm.queries import KEY
 from riskframe.session import materialised
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on five-word shingles, that of least identifier."""
+    found = forest.near_duplicates(docs, width=5)
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # Rows that share an identifier are one document.
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = chosen.withColumn("__row", F.row_number().over(same))
+    return first.filter((F.col("__row") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data, and their number of characters counted again."""
+    return surrogates.replaced(docs, KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences with their ids."""
+    return packing.pack(docs, window=2048, end_id=1)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", accepted),
+    ("near-dedup", distinct),
+    ("decontamination", decontaminated),
+    ("surrogates", private),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialised(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenising and language rules have no SQL form; tests hold the stages against brute force.
+#: Tokenising, hashing and learning have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

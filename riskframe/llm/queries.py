@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, packing, preferences, quality, shards, surrogates, tokenfiles, urls
+from riskframe.llm import decontaminate, forest, neighbours, packing, preferences, quality, shards, surrogates, tokenfiles, urls
 from riskframe.llm.common import table
 from riskframe.session import shared_path
 
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1, keep_ids=False)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return found.select(
@@ -95,8 +100,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_neighbours": op2_neighbours,
     "op3_kd_shards": op3_kd_shards,
     "op4_preferences": op4_preferences,
     "op5_quality": op5_quality,
@@ -104,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op7_surrogates": op7_surrogates,
     "op8_decontamination": op8_decontamination,
     "op9_urls": op9_urls,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _TURNS = r"""
