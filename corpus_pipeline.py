@@ -25,12 +25,12 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles, that of least identifier."""
     found = forest.near_duplicates(docs, width=5)
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # Rows that share an identifier are one document.
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    # Rows that share an identifier are one document; rows without one are all different.
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = chosen.withColumn("__row", F.row_number().over(same))
-    return first.filter((F.col("__row") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    first = chosen.withColumn("__row", F.row_number().over(same)).filter(F.col("__row") == 1)
+    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
