@@ -11,7 +11,9 @@ share it, the neighbours are those with longer common prefixes, so the depth fol
 *Links.*  Candidates are confirmed by the size of the intersection of their full sets, in rounds: first
 every class's most promising ones (found in the most trees), then, once linked classes are merged,
 what still lies between different components.  Each pair not confirmed lies inside a component that
-links have connected already, so rounds save work and lose no link among candidates.
+links have connected already, so rounds save work and lose no link.  Last, every region that holds
+more than ``REACH`` neighbours of different components is compared whole, in chunks, by the number of
+equal minima; regions of more than ``LARGE`` keys first fall apart at greater depth.
 
 Components come from alternating large and small stars, written to the shared folder in every step.
 
@@ -38,6 +40,9 @@ SHALLOW = 5
 REACH = 24
 FIRST = (2, 8)
 PERCENT = 80
+LARGE = 20_000
+CHUNK = 1024
+SIGMAS = 4.5
 SEED = 11
 
 _LEVEL = np.dtype(">u2")
@@ -176,7 +181,11 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of sorted rows: up to ``reach`` rows apart, one prefix, sizes that allow a link."""
+    """Pairs of sorted rows with one prefix, up to ``reach`` rows apart.
+
+    ``fits``: the sizes allow a link.  ``dense``: the rows are ``reach`` apart, so either may have
+    further neighbours in its region; every row that has some is in such a pair.
+    """
     held: list[np.ndarray] = []
     for batch in batches:
         n = batch.num_rows
@@ -196,11 +205,12 @@ def _prefixed(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> It
             same = (tree[i] == tree[j]) & (key[i] == key[j]).all(axis=1) & (rep[i] != rep[j])
             i, j = i[same], j[same]
             fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            i, j = i[fits], j[fits]
+            dense = np.full(len(i), back == reach)
+            i, j, fits, dense = (x[fits | dense] for x in (i, j, fits, dense))
             if i.size:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"]
-                )
+                a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+                columns = [pa.array(x) for x in (a, b, fits, dense)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "fits", "dense"])
         held = [r[-reach:] for r in rows]
 
 
@@ -250,6 +260,67 @@ def _between(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return out.filter("ca <> cb")
 
 
+def _region_pairs(
+    near: DataFrame, classes: DataFrame, joined: DataFrame | None, percent: int
+) -> DataFrame:
+    """Pairs of different components in dense regions whose minima are equal often enough for a link."""
+    ends = near.filter("dense").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if joined is None:
+        ends = ends.withColumn("component", F.col("node"))
+    else:
+        ends = ends.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = classes.join(ends, F.col("rep") == F.col("node")).select("rep", "n", "keys", "component")
+    trees = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.struct(t.alias("tree"), F.substring("keys", t * _KEY_BYTES + 1, F.lit(_KEY_BYTES)).alias("key")),
+    )
+    planted = rows.select("rep", "component", F.explode(trees).alias("t")).select("rep", "component", "t.*")
+    region = held = differ = None
+    for depth in range(DEPTH, SHALLOW - 1, -1):
+        prefix = F.substring("key", 1, depth * _LEVEL.itemsize)
+        whole = Window.partitionBy("tree", prefix)
+        count = F.count(F.lit(1)).over(whole)
+        mixed = F.min("component").over(whole) < F.max("component").over(whole)
+        small = F.lit(True) if depth == DEPTH else count <= LARGE
+        region = F.when(small, prefix).otherwise(region)
+        held = F.when(small, count).otherwise(held)
+        differ = F.when(small, mixed).otherwise(differ)
+    placed = planted.select("rep", "tree", region.alias("region"), held.alias("held"), differ.alias("differ"))
+    placed = placed.filter("differ").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("int"))
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keyed = dealt.select("rep", "tree", "region", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = keyed.join(rows, "rep")
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _alike(group, percent)
+
+    found = full.groupBy("tree", "region", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return found.distinct()
+
+
+def _alike(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs of one region's chunks, between components, that may be similar enough."""
+    rep, n, own = (group[c].to_numpy() for c in ("rep", "n", "own"))
+    component = group["component"].to_numpy()
+    keys = np.frombuffer(b"".join(group["keys"].to_pylist()), _LEVEL).reshape(len(rep), TREES, DEPTH)
+    minima = np.ascontiguousarray(keys[:, :, :SHALLOW].reshape(len(rep), -1).astype(np.uint16))
+    count, share = minima.shape[1], percent / 100
+    least = count * share - SIGMAS * np.sqrt(count * share * (1 - share))
+    across = group["lo"][0].as_py() != group["hi"][0].as_py()
+    a, b = [], []
+    for i in range(len(rep)):
+        j = np.arange(i + 1, len(rep))
+        j = j[component[j] != component[i]]
+        if across:
+            j = j[own[j] != own[i]]
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        j = j[(minima[j] == minima[i]).sum(axis=1) >= least]
+        a.append(np.minimum(rep[j], rep[i]))
+        b.append(np.maximum(rep[j], rep[i]))
+    return pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
@@ -285,10 +356,15 @@ def near_duplicates(
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planted = classes.select("rep", "n", "keys").mapInArrow(_planted, "tree int, key binary, rep long, n long")
     ordered = planted.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "rep")
-    found = ordered.mapInArrow(lambda batches: _prefixed(batches, REACH, percent), "a long, b long")
-    pairs = materialised(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+    found = ordered.mapInArrow(
+        lambda batches: _prefixed(batches, REACH, percent), "a long, b long, fits boolean, dense boolean"
+    )
+    near = materialised(
+        found.groupBy("a", "b").agg(F.count_if("fits").alias("trees"), F.max("dense").alias("dense"))
+    )
+    pairs = near.filter("trees > 0")
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = classes.join(nodes, F.col("rep") == F.col("node"), "left_semi").select("rep", "label")
     shown = texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "label", "text")
 
@@ -301,9 +377,11 @@ def near_duplicates(
         shown.mapInArrow(gather, "node long, label long, set binary").dropDuplicates(["node", "label"])
     )
     links, joined = None, None
-    for most in (*FIRST, None):
-        rest = _between(pairs, joined)
-        if most is not None:
+    for most in (*FIRST, "all", "regions"):
+        seen = most == "regions"
+        tried = _region_pairs(near, classes, joined, percent).join(pairs, ["a", "b"], "left_anti") if seen else pairs
+        rest = _between(tried, joined)
+        if isinstance(most, int):
             by_a, by_b = (Window.partitionBy(c).orderBy(F.desc("trees"), "a", "b") for c in ("a", "b"))
             rest = rest.withColumns({"i": F.row_number().over(by_a), "j": F.row_number().over(by_b)})
             rest = rest.filter((F.col("i") <= most) | (F.col("j") <= most))
