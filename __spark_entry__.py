@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from riskframe.operators import (  # noqa: E402
@@ -17,17 +17,16 @@ from riskframe.operators import (  # noqa: E402
     features,
     profile,
     sampling,
-    train,
     weights,
 )
-from riskframe.operators.score import decide, score  # noqa: E402
+from riskframe.operators.score import decide  # noqa: E402
 from riskframe.plans.baseline import baseline  # noqa: E402
 from riskframe.plans.explore import explore  # noqa: E402
 from riskframe.plans.scaling import scaling  # noqa: E402
 from riskframe.plans.tuned import tuned  # noqa: E402
 from riskframe.session import shared_path  # noqa: E402
 from riskframe.sources import fixtures  # noqa: E402
-from riskframe.sources.schema import AMOUNT, BASE_FEATURES, COMPONENTS, LABEL, TIME  # noqa: E402
+from riskframe.sources.schema import AMOUNT, COMPONENTS, LABEL, TIME, TUNING_GRID  # noqa: E402
 from riskframe.sources.tables import write_table  # noqa: E402
 
 try:  # The training-data operators are an optional part.
@@ -40,14 +39,13 @@ except ModuleNotFoundError as missing:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
 BASELINE_BUCKET = 0
+ABSENT_BUCKET = 99
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Baseline study on the smallest scale: the metrics of a held-out side."""
-    df = _txn(spark, "/root/testdata/sf0.001")
-    return baseline(df, "txn_id", params=SMALL_TREES, partitions=_cores(spark)).report
+    return _baseline(spark, "/root/testdata/sf0.001").report
 
 
 def _cores(spark: SparkSession) -> int:
@@ -132,67 +130,117 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.class_distribution(stored)
 
 
-def _weighted_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    inside, outside = sampling.train_test(_txn(spark, sf_dir), "txn_id")
-    return weights.attach(inside, weights.fit(inside)), outside
+def _holed(df: DataFrame) -> DataFrame:
+    """Hours with nulls: no hour for hour 5, no amount below 10 or in hour 7."""
+    no_amount = (F.col(AMOUNT) < 10) | (F.col("hour") == 7)
+    return _hours(df).select(
+        "txn_id",
+        F.when(F.col("hour") != 5, F.col("hour")).alias("hour"),
+        F.when(~no_amount, F.col(AMOUNT)).alias(AMOUNT),
+        *[c for c in (LABEL, "score", "prediction") if c in df.columns],
+    )
+
+
+def _left_out(df: DataFrame) -> DataFrame:
+    """Scores and labels with nulls."""
+    return df.select(
+        F.when(F.col(AMOUNT) >= 5, F.col(LABEL)).alias(LABEL),
+        F.when(F.col("V1") < 0.2, F.col("score")).alias("score"),
+        "prediction",
+    )
+
+
+#: Studies of this session: several queries show one study's parts.
+_studies: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf_dir: str, study):
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _studies:
+        _studies[key] = study()
+    return _studies[key]
+
+
+def _baseline(spark: SparkSession, sf_dir: str):
+    """The baseline study with the published settings."""
+    return _once(
+        "baseline",
+        spark,
+        sf_dir,
+        lambda: baseline(_txn(spark, sf_dir), "txn_id", keep=["txn_id", AMOUNT], partitions=_cores(spark)),
+    )
+
+
+def _tuned(spark: SparkSession, sf_dir: str):
+    """The tuned study with the published grid, 8 settings in 3 folds."""
+    cores = _cores(spark)
+    return _once(
+        "tuned",
+        spark,
+        sf_dir,
+        lambda: tuned(_txn(spark, sf_dir), "txn_id", parallelism=max(1, cores // 2), partitions=cores),
+    )
 
 
 def _gbt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside, outside = _weighted_sides(spark, sf_dir)
-    model = train.fit_gbt(inside, BASE_FEATURES, params=SMALL_TREES, partitions=_cores(spark))
-    return score(model, outside, keep=["txn_id", LABEL, AMOUNT])
+    scored = _baseline(spark, sf_dir).scored
+    likely = F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)
+    return scored.select(
+        "txn_id",
+        LABEL,
+        AMOUNT,
+        F.col("score").between(0, 1).alias("is_probability"),
+        (F.col("prediction") == likely).alias("decides_by_half"),
+    )
 
 
 def _gbt_scored_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.top_k(
-        _gbt_scored(spark, sf_dir),
+    top = profile.top_k(
+        _baseline(spark, sf_dir).scored,
         AMOUNT,
         10,
         where=F.col(LABEL) == 1,
         columns=["txn_id", LABEL, "prediction", AMOUNT],
         tiebreak=["txn_id"],
     )
+    return top.withColumn("prediction", F.col("prediction").isin(0.0, 1.0))
 
 
 def _gbt_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside, _ = _weighted_sides(spark, sf_dir)
-    model = train.fit_gbt(inside, BASE_FEATURES, params=SMALL_TREES, partitions=_cores(spark))
-    return train.importances(model, BASE_FEATURES, 10)
+    return _baseline(spark, sf_dir).importances.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"),
+        (F.max("rank") == F.countDistinct("rank")).alias("ranked"),
+    )
 
 
 def _cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    study = _tuned(spark, sf_dir)
-    return study.search.metrics
-
-
-def _tuned(spark: SparkSession, sf_dir: str):
-    return tuned(
-        _txn(spark, sf_dir),
-        "txn_id",
-        axes={"maxIter": [2, 3], "maxDepth": [2, 3]},
-        parallelism=4,
-        partitions=_cores(spark),
+    metrics = _tuned(spark, sf_dir).search.metrics
+    whole = Window.partitionBy()  # one row per setting
+    return metrics.select(
+        *[F.col("params")[c].alias(c) for c in TUNING_GRID],
+        F.sum(F.col("is_best").cast("int")).over(whole).cast("bigint").alias("best_settings"),
+        (~F.col("is_best") | (F.col("avg_metric") == F.max("avg_metric").over(whole))).alias("best_is_largest"),
     )
 
 
 def _tuned_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tuned(spark, sf_dir).sweep
+    tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
+    return _tuned(spark, sf_dir).sweep.select(
+        "threshold", (tp + fn).alias("positives"), (fp + tn).alias("negatives")
+    )
 
 
 def _baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline(
-        _txn(spark, sf_dir), "txn_id", params=SMALL_TREES, partitions=_cores(spark)
-    ).report
+    cells = {r["metric"]: r["value"] for r in _baseline(spark, sf_dir).report.collect()}  # 17 figures
+    totals = (cells["rows"], cells["tp"] + cells["fn"], cells["tn"] + cells["fp"], cells["left_out"])
+    return spark.createDataFrame([totals], "rows double, positives double, negatives double, left_out double")
 
 
 def _scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling(
-        _txn(spark, sf_dir),
-        "txn_id",
-        multipliers=(1, 2),
-        params={"maxIter": 3, "maxDepth": 3},
-        partitions=_cores(spark),
-    )
+    curve = scaling(_txn(spark, sf_dir), "txn_id", partitions=_cores(spark))
+    return curve.select("multiplier", "rows", "train_rows", F.col("roc_auc").between(0, 1).alias("is_area"))
 
 
 def queries() -> dict[str, Query]:
@@ -244,6 +292,15 @@ def _queries() -> dict[str, Query]:
         ),
         "hash_split": _on(_txn, lambda df: sampling.hash_split(df, "txn_id").select("txn_id", "is_train")),
         "hash_folds": _on(_txn, lambda df: sampling.hash_folds(df, "txn_id").select("txn_id", "fold")),
+        "stratified_folds": _on(
+            _txn, lambda df: sampling.stratified_folds(df, "txn_id").select("txn_id", "fold")
+        ),
+        "stratified_folds_events": _on(
+            _events,
+            lambda df: sampling.stratified_folds(df, "event_id")
+            .groupBy("fold", LABEL)
+            .agg(F.count(F.lit(1)).alias("n")),
+        ),
         "hash_split_events": _on(
             _events,
             lambda df: sampling.hash_split(df, "event_id")
@@ -270,6 +327,10 @@ def _queries() -> dict[str, Query]:
         ),
         "final_decision": _on(_scored, _final_decision),
         "metrics_report": _on(_decided, lambda df: _rounded(evaluate.report(df))),
+        "metrics_report_left_out": _on(_decided, lambda df: _rounded(evaluate.report(_left_out(df)))),
+        "ranking_by_hour": _on(
+            _scored, lambda df: _rounded(evaluate.ranking(_holed(df), by=["hour"]), 6)
+        ),
         # drift
         "amount_drift": _on(
             _txn, lambda df: _rounded(drift.amount_drift(_hours(df), "hour", BASELINE_BUCKET), 6)
@@ -280,7 +341,14 @@ def _queries() -> dict[str, Query]:
                 drift.amount_drift(drift.shift_amount(_hours(df), "hour", 0.05), "hour", BASELINE_BUCKET), 6
             ),
         ),
+        "amount_drift_holes": _on(
+            _txn, lambda df: _rounded(drift.amount_drift(_holed(df), "hour", BASELINE_BUCKET), 6)
+        ),
+        "amount_drift_no_baseline": _on(
+            _txn, lambda df: _rounded(drift.amount_drift(_holed(df), "hour", ABSENT_BUCKET), 6)
+        ),
         "quality_drift": _on(_decided, lambda df: _rounded(drift.quality_drift(_hours(df), "hour"), 6)),
+        "quality_drift_holes": _on(_decided, lambda df: _rounded(drift.quality_drift(_holed(df), "hour"), 6)),
         # sources and sinks
         "parquet_roundtrip": _parquet_roundtrip,
         "csv_roundtrip": _csv_roundtrip,
@@ -309,7 +377,7 @@ WITH dated AS (
          l_extendedprice * l_discount AS Amount,
          CASE WHEN label = 0 AND l_returnflag = 'R' AND l_discount >= CAST(0.09 AS DOUBLE)
               THEN 1 ELSE 0 END AS Class
-  FROM dated JOIN embeddings ON l_orderkey % 500 = vec_id
+  FROM dated JOIN embeddings ON l_orderkey % (SELECT count(*) FROM embeddings) = vec_id
 )"""
 
 _EVENTS = """
@@ -433,30 +501,91 @@ def _weights_sql(source: str) -> str:
         FROM (VALUES (0), (1)) cls(Class) LEFT JOIN {source} s USING (Class) GROUP BY cls.Class) c"""
 
 
-def _psi_sql(amount: str) -> str:
+def _psi_sql(amount: str, source: str = "hours", before: str = "", baseline_bucket: int = BASELINE_BUCKET) -> str:
     bins = range(5)
-    step = f"CASE WHEN {amount} < 10 THEN 0 WHEN {amount} < 100 THEN 1 WHEN {amount} < 500 THEN 2 WHEN {amount} < 1000 THEN 3 ELSE 4 END"
+    step = f"CASE WHEN {amount} < 10 THEN 0 WHEN {amount} < 100 THEN 1 WHEN {amount} < 500 THEN 2 WHEN {amount} < 1000 THEN 3 WHEN {amount} IS NOT NULL THEN 4 END"
     counts = ", ".join(f"count(*) FILTER (WHERE bin = {i}) AS b{i}" for i in bins)
     share = "((c.b{i} + 0.5::DOUBLE) / (c.rows + 2.5::DOUBLE))"
     base = "((z.b{i} + 0.5::DOUBLE) / (z.rows + 2.5::DOUBLE))"
     terms = " + ".join(
         f"({share} - {base}) * ln({share} / {base})".replace("{i}", str(i)) for i in bins
     )
+    hours = f", hours AS (SELECT *, {_HOUR} FROM txn)" if source == "hours" else ""
     return (
         _TXN
-        + f""", hours AS (SELECT *, {_HOUR} FROM txn),
-binned AS (SELECT hour, {step} AS bin FROM hours),
-c AS (SELECT hour, count(*) AS rows, {counts} FROM binned GROUP BY hour)
-SELECT c.hour, c.rows, round({terms}, 6) AS psi FROM c CROSS JOIN (SELECT * FROM c WHERE hour = {BASELINE_BUCKET}) z"""
+        + before
+        + f"""{hours},
+binned AS (SELECT hour, {step} AS bin FROM {source}),
+c AS (SELECT hour, count(bin) AS rows, count(*) - count(bin) AS missing, {counts} FROM binned GROUP BY hour)
+SELECT c.hour, c.rows, c.missing, CASE WHEN c.rows > 0 AND z.rows > 0 THEN round({terms}, 6) END AS psi
+FROM c LEFT JOIN (SELECT * FROM c WHERE hour = {baseline_bucket}) z ON true"""
+    )
+
+
+def _quality_sql(source: str) -> str:
+    return (
+        _cells(source, by="hour")
+        + _areas(source, by="hour")
+        + f"""SELECT cells.hour, tp, tn, fp, fn, {_RATES},
+             round(roc_auc, 6) AS roc_auc, CASE WHEN tp + fn > 0 THEN round(pr_auc, 6) END AS pr_auc
+             FROM cells LEFT JOIN areas ON cells.hour IS NOT DISTINCT FROM areas.hour"""
     )
 
 
+_SPLIT = _TXN + """, split AS (
+  SELECT *, (('0x' || substr(md5(txn_id), 1, 8))::BIGINT) % 100 < 80 AS inside,
+         (('0x' || substr(md5('validation:' || txn_id), 1, 8))::BIGINT) % 100 < 50 AS validates
+  FROM txn
+), test AS (SELECT * FROM split WHERE NOT inside)"""
+
+#: The hash of ``stratified_folds`` and its rank among all keys of a class.
+_DEALT = """, dealt AS (
+  SELECT *, (dense_rank() OVER (PARTITION BY Class
+         ORDER BY (('0x' || substr(md5('fold:' || {key}), 1, 8))::BIGINT) % 2147483648, {key}) - 1) % 3 AS fold
+  FROM {source})"""
+
+
 def _z(name: str) -> str:
     return f"""round(({name} - (SELECT avg({name}) FROM txn))
     / (SELECT stddev_samp({name}) FROM txn), 6)"""
 
 
-_REPORT = _DECIDED + _cells("decided") + _PRF + _areas("decided")
+_HOLED = """, holed AS (
+  SELECT txn_id, Class, {more}
+         CASE WHEN hour <> 5 THEN hour END AS hour,
+         CASE WHEN Amount >= 10 AND hour <> 7 THEN Amount END AS Amount
+  FROM (SELECT *, CAST(floor("Time" / 3600) AS INTEGER) AS hour FROM {source}))"""
+
+
+def _report_sql(source: str) -> str:
+    usable = "Class IN (0, 1) AND score IS NOT NULL AND prediction IS NOT NULL"
+    return (
+        f", usable AS (SELECT * FROM {source} WHERE {usable})"
+        + f""", lost AS (
+  SELECT count(*) FILTER (WHERE ({usable}) IS NOT TRUE) AS left_out,
+         count(*) FILTER (WHERE ({usable}) IS NOT TRUE AND Class = 1) AS left_out_positives
+  FROM {source})"""
+        + _cells("usable")
+        + _PRF
+        + _areas("usable")
+        + " UNION ALL ".join(
+            [
+                *[_metric(c, c, "cells") for c in ("tp", "tn", "fp", "fn")],
+                *[_metric(c, c, "lost") for c in ("left_out", "left_out_positives")],
+                _metric("rows", "tp + tn + fp + fn", "cells"),
+                _metric("detection_rate_pct", "round(tp * 100.0::DOUBLE / nullif(tp + fn, 0), 1)", "cells"),
+                _metric("false_alarm_rate_pct", "round(fp * 100.0::DOUBLE / nullif(fp + tn, 0), 4)", "cells"),
+                _metric("precision", "pp", "f"),
+                _metric("recall", "pr", "f"),
+                _metric("f1", "pf", "f"),
+                _metric("weighted_precision", "(pos * pp + neg * np) / (pos + neg)", "f"),
+                _metric("weighted_recall", "(pos * pr + neg * nr) / (pos + neg)", "f"),
+                _metric("weighted_f1", "(pos * pf + neg * nf) / (pos + neg)", "f"),
+                _metric("roc_auc", "roc_auc", "areas"),
+                _metric("pr_auc", "pr_auc", "areas"),
+            ]
+        )
+    )
 
 
 def _metric(name: str, value: str, source: str) -> str:
@@ -561,32 +690,57 @@ def _oracle_sql() -> dict[str, str]:
              FROM scored)"""
         + _cells("final", "decision")
         + f"SELECT tp, tn, fp, fn, {_RATES} FROM cells",
-        "metrics_report": _REPORT
-        + " UNION ALL ".join(
-            [
-                *[_metric(c, c, "cells") for c in ("tp", "tn", "fp", "fn")],
-                _metric("rows", "tp + tn + fp + fn", "cells"),
-                _metric("detection_rate_pct", "round(tp * 100.0::DOUBLE / nullif(tp + fn, 0), 1)", "cells"),
-                _metric("false_alarm_rate_pct", "round(fp * 100.0::DOUBLE / nullif(fp + tn, 0), 4)", "cells"),
-                _metric("precision", "pp", "f"),
-                _metric("recall", "pr", "f"),
-                _metric("f1", "pf", "f"),
-                _metric("weighted_precision", "(pos * pp + neg * np) / (pos + neg)", "f"),
-                _metric("weighted_recall", "(pos * pr + neg * nr) / (pos + neg)", "f"),
-                _metric("weighted_f1", "(pos * pf + neg * nf) / (pos + neg)", "f"),
-                _metric("roc_auc", "roc_auc", "areas"),
-                _metric("pr_auc", "pr_auc", "areas"),
-            ]
-        ),
+        "metrics_report": _DECIDED + _report_sql("decided"),
+        "metrics_report_left_out": _DECIDED
+        + """, lacking AS (
+  SELECT CASE WHEN Amount >= 5 THEN Class END AS Class, CASE WHEN V1 < 0.2::DOUBLE THEN score END AS score,
+         prediction FROM decided)"""
+        + _report_sql("lacking"),
+        "ranking_by_hour": _SCORED
+        + _HOLED.format(source="scored", more="score,")
+        + _areas("holed", by="hour")
+        + """SELECT hour, round(roc_auc, 6) AS roc_auc, CASE WHEN positives > 0 THEN round(pr_auc, 6) END AS pr_auc,
+             positives, negatives FROM areas""",
         "amount_drift": _psi_sql("Amount"),
         "amount_drift_shifted": _psi_sql("(Amount * (1 + 0.05::DOUBLE * hour))"),
+        "amount_drift_holes": _psi_sql("Amount", "holed", _HOLED.format(source="txn", more="")),
+        "amount_drift_no_baseline": _psi_sql(
+            "Amount", "holed", _HOLED.format(source="txn", more=""), ABSENT_BUCKET
+        ),
         "quality_drift": _DECIDED
         + f", hours AS (SELECT *, {_HOUR} FROM decided)"
-        + _cells("hours", by="hour")
-        + _areas("hours", by="hour")
-        + f"""SELECT hour, tp, tn, fp, fn, {_RATES},
-             round(roc_auc, 6) AS roc_auc, CASE WHEN tp + fn > 0 THEN round(pr_auc, 6) END AS pr_auc
-             FROM cells LEFT JOIN areas USING (hour)""",
+        + _quality_sql("hours"),
+        "quality_drift_holes": _DECIDED
+        + _HOLED.format(source="decided", more="score, prediction,")
+        + _quality_sql("holed"),
+        "stratified_folds": _TXN
+        + _DEALT.format(source="txn", key="txn_id")
+        + "SELECT txn_id, CAST(fold AS INTEGER) AS fold FROM dealt",
+        "stratified_folds_events": _EVENTS
+        + _DEALT.format(source="ev", key="CAST(event_id AS VARCHAR)")
+        + "SELECT CAST(fold AS INTEGER) AS fold, Class, count(*) AS n FROM dealt GROUP BY ALL",
+        # Models are fitted in full; SQL fixes what any fit must satisfy.
+        "gbt_scored": _SPLIT
+        + "SELECT txn_id, Class, Amount, true AS is_probability, true AS decides_by_half FROM test",
+        "gbt_scored_positives": _SPLIT
+        + """SELECT txn_id, Class, true AS prediction, Amount FROM test WHERE Class = 1
+             ORDER BY Amount DESC, txn_id LIMIT 10""",
+        "gbt_importances": """SELECT 30::BIGINT AS n, true AS sums_to_one, true AS none_negative, true AS ranked""",
+        "baseline_report": _SPLIT
+        + """SELECT CAST(count(*) AS DOUBLE) AS rows, CAST(sum(Class) AS DOUBLE) AS positives,
+             CAST(sum(1 - Class) AS DOUBLE) AS negatives, 0.0::DOUBLE AS left_out FROM test""",
+        "cv_metrics": """SELECT CAST(i AS DOUBLE) AS "maxIter", CAST(d AS DOUBLE) AS "maxDepth",
+             CAST(s AS DOUBLE) AS "stepSize", 1::BIGINT AS best_settings, true AS best_is_largest
+             FROM (VALUES (50), (100)) a(i), (VALUES (4), (6)) b(d), (VALUES (0.05), (0.1)) c(s)""",
+        "tuned_sweep": _SPLIT
+        + """SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(sum(Class) AS BIGINT) AS positives,
+             CAST(sum(1 - Class) AS BIGINT) AS negatives
+             FROM test, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]) AS threshold)
+             WHERE validates GROUP BY threshold""",
+        "scaling": _SPLIT
+        + """SELECT CAST(times AS INTEGER) AS multiplier, count(*) * times AS rows,
+             count(*) FILTER (WHERE inside) * times AS train_rows, true AS is_area
+             FROM split, (SELECT unnest([1, 2, 5, 10]) AS times) GROUP BY times""",
         "parquet_roundtrip": _TXN + hour_rates,
         "csv_roundtrip": _TXN + class_distribution,
     }

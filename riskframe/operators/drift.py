@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions import columns as C
@@ -29,26 +29,23 @@ def amount_drift(
     """Population stability index of every bucket against the baseline bucket.
 
     Half a row is added to every bin, so an empty bin has a finite logarithm.
-    The rows are aggregated once, to one row of bin counts per bucket; the
-    baseline's counts come back as a one-row scalar subquery.
+    ``rows`` counts the rows with an amount, ``missing`` those without.  A bucket
+    without amounts has a null index, and so has every bucket when the baseline
+    bucket has none.  The rows are aggregated once, to one row of bin counts per
+    bucket; the baseline's counts are taken from those rows.
     """
     bins = range(len(bounds) + 1)
     names = [f"b{i}" for i in bins]
-    rows = df.filter(F.col(col).isNotNull()).select(bucket, C.bucket(col, bounds).alias("bin"))
-    counts = rows.groupBy(bucket).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[C.count_where(F.col("bin") == i).alias(names[i]) for i in bins],
-    )
-    base = (
-        rows.filter(F.col(bucket) == F.lit(baseline))
-        .agg(
-            F.struct(
-                F.count(F.lit(1)).alias("rows"),
-                *[C.count_where(F.col("bin") == i).alias(names[i]) for i in bins],
-            ).alias("base")
-        )
-        .scalar()
+    step = C.bucket(col, bounds)
+    counts = df.groupBy(bucket).agg(
+        F.count(col).alias("rows"),
+        C.count_where(F.col(col).isNull()).alias("missing"),
+        *[C.count_where(step == i).alias(names[i]) for i in bins],
     )
+    # An unpartitioned window over one row per bucket.
+    here = F.col(bucket).eqNullSafe(F.lit(baseline))
+    base = F.max(F.when(here, F.struct("rows", *names))).over(Window.partitionBy())
+    compared = counts.withColumn("base", base)
 
     def share(hits, total):
         return (hits + F.lit(0.5)) / (total + F.lit(0.5 * len(names)))
@@ -56,9 +53,10 @@ def amount_drift(
     psi = F.lit(0.0)
     for name in names:
         p = share(F.col(name), F.col("rows"))
-        q = share(base[name], base["rows"])
+        q = share(F.col("base")[name], F.col("base")["rows"])
         psi = psi + (p - q) * F.ln(p / q)
-    return counts.select(bucket, "rows", psi.alias("psi"))
+    known = (F.col("rows") > 0) & (F.col("base")["rows"] > 0)
+    return compared.select(bucket, "rows", "missing", F.when(known, psi).alias("psi"))
 
 
 def quality_drift(
@@ -68,7 +66,9 @@ def quality_drift(
     score: str = "score",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Confusion counts, rates and areas under the curves per time bucket."""
+    """Confusion counts, rates and areas under the curves per time bucket, the null bucket included."""
     cells = evaluate.confusion(df, label, prediction, by=[bucket])
-    areas = evaluate.ranking(df, label, score, by=[bucket]).select(bucket, "roc_auc", "pr_auc")
-    return cells.join(areas, bucket, "left")
+    areas = evaluate.ranking(df, label, score, by=[bucket]).select(
+        F.col(bucket).alias("__bucket"), "roc_auc", "pr_auc"
+    )
+    return cells.join(areas, F.col(bucket).eqNullSafe(F.col("__bucket")), "left").drop("__bucket")

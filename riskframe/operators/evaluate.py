@@ -2,22 +2,22 @@
 
 Labels are 0/1.  Rows without such a label, or without a score, cannot be
 counted and are left out by every operator here; ``report`` says how many were
-used.
+used and left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import bucket, count_where, percent
-from riskframe.sources.schema import LABEL
-
-MAX_RANGES = 10_000
+from riskframe.session import materialised
+from riskframe.sources.schema import LABEL, THRESHOLDS
 
 
 # --- decisions -------------------------------------------------------------
@@ -54,39 +54,40 @@ def _f1(precision: Column, recall: Column) -> Column:
     return _zero_if_empty(2 * precision * recall, precision + recall)
 
 
-def positive_prf(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """Precision, recall and F1 of the positive class; 0 where undefined."""
+def _positive_rates() -> dict[str, Column]:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    rates = confusion(df, label, prediction).select(
-        _zero_if_empty(tp, tp + fp).alias("precision"),
-        _zero_if_empty(tp, tp + fn).alias("recall"),
-    )
-    return rates.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+    p, r = _zero_if_empty(tp, tp + fp), _zero_if_empty(tp, tp + fn)
+    return {"precision": p, "recall": r, "f1": _f1(p, r)}
 
 
-def weighted_prf(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """Precision, recall and F1 averaged over both classes by their support."""
+def _weighted_rates() -> dict[str, Column]:
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    sides = confusion(df, label, prediction).select(
-        (tp + fn).alias("pos"),
-        (tn + fp).alias("neg"),
-        _zero_if_empty(tp, tp + fp).alias("pos_p"),
-        _zero_if_empty(tp, tp + fn).alias("pos_r"),
-        _zero_if_empty(tn, tn + fn).alias("neg_p"),
-        _zero_if_empty(tn, tn + fp).alias("neg_r"),
-    )
+    pos, neg = tp + fn, tn + fp
+    pp, pr = _zero_if_empty(tp, tp + fp), _zero_if_empty(tp, pos)
+    np, nr = _zero_if_empty(tn, tn + fn), _zero_if_empty(tn, neg)
 
-    def mean(pos: Column, neg: Column) -> Column:
-        total = F.col("pos") + F.col("neg")
-        return F.try_divide(F.col("pos") * pos + F.col("neg") * neg, total)
+    def mean(of_pos: Column, of_neg: Column) -> Column:
+        return F.try_divide(pos * of_pos + neg * of_neg, pos + neg)
+
+    return {
+        "weighted_precision": mean(pp, np),
+        "weighted_recall": mean(pr, nr),
+        "weighted_f1": mean(_f1(pp, pr), _f1(np, nr)),
+    }
 
-    return sides.select(
-        mean(F.col("pos_p"), F.col("neg_p")).alias("weighted_precision"),
-        mean(F.col("pos_r"), F.col("neg_r")).alias("weighted_recall"),
-        mean(
-            _f1(F.col("pos_p"), F.col("pos_r")), _f1(F.col("neg_p"), F.col("neg_r"))
-        ).alias("weighted_f1"),
-    )
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
+def positive_prf(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
+    """Precision, recall and F1 of the positive class; 0 where undefined."""
+    return confusion(df, label, prediction).select(*_named(_positive_rates()))
+
+
+def weighted_prf(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
+    """Precision, recall and F1 averaged over both classes by their support."""
+    return confusion(df, label, prediction).select(*_named(_weighted_rates()))
 
 
 # --- thresholds ------------------------------------------------------------
@@ -96,7 +97,7 @@ def threshold_sweep(
     df: DataFrame,
     label: str = LABEL,
     score: str = "score",
-    thresholds: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5),
+    thresholds: Sequence[float] = THRESHOLDS,
 ) -> DataFrame:
     """Outcome of deciding ``score >= t`` for every threshold ``t``.
 
@@ -181,18 +182,18 @@ def ranking(
 
     Both areas need running counts over all distinct scores.  No task sees all
     of them: the scores are first merged per distinct value, which also folds
-    tied scores map-side, then cut into ``ranges`` of about equal size (by
-    default one per shuffle partition).  Counts run inside a range and start
-    from the totals of the ranges above it, of which there are only ``ranges``
-    many.  The edges are plain numbers found by one quantile pass, so every
-    recomputation cuts alike.
+    tied scores map-side, and stored.  That table of distinct scores, not the
+    rows, is cut into ``ranges`` of about equal size (by default one per shuffle
+    partition), however many rows tie.  Counts run inside a range and start from
+    the totals of the ranges above it, of which there are only ``ranges`` many.
+    The input is read once.
 
     ``bins`` rounds scores down to a grid first, trading exactness for fewer
     distinct scores.  With one class only the areas are null.
     """
     spark = df.sparkSession
     if ranges is None:
-        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(by)
     value = F.col(score).cast("double")
     if bins is not None:
@@ -203,7 +204,8 @@ def ranking(
     groups = rows.groupBy(*keys, "s").agg(
         count_where(F.col("y") == 1).alias("p"), count_where(F.col("y") == 0).alias("n")
     )
-    edges = _range_edges(rows, "s", ranges)
+    groups = materialised(groups)
+    edges = _range_edges(groups, "s", ranges)
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="s", outputCol="r", handleInvalid="keep")
     groups = cut.transform(groups) if edges else groups.withColumn("r", F.lit(0.0))
@@ -220,9 +222,10 @@ def ranking(
         F.sum("rp").over(whole).alias("pp"),
         F.sum("rn").over(whole).alias("nn"),
     )
-    # Without `by` the table of starts is bounded by `ranges`; with it, its
-    # size depends on the data and Spark decides how to join.
-    joined = groups.join(starts if keys else F.broadcast(starts), [*keys, "r"])
+    # One row per key and range; Spark's size check decides how to join.
+    starts = starts.withColumnsRenamed({c: f"__{c}" for c in (*keys, "r")})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "r")])
+    joined = groups.join(starts, same)
 
     down = (
         Window.partitionBy(*keys, "r")
@@ -285,16 +288,31 @@ def _long(df: DataFrame) -> DataFrame:
 def report(
     df: DataFrame, label: str = LABEL, score: str = "score", prediction: str = "prediction"
 ) -> DataFrame:
-    """All metrics as ``(metric, value)`` rows."""
-    parts = [
-        confusion(df, label, prediction).withColumn(
-            "rows", F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
-        ),
-        positive_prf(df, label, prediction),
-        weighted_prf(df, label, prediction),
-        ranking(df, label, score).select("roc_auc", "pr_auc"),
-    ]
-    long = _long(parts[0])
-    for part in parts[1:]:
-        long = long.unionByName(_long(part))
-    return long
+    """All metrics as ``(metric, value)`` rows.
+
+    Rows without a label 0 or 1, a score or a decision are left out of all
+    figures; ``left_out`` and ``left_out_positives`` count them.  All but the
+    two areas come from one aggregate.
+    """
+    usable = F.coalesce(
+        F.col(label).isin(0, 1) & F.col(score).isNotNull() & F.col(prediction).isin(0, 1), F.lit(False)
+    )
+    cells = {
+        name: count_where(usable & (F.col(label) == actual) & (F.col(prediction) == decided))
+        for name, actual, decided in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))
+    }
+    left = {
+        "left_out": count_where(~usable),
+        "left_out_positives": count_where(~usable & (F.col(label) == 1)),
+    }
+    tp, tn, fp, fn = (F.col(c) for c in cells)
+    figures = {
+        "rows": tp + tn + fp + fn,
+        "detection_rate_pct": percent(tp, tp + fn, 1),
+        "false_alarm_rate_pct": percent(fp, fp + tn, 4),
+        **_positive_rates(),
+        **_weighted_rates(),
+    }
+    counted = df.agg(*_named({**cells, **left})).select("*", *_named(figures))
+    areas = ranking(df.filter(usable), label, score).select("roc_auc", "pr_auc")
+    return _long(counted).unionByName(_long(areas))

@@ -1,4 +1,4 @@
-"""Replication, oversampling and key-stable splits: no shuffle, no randomness.
+"""Replication, oversampling and key-stable splits: no randomness, and no shuffle but for stratified folds.
 
 A slot depends on the key's hash, so a recomputed or repartitioned table gives
 the same split, and all copies of a row stay on one side.
@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import hash_slot
-from riskframe.sources.schema import LABEL
+from riskframe.sources.schema import FOLDS, LABEL, OVERSAMPLING, TRAIN_PCT
+
+HASHES = 1 << 31
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -20,7 +22,7 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 
 def oversample(
-    df: DataFrame, label: str = LABEL, factor: int = 10, copy: str = "copy"
+    df: DataFrame, label: str = LABEL, factor: int = OVERSAMPLING, copy: str = "copy"
 ) -> DataFrame:
     """Keep negatives once and positives ``factor`` times, in a single scan."""
     if factor < 1:
@@ -39,7 +41,7 @@ def replicate(df: DataFrame, times: int, copy: str = "copy") -> DataFrame:
 def hash_split(
     df: DataFrame,
     key: str | Sequence[str],
-    train_pct: int = 80,
+    train_pct: int = TRAIN_PCT,
     salt: str = "",
     method: str = "md5",
     out: str = "is_train",
@@ -49,7 +51,7 @@ def hash_split(
 
 
 def train_test(
-    df: DataFrame, key: str | Sequence[str], train_pct: int = 80, salt: str = "", method: str = "md5"
+    df: DataFrame, key: str | Sequence[str], train_pct: int = TRAIN_PCT, salt: str = "", method: str = "md5"
 ) -> tuple[DataFrame, DataFrame]:
     """The two sides of :func:`hash_split` as separate tables."""
     inside = hash_slot(_keys(key), 100, salt, method) < train_pct
@@ -59,10 +61,44 @@ def train_test(
 def hash_folds(
     df: DataFrame,
     key: str | Sequence[str],
-    k: int = 3,
+    k: int = FOLDS,
     salt: str = "fold:",
     method: str = "md5",
     out: str = "fold",
 ) -> DataFrame:
     """Assign every key to one of ``k`` folds, independently of the split."""
     return df.withColumn(out, hash_slot(_keys(key), k, salt, method))
+
+
+def stratified_folds(
+    df: DataFrame,
+    key: str | Sequence[str],
+    k: int = FOLDS,
+    label: str = LABEL,
+    salt: str = "fold:",
+    out: str = "fold",
+) -> DataFrame:
+    """Folds with as many keys of every class as can be: at most one more or less.
+
+    The keys of a class are dealt in the order of their hashes.  No task orders
+    a class: keys are ranked inside ranges of hashes, and a range starts where
+    the ones below end.  Of those there are one per class and shuffle partition.
+    Rows that share key and class share a fold; a null key is an empty one.
+    """
+    keys = _keys(key)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = hash_slot(keys, HASHES, salt).cast("bigint")
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
+    cut = df.withColumns({"__hash": place, "__key": F.concat_ws("-", *names)})
+    cut = cut.withColumn("__range", F.floor(F.col("__hash") * ranges / HASHES).cast("int"))
+    inside = Window.partitionBy(label, "__range").orderBy("__hash", "__key")
+    ranked = cut.withColumn("__rank", F.dense_rank().over(inside))
+    below = Window.partitionBy("__label").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranked.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__at"))
+        .agg(F.max("__rank").alias("__n"))
+        .select("__label", "__at", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"))
+    )
+    same = F.col("__label").eqNullSafe(F.col(label)) & (F.col("__at") == F.col("__range"))
+    fold = F.pmod(F.col("__start") + F.col("__rank") - 1, F.lit(k)).cast("int")
+    return ranked.join(starts, same).withColumn(out, fold).select(*[c for c in df.columns if c != out], out)

@@ -26,13 +26,7 @@ from pyspark.util import inheritable_thread_target
 from riskframe.functions.columns import positive_probability
 from riskframe.operators import evaluate
 from riskframe.session import materialised, shared_dir
-from riskframe.sources.schema import LABEL, WEIGHT
-
-# The settings the published figures were made with.
-BASELINE_PARAMS = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1}
-SCALING_PARAMS = {"maxIter": 20, "maxDepth": 4}
-TUNING_GRID = {"maxIter": [50, 100], "maxDepth": [4, 6], "stepSize": [0.05, 0.1]}
-SEED = 42
+from riskframe.sources.schema import FOLDS, LABEL, SEED, TUNING_GRID, WEIGHT
 
 
 def feature_stages(
@@ -117,17 +111,23 @@ class CrossValidation:
     best: dict[str, Any]
 
 
-def _complete_folds(rows: DataFrame, fold: str, label: str) -> set[int]:
-    """Folds that hold both classes; at most a few rows come back."""
-    seen = rows.groupBy(fold).agg(F.max(label).alias("hi"), F.min(label).alias("lo"))
-    return {row[fold] for row in seen.collect() if row["hi"] == 1 and row["lo"] == 0}
+def _check_folds(rows: DataFrame, fold: str, label: str, k: int) -> None:
+    """Raise unless every row lies in a fold 0..k-1 and each fold has both classes; one row comes back."""
+    inside = F.col(fold).between(0, k - 1)
+    both = [F.count_if((F.col(fold) == i) & (F.col(label) == y)) for i in range(k) for y in (0, 1)]
+    outside, *counts = rows.agg(F.count_if(F.col(fold).isNull() | ~inside), *both).first()
+    if outside:
+        raise ValueError(f"{outside} rows have a fold that is null or not in 0..{k - 1}")
+    lacking = [i for i in range(k) if not (counts[2 * i] and counts[2 * i + 1])]
+    if lacking:
+        raise ValueError(f"every fold 0..{k - 1} needs rows of both classes; not so: {lacking}")
 
 
 def cross_validate(
     train: DataFrame,
     cols: Sequence[str],
     fold: str,
-    k: int = 3,
+    k: int = FOLDS,
     label: str = LABEL,
     weight: str | None = WEIGHT,
     invalid: str = "skip",
@@ -138,8 +138,9 @@ def cross_validate(
 ) -> CrossValidation:
     """Compare the settings in ``axes`` over the folds numbered in ``fold``.
 
-    Rows that share a key must share a fold.  ``metrics`` has one row per
-    setting: ``(params map<string,double>, avg_metric, is_best)``.
+    Rows that share a key must share a fold; a null fold or one outside 0..k-1
+    is an error.  ``metrics`` has one row per setting: ``(params
+    map<string,double>, avg_metric, is_best)``.
 
     The folds are plain filters on the fold column (MLlib's own ``foldCol``
     sends every row through a Python function).  Assembling and scaling do not
@@ -148,10 +149,9 @@ def cross_validate(
     One query then ranks the fold's rows under all settings; ``metric`` is
     ``pr_auc`` or ``roc_auc``.
     """
-    rows = _training_input(train, [*cols, label, weight, fold], partitions)
-    complete = _complete_folds(train, fold, label)
-    if complete != set(range(k)):
-        raise ValueError(f"every fold 0..{k - 1} needs rows of both classes; complete: {sorted(complete)}")
+    # Read about four times per fold: stored once, as the few columns needed.
+    rows = materialised(_training_input(train, [*cols, label, weight, fold], partitions))
+    _check_folds(rows, fold, label, k)
     *stages, trees = gbt_pipeline(cols, label, weight, invalid).getStages()
     settings = grid(axes)
     maps = [{trees.getParam(name): value for name, value in s.items()} for s in settings]

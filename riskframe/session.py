@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+TABLES = "riskframe.tables"
+
+
 def local_session(cores: str | int = "*", app: str = "riskframe", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -35,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and current is None and not context.master.startswith("local"):
+    one_machine = re.fullmatch(r"local(\[.*\])?", context.master)
+    if configured is None and current is None and not one_machine:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     root = configured or current or tempfile.mkdtemp(prefix="riskframe-")
     if current is None:
@@ -45,7 +52,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get(TABLES, None) or shared_dir(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def own_tables(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """Store tables below ``folder`` (or a new one in the shared folder) and drop it at the end.
+
+    What was built inside may be read inside only; write or collect what is to stay.
+    """
+    folder = folder or shared_path(spark, "tables")
+    before = spark.conf.get(TABLES, None)
+    spark.conf.set(TABLES, folder)
+    try:
+        yield folder
+    finally:
+        if before is None:
+            spark.conf.unset(TABLES)
+        else:
+            spark.conf.set(TABLES, before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialised(df: DataFrame) -> DataFrame:

@@ -7,23 +7,18 @@ from pyspark.sql import functions as F
 
 from riskframe.sources.schema import AMOUNT, COMPONENTS, LABEL, TIME
 
-VECTOR_SLOTS = 500
-
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``txn_id, Time, V1..V28, Amount, Class`` from lineitem and embeddings."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    # The join key is a remainder, so at most VECTOR_SLOTS vectors can match:
-    # the filter bounds the broadcast side however large the vector table is.
-    vectors = (
-        spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-        .filter(F.col("vec_id").between(0, VECTOR_SLOTS - 1))
-        .select("vec_id", "embedding", "label")
-    )
+    # Order keys are dealt over all vectors, whose identifiers count from 0; the
+    # join is left to Spark's own size check.
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    count = vectors.agg(F.count(F.lit(1))).scalar()
     days = F.date_diff(F.col("l_shipdate"), F.lit("1995-01-01").cast("timestamp"))
     fraud = (F.col("label") == 0) & (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)
-    return lines.join(
-        F.broadcast(vectors), F.col("l_orderkey") % VECTOR_SLOTS == F.col("vec_id")
+    return lines.withColumn("slot", F.pmod("l_orderkey", count)).join(
+        vectors, F.col("slot") == F.col("vec_id")
     ).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", days).alias("txn_id"),
         (days * 60).cast("double").alias(TIME),

@@ -32,3 +32,14 @@ ENGINEERED_FEATURES = [
     *[f"{a}_x_{b}" for a, b in INTERACTIONS],
     *[f"{name}_squared" for name in SQUARES],
 ]
+
+# The settings the published figures were made with.
+BASELINE_PARAMS = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1}
+SCALING_PARAMS = {"maxIter": 20, "maxDepth": 4}
+TUNING_GRID = {"maxIter": [50, 100], "maxDepth": [4, 6], "stepSize": [0.05, 0.1]}
+THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5)
+MULTIPLIERS = (1, 2, 5, 10)
+OVERSAMPLING = 10
+FOLDS = 3
+TRAIN_PCT = 80
+SEED = 42

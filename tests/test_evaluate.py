@@ -162,5 +162,28 @@ def test_decide_keeps_null_and_takes_a_subquery(spark):
 def test_report_names_every_metric_once(scored):
     out = evaluate.report(decide(scored, 0.5, out="prediction")).collect()
     names = [r["metric"] for r in out]
-    assert len(names) == len(set(names)) == 15
+    assert len(names) == len(set(names)) == 17
     assert {r["metric"]: r["value"] for r in out}["rows"] == scored.count()
+
+
+def test_tied_rows_do_not_fill_a_range(spark):
+    tied = spark.range(99_000).select((F.col("id") % 3 == 0).cast("int").alias("Class"), F.lit(0.001).alias("score"))
+    rest = spark.range(1_000).select((F.col("id") % 2).cast("int").alias("Class"), (F.col("id") / 1000).alias("score"))
+    groups = tied.unionByName(rest).select(F.col("score").alias("s")).distinct()
+    edges = evaluate._range_edges(groups, "s", 20)
+    sizes = [sum(1 for i in range(1000) if a <= i / 1000 < b) for a, b in zip([-1.0, *edges], [*edges, 2.0])]
+    assert len(edges) >= 15 and max(sizes) <= 3 * 1000 / 20
+
+
+def test_ranking_keeps_the_null_group(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.1), (None, 1, 0.2), (None, 0, 0.8)]
+    df = spark.createDataFrame(rows, "g string, Class int, score double")
+    got = {r["g"]: r["roc_auc"] for r in evaluate.ranking(df, by=["g"]).collect()}
+    assert got == {"a": 1.0, None: 0.0}
+
+
+def test_report_counts_what_it_leaves_out(spark):
+    rows = [(1, 0.9, 1.0), (0, 0.1, 0.0), (1, None, 1.0), (None, 0.3, 0.0), (0, 0.2, None)]
+    df = spark.createDataFrame(rows, "Class int, score double, prediction double")
+    got = {r["metric"]: r["value"] for r in evaluate.report(df).collect()}
+    assert (got["rows"], got["left_out"], got["left_out_positives"]) == (2, 3, 1)

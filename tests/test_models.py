@@ -7,7 +7,8 @@ from riskframe.plans.baseline import baseline
 from riskframe.plans.explore import explore
 from riskframe.plans.scaling import scaling, timed
 from riskframe.plans.tuned import prepared, tuned
-from riskframe.sources.schema import BASE_FEATURES, ENGINEERED_FEATURES
+from riskframe.session import own_tables
+from riskframe.sources.schema import BASE_FEATURES, ENGINEERED_FEATURES, TUNING_GRID
 
 TINY = {"maxIter": 3, "maxDepth": 3}
 
@@ -76,7 +77,7 @@ def test_unscaled_pipeline(txn):
 
 
 def test_grid_is_the_product_of_its_axes():
-    settings = train.grid(train.TUNING_GRID)
+    settings = train.grid(TUNING_GRID)
     assert len(settings) == 8 and {"maxIter": 100, "maxDepth": 4, "stepSize": 0.05} in settings
 
 
@@ -113,6 +114,39 @@ def test_folds_without_both_classes_are_refused(txn):
         train.cross_validate(df, ["V1"], "fold", 2, axes={"maxIter": [1]})
 
 
+@pytest.mark.parametrize("odd", [None, 2, -1])
+def test_null_and_foreign_folds_are_refused(txn, odd):
+    fold = F.when(F.col("txn_id").endswith("7"), F.lit(odd)).otherwise(F.length("txn_id") % 2)
+    df = weights.attach(txn, weights.fit(txn)).withColumn("fold", fold.cast("int"))
+    with pytest.raises(ValueError, match="null or not in"):
+        train.cross_validate(df, ["V1"], "fold", 2, axes={"maxIter": [1]})
+
+
+def test_drift_holes(spark):
+    rows = [(0, 5.0), (0, 50.0), (1, None), (1, None), (None, 5.0), (None, None), (2, 700.0)]
+    df = spark.createDataFrame(rows, "hour int, Amount double")
+    got = {r["hour"]: r for r in drift.amount_drift(df, "hour", 0).collect()}
+    assert {h: (r["rows"], r["missing"]) for h, r in got.items()} == {0: (2, 0), 1: (0, 2), None: (1, 1), 2: (1, 0)}
+    assert got[0]["psi"] == pytest.approx(0) and got[1]["psi"] is None and got[None]["psi"] > 0
+    for absent in (1, 99):
+        assert all(r["psi"] is None for r in drift.amount_drift(df, "hour", absent).collect())
+
+
+def test_studies_can_drop_their_tables(spark, txn):
+    with own_tables(spark) as folder:
+        out = baseline(txn, "txn_id", params=TINY).report.collect()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert fs.exists(path)
+    assert len(out) == 17 and not fs.exists(path)
+
+
+def test_model_plans_stay_in_the_jvm(txn, study):
+    plan = score(study.model, txn)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert operator not in plan
+
+
 @pytest.mark.parametrize("order", ["split-first", "duplicate-first"])
 def test_scaling_counts_rows(txn, order):
     out = scaling(txn, "txn_id", (1, 2), params={"maxIter": 1, "maxDepth": 2}, order=order).collect()

@@ -75,3 +75,16 @@ def test_folds_are_balanced_and_independent_of_the_split(txn):
 def test_composite_keys(txn):
     out = sampling.hash_split(txn, ["txn_id", "Class"]).groupBy("is_train").count().collect()
     assert len(out) == 2
+
+
+def test_stratified_folds_are_even_and_keep_keys_together(spark):
+    rows = [(f"k{i}", 1 if i < 7 else 0) for i in range(200)] + [("k3", 1), ("k50", 0), (None, 0)]
+    df = spark.createDataFrame(rows, "key string, Class int").withColumn("fold", F.lit("old"))
+    out = sampling.stratified_folds(df, "key", 3)
+    assert out.columns == df.columns and out.count() == len(rows)
+    folds = out.groupBy("Class", "fold").agg(F.countDistinct(F.coalesce("key", F.lit(""))).alias("n")).collect()
+    for label in (0, 1):
+        sizes = [r["n"] for r in folds if r["Class"] == label]
+        assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
+    assert out.groupBy("key").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    assert sampling.stratified_folds(df.limit(0), "key").count() == 0
