@@ -156,4 +156,51 @@ SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prefix,
 FROM placed GROUP BY conv_id, n, paired
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_preferences": _TURNS}
+
+
+def _words(pattern: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{pattern}')"
+
+
+_PASSAGES = r"""
+WITH d AS (SELECT doc_id, @words@ AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, @words@ AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+placed AS (SELECT item, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM sized),
+grams AS (SELECT DISTINCT item, n, array_to_string(w[s + 1 : s + n], ' ') AS g FROM placed),
+sizes AS (SELECT DISTINCT n FROM grams),
+starts AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT DISTINCT s.doc_id, s.n, s.i, item
+  FROM (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g FROM starts) s JOIN grams USING (n, g)),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""".replace("@words@", _words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+
+_COMPONENTS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, @words@ AS w FROM documents),
+long AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2),
+sets AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM long
+  UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+""".replace("@words@", _words(r"[^\x20\x09-\x0D]+"))
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_preferences": _TURNS,
+    "op8_decontamination": _PASSAGES,
+    "op10_near_duplicates": _COMPONENTS,
+}
