@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from riskframe.llm.common import slices
 
 BITS = 20
-SHARDS = 16
+SHARDS = 4
 MAX_ROWS = 20_000
 KINDS = 6
 
@@ -148,7 +148,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     max_rows: int = MAX_ROWS,
-    epochs: int = 3,
+    epochs: int = 6,
     rate: float = 1.0,
     l1: float = 1e-4,
     l2: float = 1e-3,
