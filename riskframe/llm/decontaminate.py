@@ -121,14 +121,15 @@ def _one_scan(docs: DataFrame, text: str, keep: Sequence[str], items: list, wind
         if key not in _matchers:  # one automaton per worker process at a time
             _matchers.clear()
             _matchers[key] = Matcher(sent.value, window)
-        matcher = _matchers[key]
+        matcher, name = _matchers[key], text if text in keep else "__text"
         for batch in batches:
-            for part in slices(batch, "__text"):
-                found = [matcher.scan(t) for t in part["__text"].to_pylist()]
+            for part in slices(batch, name):
+                found = [matcher.scan(t) for t in part[name].to_pylist()]
                 columns = [*(part[c] for c in keep), pa.array(found, to_arrow_type(_TYPE))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    sent_once = [] if text in keep else [docs[text].alias("__text")]
+    rows = docs.select(*[docs[c] for c in keep], *sent_once)
     return rows.mapInArrow(run, schema)
 
 

@@ -202,12 +202,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
+        text = text_col if text_col in keep else "__text"
         for batch in batches:
-            for part in slices(batch, "__text"):
-                found = 1 / (1 + np.exp(-np.clip(dots(_encoded(part["__text"]), weights) + bias, -35, 35)))
+            for part in slices(batch, text):
+                found = 1 / (1 + np.exp(-np.clip(dots(_encoded(part[text]), weights) + bias, -35, 35)))
                 yield pa.RecordBatch.from_arrays(
                     [*(part[c] for c in keep), pa.array(found)], names=schema.names
                 )
 
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
+    sent_once = [] if text_col in keep else [docs[text_col].alias("__text")]
+    rows = docs.select(*[docs[c] for c in keep], *sent_once)
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
