@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -14,6 +15,9 @@ JOINED = 64
 _AFTER_BLANK = re.compile(r"\s ")
 _BREAK = re.compile(r"(?<=\S) ")
 _BLANK = re.compile(r"\s")
+#: Byte-level models name a byte by its own character where that prints, by one from 256 on where not.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_AS_PRINTED = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -37,7 +41,8 @@ class Encoder:
     before each space that follows something other than white space.  The parts repeat: each is
     encoded by the tokenizer once while it stays in the cache.  A part without inner white space is
     encoded together with many others, a newline apart, since a newline between words is always one
-    id of its own; any other part is encoded by itself.
+    id of its own; any other part is encoded by itself.  Words of letters alone, which are one
+    pre-token each, go to the tokenizer's model directly, and full stops and commas after them apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,6 +50,8 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self._known_stops: dict[str, bytes] = {"": b""}
         (self._newline,) = np.frombuffer(self._whole("\n"), "<u4")
         self._spaced: dict[str, bytes] = {}
         self._first: dict[str, bytes] = {}
@@ -53,6 +60,17 @@ class Encoder:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Letters, with or without a space before them, are one pre-token: the model's own input."""
+        if not word.isascii() or word[0] == " ":
+            word = word.encode().decode("latin-1").translate(_AS_PRINTED)
+        return array("I", [part.id for part in self._model.tokenize(word)]).tobytes()
+
+    def _stops(self, stops: str) -> bytes:
+        if stops not in self._known_stops:
+            self._known_stops[stops] = self._whole(stops)
+        return self._known_stops[stops]
+
     def _fill(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
         """Have ``cache`` hold all of ``words``, each encoded with ``lead`` before it."""
         missing = words.difference(cache)
@@ -64,7 +82,10 @@ class Encoder:
             cache.update(kept)
         plain = []
         for word in missing:
-            if not word or _BLANK.search(word):
+            stem = word.rstrip(".,")
+            if stem.isalpha():
+                cache[word] = (cache.get(stem) or self._letters(lead + stem)) + self._stops(word[len(stem) :])
+            elif not word or _BLANK.search(word):
                 cache[word] = self._whole(lead + word)
             else:
                 plain.append(word)
