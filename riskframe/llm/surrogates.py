@@ -23,6 +23,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.session import materialised
+
 ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -303,8 +305,10 @@ def entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
 def checked(found: DataFrame) -> DataFrame:
     """``found`` entities with ``collides``: another entity of the kind has the same surrogate.
 
-    Equal entities are merged before the shuffle, so a frequent one costs a row per task.
+    ``found`` is stored first, since it is read twice.  Equal entities are merged before the shuffle,
+    so a frequent one costs a row per task.
     """
+    found = materialised(found)
     spread = found.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
     clashes = spread.filter(F.col("a") != F.col("b")).select(
         F.col("kind").alias("__kind"), F.col("surrogate").alias("__surrogate")
