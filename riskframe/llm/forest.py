@@ -8,12 +8,13 @@ cluster; the candidates of a key are its neighbours in that order that share a p
 ``SHALLOW`` minima.  In a sparse region that is every key with the prefix; where more than ``REACH``
 share it, the neighbours are those with longer common prefixes, so the depth follows the region.
 
-*Links.*  Candidates are confirmed by the size of the intersection of their full sets, in rounds: first
-every class's most promising ones (found in the most trees), then, once linked classes are merged,
-what still lies between different components.  Each pair not confirmed lies inside a component that
-links have connected already, so rounds save work and lose no link.  Last, every region that holds
-more than ``REACH`` neighbours of different components is compared whole, in chunks, by the number of
-equal minima; regions of more than ``LARGE`` keys first fall apart at greater depth.
+*Links.*  Candidates are confirmed by the size of the intersection of their full sets: first every
+class's most promising ones (found in the most trees), then, once linked classes are merged, what
+still lies between different components.  Each pair not confirmed lies inside a component that links
+have connected already, so the order saves work and loses no link.  Last, every region of more than
+``REACH`` neighbours that still holds different components is compared whole, in chunks: pairs with
+enough equal minima are confirmed there, and only links leave the task.  A region of more than
+``LARGE`` keys first falls apart at greater depth.
 
 Components come from alternating large and small stars, written to the shared folder in every step.
 
@@ -37,11 +38,11 @@ from riskframe.session import materialised
 TREES = 24
 DEPTH = 8
 SHALLOW = 5
-REACH = 24
-FIRST = (2, 8)
+REACH = 8
+FIRST = 3
 PERCENT = 80
 LARGE = 20_000
-CHUNK = 1024
+CHUNK = 4096
 SIGMAS = 4.5
 SEED = 11
 
@@ -243,33 +244,32 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v")
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = materialised(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _between(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The pairs that lie between different components, with those as ``ca`` and ``cb``."""
-    if parts is None:
-        return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
     out = pairs
     for end in ("a", "b"):
         own = parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         out = out.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return out.filter("ca <> cb")
+    return out.filter("ca <> cb").select(*pairs.columns)
 
 
-def _region_pairs(
-    near: DataFrame, classes: DataFrame, joined: DataFrame | None, percent: int
+def _region_links(
+    near: DataFrame, classes: DataFrame, sets: DataFrame, joined: DataFrame, percent: int
 ) -> DataFrame:
-    """Pairs of different components in dense regions whose minima are equal often enough for a link."""
+    """Links between different components inside dense regions, each region compared whole.
+
+    A region is cut into chunks, and a task compares two chunks with the full sets at hand, so only
+    links leave it.
+    """
     ends = near.filter("dense").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if joined is None:
-        ends = ends.withColumn("component", F.col("node"))
-    else:
-        ends = ends.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = classes.join(ends, F.col("rep") == F.col("node")).select("rep", "n", "keys", "component")
+    ends = ends.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = classes.join(ends, F.col("rep") == F.col("node")).select("rep", "label", "keys", "component")
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.alias("tree"), F.substring("keys", t * _KEY_BYTES + 1, F.lit(_KEY_BYTES)).alias("key")),
@@ -286,39 +286,60 @@ def _region_pairs(
         held = F.when(small, count).otherwise(held)
         differ = F.when(small, mixed).otherwise(differ)
     placed = planted.select("rep", "tree", region.alias("region"), held.alias("held"), differ.alias("differ"))
+    shallow = F.length("region") == SHALLOW * _LEVEL.itemsize
+    placed = placed.withColumn("whole", F.min(shallow).over(Window.partitionBy("rep")))
     placed = placed.filter("differ").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keyed = dealt.select("rep", "tree", "region", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = keyed.join(rows, "rep")
+    keyed = dealt.select(
+        "rep", "tree", "region", "whole", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    )
+    full = keyed.join(rows, "rep").join(sets.withColumnRenamed("node", "rep"), ["rep", "label"])
 
     def compare(group: pa.Table) -> pa.Table:
-        return _alike(group, percent)
+        return _region(group, percent)
 
-    found = full.groupBy("tree", "region", "lo", "hi").applyInArrow(compare, "a long, b long")
-    return found.distinct()
+    return full.groupBy("tree", "region", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _alike(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs of one region's chunks, between components, that may be similar enough."""
-    rep, n, own = (group[c].to_numpy() for c in ("rep", "n", "own"))
-    component = group["component"].to_numpy()
+def _region(group: pa.Table, percent: int) -> pa.Table:
+    """Links between the components of one region's chunks; two components are joined once."""
+    group = group.sort_by("rep")
+    rep, own, component = (group[c].to_numpy() for c in ("rep", "own", "component"))
     keys = np.frombuffer(b"".join(group["keys"].to_pylist()), _LEVEL).reshape(len(rep), TREES, DEPTH)
-    minima = np.ascontiguousarray(keys[:, :, :SHALLOW].reshape(len(rep), -1).astype(np.uint16))
+    prefixes = np.ascontiguousarray(keys[:, :, :SHALLOW].astype(np.uint16))
+    minima = prefixes.reshape(len(rep), -1)
+    sets = [np.frombuffer(s, "<u8") for s in group["set"].to_pylist()]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
     count, share = minima.shape[1], percent / 100
     least = count * share - SIGMAS * np.sqrt(count * share * (1 - share))
     across = group["lo"][0].as_py() != group["hi"][0].as_py()
-    a, b = [], []
+    tree = group["tree"][0].as_py()
+    whole = group["whole"].to_pylist()
+    part = np.unique(component, return_inverse=True)[1]
+    links = []
     for i in range(len(rep)):
         j = np.arange(i + 1, len(rep))
-        j = j[component[j] != component[i]]
+        j = j[part[j] != part[i]]
         if across:
             j = j[own[j] != own[i]]
         j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
         j = j[(minima[j] == minima[i]).sum(axis=1) >= least]
-        a.append(np.minimum(rep[j], rep[i]))
-        b.append(np.maximum(rep[j], rep[i]))
-    return pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
+        if whole[i] and tree:
+            # An earlier tree with their prefix has the pair in one region, since none of its regions fell apart.
+            j = j[~(prefixes[j, :tree] == prefixes[i, :tree]).all(axis=2).any(axis=1)]
+        for start in range(0, len(j), CHUNK):
+            some = j[start : start + CHUNK]
+            every = np.concatenate([sets[x] for x in some])
+            place = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
+            common = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.cumsum(n[some]) - n[some])
+            linked = some[100 * common >= percent * (n[some] + n[i] - common)]
+            for x in linked.tolist():
+                if part[x] != part[i]:
+                    links.append((min(rep[i], rep[x]), max(rep[i], rep[x])))
+                    part[part == part[x]] = part[i]
+    a, b = (np.asarray(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+    return pa.table([a, b], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -376,21 +397,18 @@ def near_duplicates(
     sets = materialised(
         shown.mapInArrow(gather, "node long, label long, set binary").dropDuplicates(["node", "label"])
     )
-    links, joined = None, None
-    for most in (*FIRST, "all", "regions"):
-        seen = most == "regions"
-        tried = _region_pairs(near, classes, joined, percent).join(pairs, ["a", "b"], "left_anti") if seen else pairs
-        rest = _between(tried, joined)
-        if isinstance(most, int):
-            by_a, by_b = (Window.partitionBy(c).orderBy(F.desc("trees"), "a", "b") for c in ("a", "b"))
-            rest = rest.withColumns({"i": F.row_number().over(by_a), "j": F.row_number().over(by_b)})
-            rest = rest.filter((F.col("i") <= most) | (F.col("j") <= most))
-        fresh = materialised(_confirmed(rest, sets, percent))
-        links = fresh if links is None else links.unionByName(fresh)
-        if not fresh.isEmpty():
-            joined = materialised(components(links))
-    if joined is None:
-        return _verdict(signed, classes.select("label", "n", F.col("rep").alias("component")), id_col)
+    by_a, by_b = (Window.partitionBy(c).orderBy(F.desc("trees"), "a", "b") for c in ("a", "b"))
+    ranked = pairs.withColumns({"i": F.row_number().over(by_a), "j": F.row_number().over(by_b)})
+    best = ranked.filter((F.col("i") <= FIRST) | (F.col("j") <= FIRST))
+    links = materialised(_confirmed(best, sets, percent))
+    joined = materialised(components(links))
+    rest = materialised(_confirmed(_between(pairs, joined), sets, percent))
+    links = links.unionByName(rest)
+    if not rest.isEmpty():
+        joined = materialised(components(links))
+    rest = materialised(_region_links(near, classes, sets, joined, percent))
+    if not rest.isEmpty():
+        joined = materialised(components(links.unionByName(rest)))
     own = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "label", "n", F.coalesce("component", "rep").alias("component")
     )
