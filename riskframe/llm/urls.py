@@ -6,10 +6,10 @@ one, down to equal chances.  A URL's score is the log of the ratio of both model
 divided by its number of bytes plus one (for the end); the cut between the verdicts is the one with
 the least balanced error on labelled URLs that the counts have not seen.
 
-Counts are gathered from all labelled URLs, summed per batch before the shuffle.  The models keep the
-contexts and symbols seen at least so often that ``max_entries`` suffice; that bounds what is collected
-and broadcast (16 bytes an entry).  Below that support a context backs off to the next shorter one,
-as one never seen does.
+Counts are gathered from all labelled URLs, summed per batch before the shuffle, and stay a stored
+table, whole however large.  For scoring, the distinct URLs are sorted and cut into chunks of
+``CHUNK_BYTES``; a chunk asks for each of its contexts and symbols once, a join by key answers, and the
+chunk's URLs meet their counts in one task.  A key is asked for once per chunk, so none is hot.
 
 Defined results: a null URL is an empty one, with empty host and path and no rule; repeated URLs
 count as often as they occur; when either model has no URLs, all that no rule decides is allowed; an
@@ -23,21 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskframe.llm.common import ascii_lower
 from riskframe.session import materialised
 
 ORDER = 5
-MAX_ENTRIES = 1 << 20
 STRENGTH = 2.0
 SYMBOLS = 257
 FOLDS = 5
 STEPS_PER_UNIT = 1000
-SUPPORTS = 10_000
 URLS = 2_000
+CHUNK_BYTES = 1 << 16
 
 #: The rules that the registered query applies, as (verdict, host, path).
 RULES = (
@@ -107,31 +106,34 @@ def _key(values: np.ndarray, order: int, kind: int) -> np.ndarray:
 
 @dataclass
 class Ratio:
-    """Counts of both models (rejected, accepted) by sorted key, and the least score that is accepted."""
+    """Counts of both models, a stored table ``(key, no, yes)`` (none without both), and the least score that is accepted."""
 
-    keys: np.ndarray
-    counts: np.ndarray
+    table: DataFrame | None
     cut: float
 
 
-def scores(urls: list[bytes], model: Ratio) -> np.ndarray:
-    """Log ratio per byte and end of the accepted and the rejected model."""
+def scores(urls: list[bytes], known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log ratio per byte and end of the accepted and the rejected model.
+
+    ``known`` are sorted keys, among them all of ``urls`` that were counted; ``counts`` those of the
+    rejected and the accepted model.
+    """
     if not urls:
         return np.zeros(0)
     _, starts, keys = _places(urls, ORDER)
     chances = np.full((2, len(keys[0][0])), 1 / SYMBOLS)
-    if len(model.keys):
+    if len(known):
         for context, gram in keys:
-            seen, total = _counts(model, gram), _counts(model, context)
+            seen, total = _counts(known, counts, gram), _counts(known, counts, context)
             chances = (seen + STRENGTH * chances) / (total + STRENGTH)
     logs = np.log(chances)
     sizes = np.diff(np.append(starts, logs.shape[1]))
     return np.add.reduceat(logs[1] - logs[0], starts) / sizes
 
 
-def _counts(model: Ratio, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    return np.where(model.keys[at] == keys, model.counts[:, at], 0.0)
+def _counts(known: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[:, at], 0.0)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -152,7 +154,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["key", "no", "yes"])
 
 
-def fit(urls: DataFrame, url_col: str, accepted_col: str, max_entries: int = MAX_ENTRIES) -> Ratio:
+def fit(urls: DataFrame, url_col: str, accepted_col: str) -> Ratio:
     """Models of the URLs with a boolean label; rows with a null label are left out.
 
     One of ``FOLDS`` parts of the distinct URLs calibrates the cut, the others are counted.
@@ -163,19 +165,9 @@ def fit(urls: DataFrame, url_col: str, accepted_col: str, max_entries: int = MAX
     part = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
     partial = labelled.filter(part != 0).mapInArrow(_counted, "key long, no long, yes long")
     table = materialised(partial.groupBy("key").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")))
-    support = F.least(F.col("no") + F.col("yes"), F.lit(SUPPORTS))
-    least, entries = 1, 0
-    for r in sorted(table.groupBy(support.alias("n")).count().collect(), reverse=True):
-        entries += r["count"]
-        if entries > max_entries:
-            least = r["n"] + 1
-            break
-    kept = table.filter(F.col("no") + F.col("yes") >= least).toArrow().sort_by("key")
-    counts = np.array([kept["no"].to_numpy(), kept["yes"].to_numpy()], np.float32)
-    model = Ratio(kept["key"].to_numpy(), counts, -np.inf)
-    if not counts.any(axis=1).all():
-        model.keys, model.counts = model.keys[:0], counts[:, :0]
-        return model
+    if not all(table.agg(F.max("no"), F.max("yes")).first()):
+        return Ratio(None, -np.inf)
+    model = Ratio(table, -np.inf)
     held = score(labelled.filter(part == 0), model, "url")
     bins = held.groupBy(F.floor(F.col("score") * STEPS_PER_UNIT).alias("bin")).agg(
         F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no")
@@ -194,22 +186,55 @@ def fit(urls: DataFrame, url_col: str, accepted_col: str, max_entries: int = MAX
     return model
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the chunks of sorted URLs; a chunk is full with ``CHUNK_BYTES``."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        chunks = np.zeros(batch.num_rows, np.int64)
+        for i, url in enumerate(_bytes(batch["url"])):
+            if held >= CHUNK_BYTES:
+                chunk, held = chunk + 1, 0
+            chunks[i] = chunk
+            held += len(url) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), batch["url"]], names=["chunk", "url"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of every chunk; a chunk that batches cut may ask twice."""
+    for batch in batches:
+        chunks = batch["chunk"].to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            if start < end:
+                _, _, keys = _places(_bytes(batch["url"].slice(start, end - start)), ORDER)
+                used = np.unique(np.concatenate([k for pair in keys for k in pair]))
+                columns = [pa.array(np.full(len(used), chunks[start])), pa.array(used)]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "key"])
+
+
+def _answered(urls: pa.Table, found: pa.Table) -> pa.Table:
+    """Scores of one chunk's URLs from the counts of its keys."""
+    known, counts = np.zeros(0, np.int64), np.zeros((2, 0))
+    if found.num_rows:
+        found = found.sort_by("key")
+        known = found["key"].to_numpy()
+        counts = np.array([found["no"].to_numpy(), found["yes"].to_numpy()], float)
+    return pa.table({"url": urls["url"], "score": scores(_bytes(urls["url"]), known, counts)})
+
+
 def score(urls: DataFrame, model: Ratio, url_col: str) -> DataFrame:
     """Add ``score``, the log ratio per byte, above 0 where the accepted model is likelier."""
-    sent = urls.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in urls.columns if c != "score"]
-    schema = T.StructType([urls.schema[c] for c in kept]).add("score", T.DoubleType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, URLS):
-                part = batch.slice(start, URLS)
-                found = scores(_bytes(part["__url"]), sent.value)
-                columns = [*(part[c] for c in kept), pa.array(found)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    rows = urls.select(*kept, urls[url_col].alias("__url"))
-    return rows.mapInArrow(run, schema)
+    if model.table is None:
+        return urls.select(*kept, F.lit(0.0).alias("score"))
+    rows = urls.select(*kept, F.coalesce(urls[url_col], F.lit("")).alias("__url"))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(F.col("__url").alias("url")).distinct().repartitionByRange(parts, "url").sortWithinPartitions("url")
+    chunks = materialised(ordered.mapInArrow(_chunked, "chunk long, url string"))
+    found = chunks.mapInArrow(_asked, "chunk long, key long").join(model.table, "key").select("chunk", "key", "no", "yes")
+    scored = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_answered, "url string, score double")
+    own = scored.withColumnRenamed("url", "__scored")
+    return rows.join(own, F.col("__url") == F.col("__scored"), "left").select(*kept, "score")
 
 
 def judge(

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, preferences, quality, queries, shards, urls
+from riskframe.session import materialised
 from tests.conftest import SF
 
 MID = "/root/testdata/sf0.01"
@@ -175,6 +176,34 @@ def test_url_scores_equal_a_model_of_plain_dictionaries(spark):
         assert (r["score"] >= model.cut) == r["ok"]
 
 
+def test_url_models_keep_every_context(spark):
+    # More than 2^20 contexts and symbols, nearly all of them seen once.
+    rng = np.random.default_rng(4)
+    paths = ["".join(p) for p in rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), (6_000, 60))]
+    rows = [(f"http://h.org/{p}", i % 2 == 0) for i, p in enumerate(paths)]
+    frame = materialised(spark.createDataFrame([*rows, (None, None), rows[0]], "url string, ok boolean"))
+    model = urls.fit(frame, "url", "ok")
+    counted = [(u, ok) for u, ok in [*rows, rows[0]] if ok is not None]
+    held = {r["url"] for r in frame.filter(F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)) == 0).collect()}
+    keys = {}
+    for u, ok in counted:
+        if u not in held:
+            for pair in urls._places([u.encode()], urls.ORDER)[2]:
+                for k in np.concatenate(pair).tolist():
+                    keys.setdefault(k, [0, 0])[ok] += 1
+    assert len(keys) > 1 << 20
+    assert model.table.count() == len(keys)
+    known = np.array(sorted(keys))
+    counts = np.array([keys[k] for k in known.tolist()], float).T
+    got = urls.score(frame, model, "url").collect()
+    assert len(got) == len(frame.collect())
+    texts = [r["url"] or "" for r in got]
+    want = urls.scores([t.encode() for t in texts], known, counts)
+    assert np.allclose([r["score"] for r in got], want, rtol=1e-9, atol=1e-12)
+    # URLs that were counted are told apart by contexts seen once.
+    assert np.mean([(r["score"] > 0) == r["ok"] for r in got if r["url"] and r["url"] not in held]) > 0.99
+
+
 # --- quality ---------------------------------------------------------------
 
 
