@@ -141,6 +141,18 @@ def test_near_duplicate_edge_cases(spark, documents):
     assert forest.near_duplicates(docs.limit(2)).count() == 2
 
 
+def test_pairs_in_regions_that_fall_apart_are_found(spark, documents, monkeypatch):
+    # All documents share boilerplate (similarity 0.797), two and two are near copies (0.8004).
+    monkeypatch.setattr(forest, "LARGE", 30)
+    found = forest.near_duplicates(documents(boilerplate_pairs(200)), width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 for i in range(400)}
+
+
+def boilerplate_pairs(n):
+    common = [f"b{i}" for i in range(400)]
+    return [" ".join([*common, f"c{p}", *(f"{side}{p}_{i}" for i in range(50))]) for p in range(n) for side in "xy"]
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (9, 9), (2, 1)]
     found = forest.components(spark.createDataFrame(edges, "a long, b long")).collect()
