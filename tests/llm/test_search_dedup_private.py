@@ -274,6 +274,18 @@ def test_op7_replaces_what_is_planted_and_nothing_else(spark):
         assert doc in hit or new[doc] == text
 
 
+def test_long_secrets_are_replaced_whole(spark, documents):
+    values = ["".join(np.random.default_rng(i).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789"), 1_000)) for i in range(3)]
+    text = f"token = \"{values[0]}\", password={values[1]} and sk-{values[2]}."
+    rows = surrogates.checked(surrogates.entities(documents([text]), "k")).orderBy("ordinal").collect()
+    assert [r["kind"] for r in rows] == ["secret", "secret", "key"] and not any(r["collides"] for r in rows)
+    assert [r["entity"][-1_000:] for r in rows] == values
+    (new,) = surrogates.replaced(documents([text]), "k").collect()
+    assert len(new["text"]) == len(text)
+    for value in values:
+        assert not any(value[i : i + 8] in new["text"] for i in range(0, 993))
+
+
 def test_surrogate_edge_cases(spark, documents):
     texts = [None, "", "plain 12 3.14 v1.2", "a@b.co" * 2, "x" * 60_000, "@" * 50, "1." * 30_000, "a." * 30_000, "9" * 500,
              "password=", "Mr", "+1", "a@b.co a@b.co", "𝒳 é a@b.co 🙂"]
