@@ -7,7 +7,7 @@ benchmark are dropped; personal data is replaced; what is left is packed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, forest, packing, quality, surrogates
@@ -23,14 +23,16 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles, that of least identifier."""
-    found = forest.near_duplicates(docs, width=5)
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
-    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    # Rows that share an identifier are one document; rows without one are all different.
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = chosen.withColumn("__row", F.row_number().over(same)).filter(F.col("__row") == 1)
-    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates on five-word shingles, that of least identifier.
+
+    Every row is a document of its own, whatever its identifier; rows without one come last.
+    """
+    keyed = materialised(docs.withColumn("__key", F.monotonically_increasing_id()))
+    found = forest.near_duplicates(keyed, id_col="__key", width=5).select("__key", "component_id")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__key")
+    placed = found.join(keyed.select("__key", at.alias("at")), "__key")
+    first = placed.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.__key").alias("__key"))
+    return keyed.join(first, "__key", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,6 +332,16 @@ def test_pipeline_stages_take_effect(spark):
     assert set(sums) == set(states[3]) and all(sums[r["doc_id"]] == r["doc_tokens"] for r in pieces)
 
 
+def test_rows_without_an_own_identifier_are_documents(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (3, "x"), (None, "x"), (None, "y"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (3, "x"), (None, "y"), (4, None), (4, None)], key=str)
+
+
 def test_pipeline_of_an_empty_table(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES[:-1]:
