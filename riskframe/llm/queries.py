@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, forest, neighbours, packing, preferences, quality, shards, surrogates, tokenfiles, urls
+from riskframe.llm import (
+    collocations,
+    decontaminate,
+    forest,
+    neighbours,
+    packing,
+    periodic,
+    preferences,
+    quality,
+    shards,
+    surrogates,
+    tokencounts,
+    tokenfiles,
+    urls,
+)
 from riskframe.llm.common import table
 from riskframe.session import shared_path
 
@@ -104,6 +118,50 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Make a tenth of the documents periodic from some word on: their crc32 says which, where and how."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    turn = F.floor(hashed / 10)
+    words = docs.select("doc_id", "text", hashed.alias("hash"), turn.alias("turn")).withColumn(
+        "words",
+        F.when(hashed % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))),
+    )
+    n = F.size("words")
+    words = words.withColumn("first", F.when(n > 0, (F.col("turn") % n).cast("int")))
+    words = words.withColumn("period", (1 + F.floor((n - F.col("first")) / (3 + F.col("turn") % 8))).cast("int"))
+    again = F.expr("transform(words, (w, i) -> if(i < first, w, words[first + (i - first) % period]))")
+    return words.select(
+        "doc_id", F.when(F.col("first").isNotNull(), F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    ranked = F.array_sort(
+        F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"].alias("n")))
+    )
+    longest = F.try_element_at(ranked, F.lit(1))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        F.col("longest.n").alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("1000 * longest.n div longest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_neighbours": op2_neighbours,
@@ -115,6 +173,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_urls": op9_urls,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 _TURNS = r"""
@@ -199,8 +260,35 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """.replace("@words@", _words(r"[^\x20\x09-\x0D]+"))
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i : i + k - 1] AS g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parts AS (
+  SELECT lang, g[1 : k - 1] AS g, f FROM f WHERE k > 2
+  UNION ALL SELECT lang, g[2 : k] AS g, f FROM f WHERE k > 2),
+longer AS (SELECT lang, g, max(f) AS f FROM parts GROUP BY ALL),
+cand AS (SELECT f.lang, f.k, f.g, f.f AS a FROM f LEFT JOIN longer o ON o.lang = f.lang AND o.g = f.g
+  WHERE f.k >= 2 AND coalesce(o.f, 0) < f.f),
+cuts AS (SELECT lang, g, a, g[1 : c] AS x, g[c + 1 : k] AS y, c FROM cand, range(1, 5) t(c) WHERE c < k),
+scored AS (SELECT cuts.lang, cuts.g, a, c, l.f AS l, r.f AS r, n,
+    CAST((1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = x JOIN f r ON r.lang = cuts.lang AND r.g = y
+  JOIN totals t ON t.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_preferences": _TURNS,
     "op8_decontamination": _PASSAGES,
     "op10_near_duplicates": _COMPONENTS,
+    "op11_collocations": _PHRASES,
 }
