@@ -17,17 +17,34 @@ from riskframe.operators import (  # noqa: E402
     features,
     profile,
     sampling,
+    synthetic,
+    train,
     weights,
 )
-from riskframe.operators.score import decide  # noqa: E402
+from riskframe.operators.score import decide, score  # noqa: E402
 from riskframe.plans.baseline import baseline  # noqa: E402
 from riskframe.plans.explore import explore  # noqa: E402
 from riskframe.plans.scaling import scaling  # noqa: E402
 from riskframe.plans.tuned import tuned  # noqa: E402
 from riskframe.session import shared_path  # noqa: E402
 from riskframe.sources import fixtures  # noqa: E402
-from riskframe.sources.schema import AMOUNT, COMPONENTS, LABEL, TIME, TUNING_GRID  # noqa: E402
-from riskframe.sources.tables import write_table  # noqa: E402
+from riskframe.functions.columns import bucket, hash_slot  # noqa: E402
+from riskframe.sources.schema import (  # noqa: E402
+    AMOUNT,
+    BASE_FEATURES,
+    COMPONENTS,
+    LABEL,
+    TIME,
+    TUNING_GRID,
+    TXN,
+    WEIGHT,
+)
+from riskframe.sources.tables import (  # noqa: E402
+    read_checked,
+    read_transactions,
+    replace_partitions,
+    write_table,
+)
 
 try:  # The training-data operators are an optional part.
     import corpus_pipeline
@@ -243,6 +260,155 @@ def _scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select("multiplier", "rows", "train_rows", F.col("roc_auc").between(0, 1).alias("is_area"))
 
 
+#: A search small enough for SQL to boost the same trees: features of few values, so that every
+#: value is a bin of its own.
+STEPS = ("day_part", "size", "v14", "v4")
+STEP_HOURS = 6
+COMPONENT_STEPS = (-0.1, 0.0, 0.1)
+SMALL_TREES = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.3}
+SMALL_GRID = {"maxIter": [2, 3], "maxDepth": [1, 2], "stepSize": [0.3]}
+
+
+def _stepped(df: DataFrame) -> DataFrame:
+    """Four features of four to seven values, weights and folds."""
+    steps = df.select(
+        "txn_id",
+        LABEL,
+        F.floor(F.col(TIME) / (3600 * STEP_HOURS)).cast("int").alias("day_part"),
+        bucket(AMOUNT, [10.0, 100.0, 500.0, 1000.0]).alias("size"),
+        bucket("V14", COMPONENT_STEPS).alias("v14"),
+        bucket("V4", COMPONENT_STEPS).alias("v4"),
+    )
+    return sampling.hash_folds(weights.attach(steps), "txn_id")
+
+
+def _small_model(spark: SparkSession, sf_dir: str):
+    def study():
+        rows = _stepped(_txn(spark, sf_dir))
+        model = train.fit_gbt(rows, STEPS, params=SMALL_TREES, partitions=_cores(spark))
+        return rows, model
+
+    return _once("small", spark, sf_dir, study)
+
+
+def _gbt_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _small_model(spark, sf_dir)
+    return score(model, rows, keep=["txn_id"]).select("txn_id", F.round("score", 6).alias("score"), "prediction")
+
+
+def _gbt_by_value_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = train.importances(_small_model(spark, sf_dir)[1], STEPS)
+    return ranked.select("feature", F.round("importance", 6).alias("importance"), "rank")
+
+
+def _gbt_by_value_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = train.tree_nodes(_small_model(spark, sf_dir)[1])
+    return nodes.groupBy("tree").agg(
+        F.count("feature").alias("splits"),
+        F.sum(F.when(F.col("feature").isNull(), F.col("n"))).alias("rows"),
+        F.round(F.max("weight"), 6).alias("weight"),
+        F.round(F.max("value"), 6).alias("largest"),
+        F.round(F.max(F.when(F.col("node") == 0, F.col("gain"))), 6).alias("first_gain"),
+    )
+
+
+def _cv_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cores = _small_model(spark, sf_dir)[0], _cores(spark)
+    found = train.cross_validate(rows, STEPS, "fold", axes=SMALL_GRID, parallelism=cores, partitions=cores)
+    return found.metrics.select(
+        *[F.col("params")[c].cast("int").alias(c) for c in ("maxIter", "maxDepth")],
+        F.round("avg_metric", 6).alias("avg_metric"),
+        "is_best",
+    )
+
+
+def _smote(df: DataFrame) -> DataFrame:
+    return _rounded(synthetic.smote(df, "txn_id", BASE_FEATURES), 6)
+
+
+def _smote_events(df: DataFrame) -> DataFrame:
+    return _rounded(synthetic.smote(df, "event_id", [TIME, AMOUNT], k=3, factor=3), 6)
+
+
+def _knn_events(df: DataFrame) -> DataFrame:
+    found = synthetic.nearest_neighbours(df.filter(F.col(LABEL) == 1), "event_id", [TIME, AMOUNT]).found
+    return found.select(F.col("key").alias("event_id"), F.posexplode("neighbours").alias("rank", "near")).select(
+        "event_id", "rank", F.col("near.key").alias("neighbour"), F.round("near.d", 6).alias("squared_distance")
+    )
+
+
+def _half(key: str):
+    return hash_slot([key], 2, "half:")
+
+
+def _drift_loads(spark: SparkSession, sf_dir: str, kind: str) -> drift.DriftState:
+    """Two halves of the rows loaded one after the other, the second one twice."""
+    df = _hours(_decided(spark, sf_dir))
+    state = drift.DriftState(spark, shared_path(spark, "drift"), "hour")
+    for load in (0, 1, 1):
+        state.load(df.filter(_half("txn_id") == load), f"half-{load}", kind)
+    return state
+
+
+def _amount_drift_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_drift_loads(spark, sf_dir, "amount").amount_drift(BASELINE_BUCKET), 6)
+
+
+def _quality_drift_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_drift_loads(spark, sf_dir, "quality").quality_drift(), 6)
+
+
+def _partitions_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with wrong amounts in its even hours, which are then written again, twice."""
+    df = _hours(_txn(spark, sf_dir)).select("hour", TIME, AMOUNT, LABEL)
+    even = F.col("hour") % 2 == 0
+    path = shared_path(spark, "processed")
+    replace_partitions(df.withColumn(AMOUNT, F.when(even, F.lit(-1.0)).otherwise(F.col(AMOUNT))), path, ["hour"])
+    for _ in range(2):
+        stored = replace_partitions(df.filter(even), path, ["hour"])
+    return stored.groupBy("hour").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum(AMOUNT), 4).alias("amount"), F.sum(LABEL).alias("positives")
+    )
+
+
+#: Lines before this time lose all but three fields.
+SHORT_BEFORE = 4 * 3600
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV file of transactions in which some lines lack a field or hold a word for the amount."""
+    df = _txn(spark, sf_dir)
+    fields = [F.col(c).cast("string") for c in TXN.names]
+    amount = F.when(F.col(AMOUNT) < 10, F.lit("n/a")).otherwise(F.col(AMOUNT).cast("string"))
+    short = F.concat_ws(",", *fields[:3])
+    line = F.concat_ws(",", *fields[:-2], amount, fields[-1])
+    # Each file of the text starts with the names.
+    body = df.select(F.when(F.col(TIME) < SHORT_BEFORE, short).otherwise(line).alias("value"))
+    folder = shared_path(spark, "damaged")
+    head = spark.createDataFrame([(",".join(TXN.names),)], "value string")
+    head.unionByName(body).coalesce(1).write.text(folder)
+    return folder
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = read_checked(spark, _damaged(spark, sf_dir))
+    short = F.size(F.split("line", ",")) == 3
+    kinds = checked.rejected.select(F.when(short, "short").otherwise("no number").alias("kind"), "reason")
+    accepted = checked.accepted.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(AMOUNT), 4).alias("amount"))
+    return (
+        kinds.groupBy("kind", "reason")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("amount", F.lit(None).cast("double"))
+        .unionByName(accepted.select(F.lit("accepted").alias("kind"), F.lit(None).cast("string").alias("reason"), "rows", "amount"))
+    )
+
+
+def _csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "raw")
+    write_table(_txn(spark, sf_dir).drop("txn_id"), path, fmt="csv")
+    return profile.class_distribution(read_transactions(spark, path, "csv", schema=None))
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each reads whole tables below ``sf_dir``."""
     extra = {} if llm is None else {**llm.QUERIES, "pipeline": corpus_pipeline.run}
@@ -352,6 +518,21 @@ def _queries() -> dict[str, Query]:
         # sources and sinks
         "parquet_roundtrip": _parquet_roundtrip,
         "csv_roundtrip": _csv_roundtrip,
+        "csv_inferred": _csv_inferred,
+        "csv_rejects": _csv_rejects,
+        "partitions_replaced": _partitions_replaced,
+        # synthetic positives
+        "smote": _on(_txn, _smote),
+        "smote_events": _on(_events, _smote_events),
+        "nearest_positives_events": _on(_events, _knn_events),
+        # drift of rows that arrive in parts
+        "amount_drift_loads": _amount_drift_loads,
+        "quality_drift_loads": _quality_drift_loads,
+        # models that SQL boosts as well
+        "gbt_by_value": _gbt_by_value,
+        "gbt_by_value_importances": _gbt_by_value_importances,
+        "gbt_by_value_nodes": _gbt_by_value_nodes,
+        "cv_by_value": _cv_by_value,
         # models
         "gbt_scored": _gbt_scored,
         "gbt_scored_positives": _gbt_scored_positives,
@@ -545,11 +726,6 @@ _DEALT = """, dealt AS (
   FROM {source})"""
 
 
-def _z(name: str) -> str:
-    return f"""round(({name} - (SELECT avg({name}) FROM txn))
-    / (SELECT stddev_samp({name}) FROM txn), 6)"""
-
-
 _HOLED = """, holed AS (
   SELECT txn_id, Class, {more}
          CASE WHEN hour <> 5 THEN hour END AS hour,
@@ -588,6 +764,145 @@ def _report_sql(source: str) -> str:
     )
 
 
+_STATS = _TXN + """, stats AS MATERIALIZED (
+  SELECT {moments} FROM txn)"""
+
+
+def _standardize_sql(names: list[str]) -> str:
+    moments = ", ".join(f'avg("{c}") AS m{i}, stddev_samp("{c}") AS s{i}' for i, c in enumerate(names))
+    scaled = ", ".join(f'round(("{c}" - m{i}) / s{i}, 6) AS "{c}_std"' for i, c in enumerate(names))
+    return _STATS.format(moments=moments) + f" SELECT txn_id, {scaled} FROM txn, stats"
+
+
+def _cells_sql() -> str:
+    """Rows that agree in the four stepped features, label and fold, with their number and weight."""
+    step = "CASE WHEN {c} < -0.1::DOUBLE THEN 0 WHEN {c} < 0 THEN 1 WHEN {c} < 0.1::DOUBLE THEN 2 ELSE 3 END"
+    size = "CASE WHEN Amount < 10 THEN 0 WHEN Amount < 100 THEN 1 WHEN Amount < 500 THEN 2 WHEN Amount < 1000 THEN 3 ELSE 4 END"
+    slot = _SLOT.format(key="'fold:' || txn_id", slots=3)
+    return (
+        _TXN
+        + f""", stepped AS (
+  SELECT txn_id, Class AS y, CAST(floor("Time" / {3600 * STEP_HOURS}) AS INTEGER) AS f0, {size} AS f1,
+         {step.format(c='V14')} AS f2, {step.format(c='V4')} AS f3, {slot} AS fold
+  FROM txn),
+classes AS (SELECT y, (SELECT count(*) FROM stepped) / (2.0::DOUBLE * count(*)) AS weight FROM stepped GROUP BY y),
+cells AS (
+  SELECT f0, f1, f2, f3, y, fold, count(*) AS n, count(*) * max(weight) AS w
+  FROM stepped JOIN classes USING (y) GROUP BY ALL)"""
+    )
+
+
+def _boosted_sql(tag: str, inside: str, trees: int, depth: int, step: float) -> str:
+    """Boost ``trees`` trees of ``depth`` levels on the cells ``inside``.
+
+    ``<tag>_m<t>`` has all cells and their margin after ``t`` trees, ``<tag>_b<t>_<l>`` the splits of level ``l``.
+    """
+    sql = f""", {tag}_m0 AS (SELECT *, {inside} AS learns, 0.0::DOUBLE AS m FROM cells),
+{tag}_values AS (
+  SELECT DISTINCT unnest([0, 1, 2, 3]) AS f, unnest([f0, f1, f2, f3]) AS v FROM {tag}_m0 WHERE learns)"""
+    value = "CASE b.f WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END"
+    for t in range(1, trees + 1):
+        target = "2 * y - 1" if t == 1 else "4 * (2 * y - 1) / (1 + exp(2 * (2 * y - 1) * m))"
+        sql += f""",
+{tag}_r{t}_0 AS MATERIALIZED (SELECT *, CAST({target} AS DOUBLE) AS r, 1 AS node FROM {tag}_m{t - 1})"""
+        for level in range(depth):
+            at = f"{tag}_r{t}_{level}"
+            sql += f""",
+{at}_sums AS (
+  SELECT node, f, v, sum(n) AS n, sum(w) AS w, sum(w * r) AS a, sum(w * r * r) AS q
+  FROM (SELECT node, n, w, r, unnest([0, 1, 2, 3]) AS f, unnest([f0, f1, f2, f3]) AS v FROM {at} WHERE learns)
+  GROUP BY ALL),
+{at}_left AS (
+  SELECT g.node, g.f, g.v, sum(coalesce(s.n, 0)) OVER l AS ln, sum(coalesce(s.w, 0)) OVER l AS lw,
+         sum(coalesce(s.a, 0)) OVER l AS la, sum(coalesce(s.q, 0)) OVER l AS lq,
+         tn, tw, ta, tq
+  FROM (SELECT node, f, v FROM (SELECT DISTINCT node FROM {at}_sums), {tag}_values) g
+  LEFT JOIN {at}_sums s USING (node, f, v)
+  JOIN (SELECT node, sum(n) AS tn, sum(w) AS tw, sum(w * r) AS ta, sum(w * r * r) AS tq
+        FROM {at} WHERE learns GROUP BY node) t USING (node)
+  WINDOW l AS (PARTITION BY g.node, g.f ORDER BY g.v ROWS UNBOUNDED PRECEDING)),
+{at}_gains AS (
+  SELECT node, f, v, tw, (tq - ta * ta / tw) / tw - (lq - la * la / lw) / tw
+         - ((tq - lq) - (ta - la) * (ta - la) / (tw - lw)) / tw AS gain
+  FROM {at}_left WHERE ln > 0 AND ln < tn),
+{tag}_b{t}_{level} AS MATERIALIZED (
+  SELECT node, f, v, gain, tw FROM {at}_gains WHERE gain > 1e-12::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, f, v) = 1),
+{tag}_r{t}_{level + 1} AS MATERIALIZED (
+  SELECT r.* REPLACE (CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + CAST({value} > b.v AS INTEGER) END AS node)
+  FROM {at} r LEFT JOIN {tag}_b{t}_{level} b ON b.node = r.node)"""
+        rate = 1.0 if t == 1 else step
+        sql += f""",
+{tag}_leaf{t} AS (SELECT node, sum(w * r) / sum(w) AS leaf, sum(n) AS n FROM {tag}_r{t}_{depth} WHERE learns GROUP BY node),
+{tag}_m{t} AS MATERIALIZED (
+  SELECT r.* EXCLUDE (r, node) REPLACE (m + {rate}::DOUBLE * leaf AS m)
+  FROM {tag}_r{t}_{depth} r JOIN {tag}_leaf{t} USING (node))"""
+    return sql
+
+
+def _by_value_sql(result: str) -> str:
+    small = SMALL_TREES
+    boosted = _boosted_sql("t", "true", small["maxIter"], small["maxDepth"], small["stepSize"])
+    trees, levels = range(1, small["maxIter"] + 1), range(small["maxDepth"])
+    splits = " UNION ALL ".join(f"SELECT {t} AS t, {lv} AS l, f, gain, tw FROM t_b{t}_{lv}" for t in trees for lv in levels)
+    leaves = " UNION ALL ".join(f"SELECT {t} AS t, leaf, n FROM t_leaf{t}" for t in trees)
+    rates = " UNION ALL ".join(f"SELECT {t} AS t, {1.0 if t == 1 else small['stepSize']}::DOUBLE AS rate" for t in trees)
+    return _cells_sql() + boosted + f""", splits AS ({splits}), leaves AS ({leaves}), rates AS ({rates}),
+ends AS (SELECT f0, f1, f2, f3, max(1 / (1 + exp(-2 * m))) AS score FROM t_m{small['maxIter']} GROUP BY ALL)
+{result}"""
+
+
+def _cv_by_value_sql() -> str:
+    tag, sql, parts = "k{i}d{d}", _cells_sql(), []
+    for i in range(3):
+        for d in SMALL_GRID["maxDepth"]:
+            name = tag.format(i=i, d=d)
+            sql += _boosted_sql(name, f"fold <> {i}", max(SMALL_GRID["maxIter"]), d, SMALL_GRID["stepSize"][0])
+            parts += [
+                f"SELECT {t} AS trees, {d} AS depth, fold, m, y, n FROM {name}_m{t} WHERE NOT learns"
+                for t in SMALL_GRID["maxIter"]
+            ]
+    return sql + f""", judged AS ({" UNION ALL ".join(parts)}),
+g AS (
+  SELECT trees, depth, fold, round(m, 10) AS s, CAST(sum(n * y) AS DOUBLE) AS p, CAST(sum(n * (1 - y)) AS DOUBLE) AS n
+  FROM judged GROUP BY ALL),
+k AS (
+  SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY trees, depth, fold) AS pp
+  FROM g WINDOW w AS (PARTITION BY trees, depth, fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+c AS (
+  SELECT *, tp / (tp + fp) AS prec,
+         lag(tp / (tp + fp)) OVER (PARTITION BY trees, depth, fold ORDER BY s DESC) AS prev
+  FROM k),
+areas AS (
+  SELECT trees, depth, fold, sum(p / pp * (prec + coalesce(prev, prec)) / 2) AS area FROM c GROUP BY ALL),
+means AS (SELECT trees, depth, avg(area) AS metric FROM areas GROUP BY ALL)
+SELECT CAST(trees AS INTEGER) AS "maxIter", CAST(depth AS INTEGER) AS "maxDepth", round(metric, 6) AS avg_metric,
+  row_number() OVER (ORDER BY metric DESC, trees, depth) = 1 AS is_best FROM means"""
+
+
+def _near_sql(source: str, key: str, features: list[str], k: int) -> str:
+    """Every positive's ``k`` nearest others: all pairs, which is what the operator avoids."""
+    squares = " + ".join(f'(a."{c}" - b."{c}") * (a."{c}" - b."{c}")' for c in features)
+    cast = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in features)
+    return f""", pos AS (SELECT CAST({key} AS VARCHAR) AS key, {cast} FROM {source} WHERE Class = 1),
+met AS (
+  SELECT a.key, b.key AS neighbour, {squares} AS d, row_number() OVER (PARTITION BY a.key ORDER BY {squares}, b.key) AS i
+  FROM pos a JOIN pos b ON a.key <> b.key QUALIFY i <= {k})"""
+
+
+def _smote_sql(source: str, key: str, features: list[str], k: int, factor: int) -> str:
+    slot = "(('0x' || substr(md5('smote:{what}:' || key || '-' || copy), 1, 8))::BIGINT) % 2147483648"
+    between = ", ".join(f'round(x."{c}" + way * (y."{c}" - x."{c}"), 6) AS "{c}"' for c in features)
+    return _near_sql(source, key, features, k) + f""",
+sized AS (SELECT key, count(*) AS held FROM met GROUP BY key),
+copies AS (SELECT key, held, CAST(unnest(range(2, {factor + 1})) AS INTEGER) AS copy FROM sized),
+placed AS (
+  SELECT key, copy, {slot.format(what='pick')} % held + 1 AS i, ({slot.format(what='way')}) / 2147483648.0::DOUBLE AS way
+  FROM copies)
+SELECT p.key AS {key}, p.copy, m.neighbour, {between}, 1::INTEGER AS Class
+FROM placed p JOIN met m ON m.key = p.key AND m.i = p.i JOIN pos x ON x.key = p.key JOIN pos y ON y.key = m.neighbour"""
+
+
 def _metric(name: str, value: str, source: str) -> str:
     return f"SELECT '{name}' AS metric, round(CAST({value} AS DOUBLE), 9) AS value FROM {source}"
 
@@ -632,9 +947,7 @@ def _oracle_sql() -> dict[str, str]:
         "squares": _TXN + "SELECT txn_id, round(V14 * V14, 6) AS V14_squared FROM txn",
         "valid_rows": _TXN
         + "SELECT txn_id, Amount FROM txn WHERE Amount >= 10 AND V1 <= CAST(0.3 AS DOUBLE)",
-        "standardize": _TXN
-        + f"""SELECT txn_id, {_z('"Time"')} AS Time_std, {_z('V1')} AS V1_std,
-             {_z('V14')} AS V14_std, {_z('Amount')} AS Amount_std FROM txn""",
+        "standardize": _standardize_sql([TIME, "V1", "V14", AMOUNT]),
         "class_counts": _TXN
         + """SELECT cls.Class, count(txn.Class) AS n,
              round(count(txn.Class) / (SELECT count(*) FROM txn) * 100, 4) AS pct
@@ -743,4 +1056,42 @@ def _oracle_sql() -> dict[str, str]:
              FROM split, (SELECT unnest([1, 2, 5, 10]) AS times) GROUP BY times""",
         "parquet_roundtrip": _TXN + hour_rates,
         "csv_roundtrip": _TXN + class_distribution,
+        "csv_inferred": _TXN + class_distribution,
+        "csv_rejects": _TXN
+        + f""", kinds AS (
+  SELECT CASE WHEN "Time" < {SHORT_BEFORE} THEN 'short' WHEN Amount < 10 THEN 'no number' ELSE 'accepted' END AS kind, Amount FROM txn)
+SELECT kind, CASE WHEN kind <> 'accepted' THEN 'malformed' END AS reason, count(*) AS rows,
+  CASE WHEN kind = 'accepted' THEN round(sum(Amount), 4) END AS amount FROM kinds GROUP BY kind""",
+        "partitions_replaced": _TXN
+        + f"""SELECT hour, count(*) AS rows, round(sum(Amount), 4) AS amount, CAST(sum(Class) AS BIGINT) AS positives
+              FROM (SELECT *, {_HOUR} FROM txn) GROUP BY hour""",
+        "smote": _TXN + _smote_sql("txn", "txn_id", BASE_FEATURES, 5, 10),
+        "smote_events": _EVENTS + _smote_sql("ev", "event_id", [TIME, AMOUNT], 3, 3),
+        "nearest_positives_events": _EVENTS
+        + _near_sql("ev", "event_id", [TIME, AMOUNT], 5)
+        + """SELECT key AS event_id, CAST(i - 1 AS INTEGER) AS rank, neighbour,
+             round(d, 6) AS squared_distance FROM met""",
+        "amount_drift_loads": _psi_sql("Amount"),
+        "quality_drift_loads": _DECIDED
+        + f", hours AS (SELECT *, {_HOUR} FROM decided)"
+        + _quality_sql("hours"),
+        "gbt_by_value": _by_value_sql(
+            """SELECT txn_id, round(score, 6) AS score, CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+               AS prediction FROM stepped JOIN ends USING (f0, f1, f2, f3)"""
+        ),
+        "gbt_by_value_importances": _by_value_sql(
+            f""", names AS (SELECT unnest({list(STEPS)!r}) AS feature, unnest([0, 1, 2, 3]) AS f),
+shares AS (SELECT feature, coalesce(sum(gain * tw), 0) / (SELECT sum(gain * tw) FROM splits) AS share
+  FROM names LEFT JOIN splits USING (f) GROUP BY feature)
+SELECT feature, round(share, 6) AS importance,
+  CAST(row_number() OVER (ORDER BY share DESC, feature) AS INTEGER) AS rank FROM shares"""
+        ),
+        "gbt_by_value_nodes": _by_value_sql(
+            """SELECT CAST(t - 1 AS INTEGER) AS tree, CAST((SELECT count(*) FROM splits s WHERE s.t = e.t) AS BIGINT) AS splits,
+               CAST(sum(n) AS BIGINT) AS rows, round((SELECT rate FROM rates x WHERE x.t = e.t), 6) AS weight,
+               round(max(leaf), 6) AS largest,
+               round((SELECT gain FROM splits s WHERE s.t = e.t AND l = 0), 6) AS first_gain
+               FROM leaves e GROUP BY t"""
+        ),
+        "cv_by_value": _cv_by_value_sql(),
     }

@@ -23,19 +23,29 @@ from riskframe.sources.schema import LABEL, THRESHOLDS
 # --- decisions -------------------------------------------------------------
 
 
-def _cell(label: str, prediction: str, actual: int, decided: int) -> Column:
-    return count_where((F.col(label) == actual) & (F.col(prediction) == decided))
+def _counted(condition: Column, weight: str | None) -> Column:
+    """How many rows meet ``condition``, each as often as its ``weight`` says."""
+    if weight is None:
+        return count_where(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
 
 
 def confusion(
-    df: DataFrame, label: str = LABEL, prediction: str = "prediction", by: Sequence[str] = ()
+    df: DataFrame,
+    label: str = LABEL,
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """TP, TN, FP, FN, detection and false-alarm rate in percent, in one pass."""
+    """TP, TN, FP, FN, detection and false-alarm rate in percent, in one pass.
+
+    ``weight`` names a column of whole numbers when rows stand for several.
+    """
     cells = df.groupBy(*by).agg(
-        _cell(label, prediction, 1, 1).alias("tp"),
-        _cell(label, prediction, 0, 0).alias("tn"),
-        _cell(label, prediction, 0, 1).alias("fp"),
-        _cell(label, prediction, 1, 0).alias("fn"),
+        *[
+            _counted((F.col(label) == actual) & (F.col(prediction) == decided), weight).alias(name)
+            for name, actual, decided in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))
+        ]
     )
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     return cells.withColumns(
@@ -177,6 +187,7 @@ def ranking(
     by: Sequence[str] = (),
     ranges: int | None = None,
     bins: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Area under the ROC and the precision-recall curve, exact for any size.
 
@@ -189,7 +200,8 @@ def ranking(
     The input is read once.
 
     ``bins`` rounds scores down to a grid first, trading exactness for fewer
-    distinct scores.  With one class only the areas are null.
+    distinct scores.  With one class only the areas are null.  ``weight`` names a
+    column of whole numbers when rows stand for several.
     """
     spark = df.sparkSession
     if ranges is None:
@@ -199,10 +211,14 @@ def ranking(
     if bins is not None:
         value = F.floor(value * bins) / bins
     rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull()).select(
-        *keys, value.alias("s"), F.col(label).cast("int").alias("y")
+        *keys,
+        value.alias("s"),
+        F.col(label).cast("int").alias("y"),
+        *([] if weight is None else [F.col(weight).alias("w")]),
     )
+    weighing = None if weight is None else "w"
     groups = rows.groupBy(*keys, "s").agg(
-        count_where(F.col("y") == 1).alias("p"), count_where(F.col("y") == 0).alias("n")
+        _counted(F.col("y") == 1, weighing).alias("p"), _counted(F.col("y") == 0, weighing).alias("n")
     )
     groups = materialised(groups)
     edges = _range_edges(groups, "s", ranges)

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import hash_slot
+from riskframe.session import materialised
 from riskframe.sources.schema import FOLDS, LABEL, OVERSAMPLING, TRAIN_PCT
 
 HASHES = 1 << 31
+#: Keys with more than such a part of a shuffle partition's rows are hot.
+HOT_SHARE = 8
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -70,6 +73,29 @@ def hash_folds(
     return df.withColumn(out, hash_slot(_keys(key), k, salt, method))
 
 
+def _key_folds(keys: DataFrame, k: int, salt: str) -> DataFrame:
+    """``(__label, __key, __n, fold)`` from distinct ``(__label, __key, __n)``.
+
+    The keys of a class are dealt in the order of their hashes.  They are ranked inside ranges of
+    hashes, one per shuffle partition, and a range starts where the ones below it end.
+    """
+    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = hash_slot(["__key"], HASHES, salt).cast("bigint")
+    cut = keys.withColumn("__hash", place)
+    cut = materialised(cut.withColumn("__range", F.floor(F.col("__hash") * ranges / HASHES).cast("int")))
+    below = Window.partitionBy("__of").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        cut.groupBy(F.col("__label").alias("__of"), F.col("__range").alias("__at"))
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .select("__of", "__at", F.coalesce(F.sum("__size").over(below), F.lit(0)).alias("__start"))
+    )
+    inside = Window.partitionBy("__label", "__range").orderBy("__hash", "__key")
+    ranked = cut.withColumn("__rank", F.row_number().over(inside) - 1)
+    same = F.col("__of").eqNullSafe(F.col("__label")) & (F.col("__at") == F.col("__range"))
+    fold = F.pmod(F.col("__start") + F.col("__rank"), F.lit(k)).cast("int")
+    return ranked.join(starts, same).select("__label", "__key", "__n", fold.alias("__fold"))
+
+
 def stratified_folds(
     df: DataFrame,
     key: str | Sequence[str],
@@ -80,25 +106,30 @@ def stratified_folds(
 ) -> DataFrame:
     """Folds with as many keys of every class as can be: at most one more or less.
 
-    The keys of a class are dealt in the order of their hashes.  No task orders
-    a class: keys are ranked inside ranges of hashes, and a range starts where
-    the ones below end.  Of those there are one per class and shuffle partition.
-    Rows that share key and class share a fold; a null key is an empty one.
+    Rows that share key and class share a fold; a null key is an empty one.  Distinct keys are ranked,
+    not rows: a key is one row after a map-side aggregate, however many rows hold it.  The folds go
+    back to the rows by a join.  A key with more rows than the ``HOT_SHARE``-th part of a shuffle
+    partition's share is hot; there are at most ``HOT_SHARE`` times as many as partitions, so they are
+    broadcast, and their rows go to the join under names of their own that spread evenly.
     """
     keys = _keys(key)
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = hash_slot(keys, HASHES, salt).cast("bigint")
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
-    cut = df.withColumns({"__hash": place, "__key": F.concat_ws("-", *names)})
-    cut = cut.withColumn("__range", F.floor(F.col("__hash") * ranges / HASHES).cast("int"))
-    inside = Window.partitionBy(label, "__range").orderBy("__hash", "__key")
-    ranked = cut.withColumn("__rank", F.dense_rank().over(inside))
-    below = Window.partitionBy("__label").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranked.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__at"))
-        .agg(F.max("__rank").alias("__n"))
-        .select("__label", "__at", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"))
-    )
-    same = F.col("__label").eqNullSafe(F.col(label)) & (F.col("__at") == F.col("__range"))
-    fold = F.pmod(F.col("__start") + F.col("__rank") - 1, F.lit(k)).cast("int")
-    return ranked.join(starts, same).withColumn(out, fold).select(*[c for c in df.columns if c != out], out)
+    rows = df.withColumn("__key", F.concat_ws("-", *names))
+    counted = rows.groupBy(F.col(label).alias("__label"), "__key").agg(F.count(F.lit(1)).alias("__n"))
+    folds = materialised(_key_folds(counted, k, salt))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * HOT_SHARE
+    hot = F.col("__n") * parts > folds.agg(F.sum("__n")).scalar()
+
+    def side(some: DataFrame, fold: str) -> DataFrame:
+        return some.select(F.col("__label").alias("__of"), F.col("__key").alias("__name"), F.col("__fold").alias(fold))
+
+    def found(some: DataFrame, at: str, other: DataFrame) -> DataFrame:
+        same = F.col("__of").eqNullSafe(F.col(label)) & (F.col("__name") == F.col(at))
+        return some.join(other, same, "left").drop("__of", "__name")
+
+    marked = found(rows, "__key", F.broadcast(side(folds.filter(hot), "__hot")))
+    spread = F.concat(F.lit("hot:"), F.monotonically_increasing_id() % (16 * parts))
+    marked = marked.withColumn("__at", F.when(F.col("__hot").isNull(), F.col("__key")).otherwise(spread))
+    dealt = found(marked, "__at", side(folds.filter(~hot), "__cold"))
+    kept = [F.col(c) for c in df.columns if c != out]
+    return dealt.select(*kept, F.coalesce("__hot", "__cold").alias(out))

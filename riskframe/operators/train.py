@@ -15,8 +15,9 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ from pyspark.util import inheritable_thread_target
 
 from riskframe.functions.columns import positive_probability
 from riskframe.operators import evaluate
-from riskframe.session import materialised, shared_dir
+from riskframe.session import materialised, shared_dir, shared_path
 from riskframe.sources.schema import FOLDS, LABEL, SEED, TUNING_GRID, WEIGHT
 
+#: The setting of which a longer fit contains the shorter ones.
+TREES = "maxIter"
+
 
 def feature_stages(
     cols: Sequence[str], invalid: str = "error", standardise: bool = True
@@ -145,40 +149,49 @@ def cross_validate(
     The folds are plain filters on the fold column (MLlib's own ``foldCol``
     sends every row through a Python function).  Assembling and scaling do not
     depend on the settings, so they are fitted once per fold and their result
-    is kept while that fold's settings are tried, ``parallelism`` at a time.
-    One query then ranks the fold's rows under all settings; ``metric`` is
-    ``pr_auc`` or ``roc_auc``.
+    is kept while that fold's settings are tried.  Settings that differ in the
+    number of trees alone share one fit, of the most trees: boosting adds trees
+    to those it has, so the first 50 of 100 are what 50 would have been (see
+    :func:`first_trees`).  ``parallelism`` fits run at a time, of several folds
+    if one has fewer.  One query ranks a fold's rows under all settings;
+    ``metric`` is ``pr_auc`` or ``roc_auc``.
     """
     # Read about four times per fold: stored once, as the few columns needed.
     rows = materialised(_training_input(train, [*cols, label, weight, fold], partitions))
     _check_folds(rows, fold, label, k)
     *stages, trees = gbt_pipeline(cols, label, weight, invalid).getStages()
     settings = grid(axes)
-    maps = [{trees.getParam(name): value for name, value in s.items()} for s in settings]
+    fits = _fits(settings)
     vectors = [c for c in ("features", label, weight) if c is not None]
-    totals = [0.0] * len(settings)
-    for i in range(k):
+
+    def judged(i: int) -> list[float]:
         inside = rows.filter(F.col(fold) != i)
         features = Pipeline(stages=stages).fit(inside)
         fit_on, judge_on = (
             features.transform(side).select(*vectors).persist(StorageLevel.MEMORY_AND_DISK)
             for side in (inside, rows.filter(F.col(fold) == i))
         )
+        maps = [{trees.getParam(name): value for name, value in fit.items()} for fit, _ in fits]
         attempts = trees.fitMultiple(fit_on, maps)
-        with ThreadPool(parallelism) as pool:
+        with ThreadPool(min(parallelism, len(fits))) as pool:
             fitted = inheritable_thread_target(train.sparkSession)(lambda _: next(attempts))
-            models = dict(pool.map(fitted, settings))
+            models = dict(pool.map(fitted, fits))
         fit_on.unpersist()
-        judged = [
-            model.transform(judge_on).select(
-                F.lit(index).alias("setting"), label, positive_probability().alias("score")
-            )
-            for index, model in models.items()
+        scored = [
+            (first_trees(models[at], count) if count else models[at])
+            .transform(judge_on)
+            .select(F.lit(index).alias("setting"), label, positive_probability().alias("score"))
+            for at, (_, served) in enumerate(fits)
+            for index, count in served
         ]
-        scored = materialised(reduce(DataFrame.unionByName, judged))
+        scored = materialised(reduce(DataFrame.unionByName, scored))
         judge_on.unpersist()
-        for row in evaluate.ranking(scored, label, by=["setting"]).collect():
-            totals[row["setting"]] += row[metric] / k
+        areas = {row["setting"]: row[metric] for row in evaluate.ranking(scored, label, by=["setting"]).collect()}
+        return [areas[index] for index in range(len(settings))]
+
+    with ThreadPool(max(1, min(k, parallelism // len(fits)))) as pool:
+        per_fold = pool.map(inheritable_thread_target(train.sparkSession)(judged), range(k))
+    totals = [sum(areas) / k for areas in zip(*per_fold)]
     best = settings[max(range(len(settings)), key=totals.__getitem__)]
     # One row per setting, so a local table is the right size for it.
     metrics = train.sparkSession.createDataFrame(
@@ -189,6 +202,64 @@ def cross_validate(
     return CrossValidation(model, metrics, best)
 
 
+def _fits(settings: Sequence[Mapping[str, Any]]) -> list[tuple[dict[str, Any], list[tuple[int, int | None]]]]:
+    """The fits that serve all settings: ``(parameters, [(setting, first trees or None for all), ...])``."""
+    alike: dict[tuple, list[int]] = {}
+    for index, setting in enumerate(settings):
+        rest = tuple(sorted((name, value) for name, value in setting.items() if name != TREES))
+        alike.setdefault(rest, []).append(index)
+    out = []
+    for group in alike.values():
+        longest = max(group, key=lambda i: settings[i].get(TREES, 0))
+        most = settings[longest].get(TREES)
+        served = [(i, None if settings[i].get(TREES) == most else settings[i][TREES]) for i in group]
+        out.append((dict(settings[longest]), served))
+    return out
+
+
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The model that boosting had after ``count`` trees: a fit of so many trees gives the same."""
+    if not 1 <= count <= model.getNumTrees:
+        raise ValueError(f"the model has {model.getNumTrees} trees")
+    context, java = SparkContext._active_spark_context, model._java_obj
+    jvm, gateway = context._jvm, context._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i, (tree, weight) in enumerate(zip(model.trees[:count], model.treeWeights)):
+        trees[i], weights[i] = tree._java_obj, weight
+    part = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    java.copyValues(part, java.extractParamMap())
+    return GBTClassificationModel(part)
+
+
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """The boosted trees as a table ``(tree, node, feature, threshold, left, right, value, gain, n, weight)``.
+
+    A row goes ``left`` where the standardised ``feature`` (its place among the features) is at most
+    ``threshold``; a leaf has neither.  The score is ``1 / (1 + exp(-2 m))``, where the margin ``m``
+    adds up ``weight * value`` of the leaves reached.  MLlib's own storage of a model holds this, so it
+    is written to the shared folder and read from there; nothing passes through the driver.
+    """
+    spark = SparkSession.active()
+    path = shared_path(spark, "trees")
+    model.stages[-1].save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights").drop("metadata")
+    inner = F.col("leftChild") >= 0
+    return nodes.join(weights, "treeID").select(
+        F.col("treeID").alias("tree"),
+        F.col("id").alias("node"),
+        F.when(inner, F.col("split.featureIndex")).alias("feature"),
+        F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.when(inner, F.col("leftChild")).alias("left"),
+        F.when(inner, F.col("rightChild")).alias("right"),
+        F.col("prediction").alias("value"),
+        "gain",
+        F.col("rawCount").alias("n"),
+        F.col("weights").alias("weight"),
+    )
+
+
 def importances(model: PipelineModel, cols: Sequence[str], k: int | None = None) -> DataFrame:
     """``(feature, importance, rank)`` of the fitted trees, largest first."""
     values = model.stages[-1].featureImportances.toArray()

@@ -1,6 +1,9 @@
+import duckdb
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskframe.functions.columns import positive_probability
 from riskframe.operators import drift, evaluate, features, sampling, train, weights
 from riskframe.operators.score import decide, score
 from riskframe.plans.baseline import baseline
@@ -81,6 +84,71 @@ def test_grid_is_the_product_of_its_axes():
     assert len(settings) == 8 and {"maxIter": 100, "maxDepth": 4, "stepSize": 0.05} in settings
 
 
+@pytest.fixture(scope="module")
+def weighted(txn):
+    return sampling.hash_folds(weights.attach(txn), "txn_id").select(*BASE_FEATURES, "Class", "classWeight", "fold", "txn_id")
+
+
+def test_first_trees_equal_a_separate_fit(weighted):
+    params = {"maxDepth": 3, "stepSize": 0.2}
+    long, short = (train.fit_gbt(weighted, BASE_FEATURES, params={**params, "maxIter": n}) for n in (6, 3))
+    part = train.first_trees(long.stages[-1], 3)
+    own = short.stages[-1]
+    assert part.getNumTrees == 3 and list(part.treeWeights) == list(own.treeWeights)
+    assert [t.toDebugString.split("\n", 1)[1] for t in part.trees] == [t.toDebugString.split("\n", 1)[1] for t in own.trees]
+    rows = long.stages[1].transform(long.stages[0].transform(weighted))
+    scores = [
+        [r["p"] for r in m.transform(rows).orderBy("txn_id").select(positive_probability().alias("p")).collect()] for m in (part, own)
+    ]
+    assert scores[0] == scores[1]
+    for bad in (0, 7):
+        with pytest.raises(ValueError):
+            train.first_trees(long.stages[-1], bad)
+
+
+def test_a_search_needs_one_fit_per_number_of_trees_left_out():
+    fits = train._fits(train.grid(TUNING_GRID))
+    assert len(fits) == 4 and all(params["maxIter"] == 100 for params, _ in fits)
+    served = sorted(pair for _, some in fits for pair in some)
+    assert [i for i, _ in served] == list(range(8)) and [n for _, n in served] == [50] * 4 + [None] * 4
+    assert train._fits([{"maxDepth": 2}, {"maxDepth": 3}]) == [({"maxDepth": 2}, [(0, None)]), ({"maxDepth": 3}, [(1, None)])]
+
+
+def test_a_search_equals_fits_of_every_setting(weighted):
+    cols, axes = ["V1", "V14", "Amount"], {"maxIter": [1, 4], "maxDepth": [2], "stepSize": [0.1, 0.4]}
+    found = train.cross_validate(weighted, cols, "fold", axes=axes, parallelism=3, metric="roc_auc").metrics.collect()
+    assert len(found) == 4
+    for row in found:
+        params = {"maxIter": int(row["params"]["maxIter"]), "maxDepth": 2, "stepSize": row["params"]["stepSize"]}
+        total = 0.0
+        for i in range(3):
+            model = train.fit_gbt(weighted.filter(F.col("fold") != i), cols, invalid="skip", params=params)
+            total += evaluate.roc_auc(score(model, weighted.filter(F.col("fold") == i))).first()["roc_auc"] / 3
+        assert row["avg_metric"] == pytest.approx(total, abs=1e-9)
+
+
+def test_scores_follow_from_the_table_of_nodes(weighted):
+    cols = ["V1", "V4", "V14", "Amount"]
+    model = train.fit_gbt(weighted, cols, params={"maxIter": 12, "maxDepth": 4, "stepSize": 0.3})
+    nodes = train.tree_nodes(model).toPandas()  # noqa: F841 (read by the SQL below)
+    assert nodes["tree"].nunique() == 12 and (nodes[nodes.tree == 0].weight == 1.0).all()
+    scaled = model.stages[1].transform(model.stages[0].transform(weighted))
+    rows = scaled.select("txn_id", vector_to_array("features").alias("x")).toPandas()  # noqa: F841
+    found = {r["txn_id"]: r["score"] for r in score(model, weighted, keep=["txn_id"]).collect()}
+    walked = duckdb.sql(
+        """WITH RECURSIVE walk AS (
+             SELECT txn_id, x, tree, node, feature, threshold, "left", "right", value, weight FROM rows, nodes WHERE node = 0
+             UNION ALL
+             SELECT w.txn_id, w.x, n.tree, n.node, n.feature, n.threshold, n."left", n."right", n.value, n.weight
+             FROM walk w JOIN nodes n ON n.tree = w.tree AND w.feature IS NOT NULL
+               AND n.node = CASE WHEN w.x[w.feature::INT + 1] <= w.threshold THEN w."left" ELSE w."right" END)
+           SELECT txn_id, 1 / (1 + exp(-2 * sum(weight * value))) AS score FROM walk WHERE feature IS NULL GROUP BY txn_id"""
+    ).fetchall()
+    assert len(walked) == len(found)
+    assert all(found[key] == pytest.approx(value, abs=1e-12) for key, value in walked)
+    assert set(nodes.feature.dropna().astype(int)) <= set(range(4))
+
+
 def test_split_first_never_shares_a_key_between_sides(txn):
     inside, validation, test = prepared(txn, ["txn_id"], 10, "split-first")
     for a, b in ((inside, validation), (inside, test), (validation, test)):
@@ -174,3 +242,26 @@ def test_quality_drift_covers_every_bucket(txn, scored):
     out = drift.quality_drift(decide(df, 0.5, out="prediction"), "hour").collect()
     assert len(out) == 42
     assert sum(r["tp"] + r["tn"] + r["fp"] + r["fn"] for r in out) == txn.count()
+
+
+def test_loads_of_parts_equal_one_load(spark, txn, scored, tmp_path):
+    df = decide(features.hour_bucket(txn).join(scored.select("txn_id", "score"), "txn_id"), 0.5, out="prediction")
+    holes = df.withColumn("hour", F.when(F.col("hour") != 3, F.col("hour"))).withColumn(
+        "score", F.when(F.col("V1") < 0.5, F.col("score"))
+    )
+    state = drift.DriftState(spark, str(tmp_path / "state"), "hour")
+    part = F.pmod(F.xxhash64("txn_id"), F.lit(3))
+    for day in (0, 1, 2, 1):
+        for kind in ("amount", "quality"):
+            state.load(holes.filter(part == day), f"day {day}", kind)
+
+    def canonical(out):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect()), key=repr)
+
+    assert canonical(state.amount_drift(0)) == canonical(drift.amount_drift(holes, "hour", 0))
+    assert canonical(state.quality_drift()) == canonical(drift.quality_drift(holes, "hour"))
+    # A corrected delivery replaces the first one.
+    state.load(holes.filter(part == 0).limit(0), "day 3", "amount")
+    state.load(holes.filter((part == 1) & (F.col("hour") < 9)), "day 1", "amount")
+    fewer = holes.filter((part != 1) | (F.col("hour") < 9))
+    assert canonical(state.amount_drift(0)) == canonical(drift.amount_drift(fewer, "hour", 0))

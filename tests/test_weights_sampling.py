@@ -88,3 +88,29 @@ def test_stratified_folds_are_even_and_keep_keys_together(spark):
         assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
     assert out.groupBy("key").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
     assert sampling.stratified_folds(df.limit(0), "key").count() == 0
+
+
+def test_stratified_folds_with_a_third_of_all_rows_under_one_key(spark):
+    rows = [(f"k{i % 211}", i % 2) for i in range(1200)] + [("hot", 0)] * 500 + [(None, 1)] * 500 + [("hot:3", 0)] * 2
+    df = spark.createDataFrame(rows, "key string, Class int").repartition(6)
+    out = sampling.stratified_folds(df, "key", 3)
+    keys = {(r["Class"], r["key"] or "", r["fold"]) for r in out.distinct().collect()}
+    assert out.count() == len(rows) and len(keys) == len({k[:2] for k in keys})
+    # The same folds as ranking the distinct keys by hash in one place.
+    import hashlib
+
+    for label in (0, 1):
+        names = sorted(
+            {k[1] for k in keys if k[0] == label},
+            key=lambda n: (int(hashlib.md5(f"fold:{n}".encode()).hexdigest()[:8], 16) % (1 << 31), n),
+        )
+        assert {k[1]: k[2] for k in keys if k[0] == label} == {n: i % 3 for i, n in enumerate(names)}
+    # Rows of hot keys are spread over the join's partitions.
+    sizes = [len(part) for part in out.repartition(4, "fold").rdd.glom().collect()]
+    assert sum(sizes) == len(rows)
+
+
+def test_stratified_folds_broadcast_only_the_hot_keys(spark):
+    df = spark.createDataFrame([(f"k{i}", i % 2) for i in range(400)] + [("hot", 0)] * 400, "key string, Class int")
+    plan = sampling.stratified_folds(df, "key", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and "Window" not in plan
