@@ -13,9 +13,14 @@ longest phrase.
 *Counting.*  A phrase that reaches ``least`` in all shards together consists of words and of pairs that
 do.  So words are counted first, other words become breaks, pairs are enumerated next, and longer
 phrases only along pairs that reach it; each time shards get back what they hold of the survivors.
-Nothing is dropped that could reach ``least``.  A shard sends one row per phrase: its count, and the
-word to its left and to its right where all its occurrences share one.  If the shards agree on one,
-the phrase never occurs without it, so the longer phrase has the same count.
+Nothing is dropped that could reach ``least``.
+
+*Sums.*  Phrases are dealt to buckets by their hashes, and a shard sends each bucket one compressed
+block: the phrases by column, and their counts.  A phrase is one entry per shard that has it, however
+frequent it is, so buckets are even; there are as many as shuffle partitions, and more if they held
+over ``BUCKET_WORDS`` words.  With a phrase of three words or more, or of two on its way to them, goes
+the word to its left and to its right where all its occurrences in the shard share one.  If all
+shards agree on one, the phrase never occurs without it, so the longer phrase has the same count.
 
 *Scores.*  Every cut of a candidate looks up its two parts by joins; numbers are decimals of 38 digits
 (1000 times two counts below 10^17 fits).
@@ -27,6 +32,7 @@ gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,27 +49,90 @@ DEPTH = 5
 LEAST = 100
 TOP = 2000
 SHARD_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 22
 UNKNOWN = "und"
 #: Pieces end at any of .,;:!? and at line ends; words at spaces and tabs.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
 _AS_READ = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"." * len(_ENDS) + b" ")
-
-_SHARD = "shard long, lang string, n long, numbers binary, words array<string>, counts array<long>"
-_PRUNED = "shard long, numbers binary, ids binary"
 #: Text is taken in steps of about so many bytes, which end where a piece does.
 STEP = 1 << 22
 
+_SHARD = pa.schema(
+    [
+        ("shard", pa.int64()),
+        ("lang", pa.string()),
+        ("n", pa.int64()),
+        ("numbers", pa.binary()),
+        ("words", pa.binary()),
+        ("counts", pa.binary()),
+    ]
+)
+_WORDS = pa.schema([("bucket", pa.int64()), *(_SHARD.field(c) for c in ("shard", "lang", "numbers", "words", "counts"))])
+_COUNTED = pa.schema(
+    [
+        ("lang", pa.string()),
+        ("word", pa.string()),
+        ("id", pa.int64()),
+        ("f", pa.int64()),
+        ("shard", pa.int64()),
+        ("held", pa.binary()),
+    ]
+)
+_PRUNED = pa.schema([("shard", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("block", pa.binary())])
+_SUMMED = pa.schema(
+    [("words", pa.list_(pa.int64())), ("a", pa.int64()), ("inside", pa.bool_()), ("shard", pa.int64()), ("block", pa.binary())]
+)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"{f.name} {names.get(f.type, 'array<long>')}" for f in schema)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _raw(squeezed: bytes) -> bytes:
+    return pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), codec="zstd", asbytes=True)
+
 
 def _stored(numbers: np.ndarray) -> bytes:
-    """Word numbers, compressed, after their size in bytes."""
-    raw = numbers.astype("<u4").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers, compressed; all their first bytes, then all their second ones, and so on."""
+    return _squeezed(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _numbers(stored: bytes) -> np.ndarray:
-    raw = pa.decompress(stored[8:], int.from_bytes(stored[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, "<u4").astype(np.int64)
+    planes = np.frombuffer(_raw(stored), np.uint8).reshape(8, -1)
+    return planes.T.copy().view("<i8").ravel()
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, of which the first ascends: its steps are stored."""
+    return _stored(np.concatenate([np.diff(columns[0], prepend=0), *columns[1:]]))
+
+
+def _unpacked(block: bytes, columns: int) -> np.ndarray:
+    out = _numbers(block).reshape(columns, -1)
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(bucket, start, end)`` of each stretch of a sorted array."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for start, end in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist()):
+        yield int(bucket[start]), start, end
 
 
 def _between_breaks(numbers: np.ndarray) -> np.ndarray:
@@ -139,16 +208,6 @@ def _shards(docs: DataFrame, lang: str, text: str, words: int) -> DataFrame:
     """One row per shard: its word numbers, its words from number 1 on, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema(
-            [
-                ("shard", pa.int64()),
-                ("lang", pa.string()),
-                ("n", pa.int64()),
-                ("numbers", pa.binary()),
-                ("words", pa.list_(pa.string())),
-                ("counts", pa.list_(pa.int64())),
-            ]
-        )
         texts: dict[str, list[np.ndarray]] = defaultdict(list)
         known: dict[str, dict[bytes, int]] = {}
         held, made = 0, TaskContext.get().partitionId() << 32
@@ -158,14 +217,14 @@ def _shards(docs: DataFrame, lang: str, text: str, words: int) -> DataFrame:
             for name, parts in texts.items():
                 numbers = np.concatenate(parts)
                 counts = np.bincount(numbers, minlength=len(known[name]))[1:]
-                lists = (
-                    pa.array(list(known[name])[1:], pa.binary()).cast(pa.string()),
-                    pa.array(counts.astype(np.int64)),
-                )
-                row = [[made], [name], [int(counts.sum())], [_stored(_between_breaks(numbers))]]
-                arrays = [pa.array(x, kind) for x, kind in zip(row, out.types)]
-                arrays += [pa.ListArray.from_arrays([0, len(x)], x) for x in lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+                # Frequent words get the small numbers, which compress best.
+                order = np.argsort(-counts, kind="stable")
+                again = np.zeros(len(counts) + 1, np.int64)
+                again[order + 1] = np.arange(1, len(counts) + 1)
+                spelt = np.array(list(known[name])[1:], object)[order]
+                blocks = (_stored(_between_breaks(again[numbers])), _squeezed(b" ".join(spelt)), _stored(counts[order]))
+                row = (made, name, int(counts.sum()), *blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SHARD)], schema=_SHARD)
                 made += 1
             texts.clear()
             known.clear()
@@ -194,53 +253,143 @@ def _shards(docs: DataFrame, lang: str, text: str, words: int) -> DataFrame:
         yield from full()
 
     rows = docs.select(F.coalesce(docs[lang], F.lit(UNKNOWN)).alias("lang"), docs[text].alias("text"))
-    return rows.mapInArrow(run, _SHARD)
+    return rows.mapInArrow(run, _ddl(_SHARD))
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each shard's words, dealt to buckets: ``numbers`` says which words of the shard they are."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            counts = _numbers(row["counts"])
+            if not len(counts):
+                continue
+            words = np.array(_raw(row["words"]).split(b" "), object)
+            hashed = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+            bucket = _mixed([hashed]).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            out = []
+            for at, start, end in _runs(bucket[order]):
+                own = order[start:end]
+                block = (_packed([own + 1]), _squeezed(b" ".join(words[own])), _stored(counts[own]))
+                out.append((at, row["shard"], row["lang"], *block))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _WORDS)], schema=_WORDS)
+
+
+def _counted_words(group: pa.Table, least: int, buckets: int) -> pa.Table:
+    """A bucket's words that reach ``least``, each with a number of its own, and which of them shards hold."""
+    out, bucket, made = [], group["bucket"][0].as_py(), 0
+    by_lang = defaultdict(list)
+    for row in group.drop_columns(["bucket"]).to_pylist():
+        by_lang[row["lang"]].append(row)
+    for lang in sorted(by_lang):
+        rows = by_lang[lang]
+        words = [_raw(row["words"]).split(b" ") for row in rows]
+        coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+        code = coded.indices.to_numpy()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, code, np.concatenate([_numbers(row["counts"]) for row in rows]))
+        kept = np.flatnonzero(total >= least)
+        kept = kept[np.argsort(-total[kept], kind="stable")]
+        ids = np.zeros(len(total), np.int64)
+        # Numbers count up in all buckets at once, so they stay small.
+        ids[kept] = (made + np.arange(len(kept))) * buckets + bucket + 1
+        made += len(kept)
+        names = coded.dictionary.take(pa.array(kept)).cast(pa.string()).to_pylist()
+        out += [(lang, *row, None, None) for row in zip(names, ids[kept].tolist(), total[kept].tolist())]
+        own = ids[code]
+        ends = np.cumsum([len(w) for w in words])
+        for row, start, end in zip(rows, ends - [len(w) for w in words], ends):
+            some = own[start:end] > 0
+            if some.any():
+                held = [_unpacked(row["numbers"], 1)[0][some], own[start:end][some]]
+                out.append((lang, None, None, None, row["shard"], _packed(held)))
+    columns = list(zip(*out)) if out else [[]] * len(_COUNTED)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, _COUNTED)], schema=_COUNTED)
 
 
 def _pruned(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard with only the words that go on, numbered by ascending identifier."""
-    schema = pa.schema([("shard", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary())])
+    """A shard with only the words that go on, numbered anew in the same order."""
     if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
+        return _PRUNED.empty_table()
     numbers = _numbers(left["numbers"][0].as_py())
-    number, ids = right["number"].to_numpy(), right["id"].to_numpy()
-    order = np.argsort(ids)
+    number, ids = np.concatenate([_unpacked(x, 2) for x in right["held"].to_pylist()], axis=1)
+    order = np.argsort(number)
     again = np.zeros(max(int(numbers.max()), int(number.max())) + 1, np.int64)
     again[number[order]] = np.arange(1, len(order) + 1)
-    text = _between_breaks(again[numbers])
-    row = [left["shard"].to_pylist()[:1], [_stored(text)], [ids[order].astype("<i8").tobytes()]]
-    return pa.table([pa.array(x, t) for x, t in zip(row, schema.types)], schema=schema)
+    row = (left["shard"][0].as_py(), _stored(_between_breaks(again[numbers])), _stored(ids[order]))
+    return pa.table([pa.array([x], f.type) for x, f in zip(row, _PRUNED)], schema=_PRUNED)
 
 
-def _phrase_rows(shard: int, ids: np.ndarray, index: BiIndex, found, depth: int, sides: bool) -> pa.Table:
-    """What a shard sends: identifiers of the words (0 beyond the last), count, shared neighbours."""
-    phrases, start, back, count = found
-    known = np.append(0, ids)
-    words = [known[phrases[:, i]] if i < phrases.shape[1] else np.zeros(len(count), np.int64) for i in range(depth)]
-    near = index.sides(start, back, count) if sides and len(count) else (np.zeros(len(count), np.int64),) * 2
-    columns = [np.full(len(count), shard, np.int64), *words, count.astype(np.int64), *(known[x] for x in near)]
-    names = ["shard", *(f"w{i + 1}" for i in range(depth)), "n", "left", "right"]
-    return pa.table([pa.array(x) for x in columns], names=names)
+def _blocks(shard: int, columns: list[np.ndarray], keys: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Entries dealt to buckets by the hash of their first ``keys`` columns."""
+    if not len(columns[0]):
+        return []
+    bucket = (_mixed(columns[:keys]) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((columns[0], bucket))
+    columns = [c[order] for c in columns]
+    return [(at, shard, _packed([c[start:end] for c in columns])) for at, start, end in _runs(bucket[order])]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of words of each shard."""
-    for batch in batches:
-        for shard, numbers, ids in zip(*(batch[c].to_pylist() for c in ("shard", "numbers", "ids"))):
-            index = BiIndex(_numbers(numbers), 2)
-            found = index.extended(*index.words())
-            rows = _phrase_rows(shard, np.frombuffer(ids, "<i8"), index, found, 2, True)
-            yield from rows.to_batches(max_chunksize=100_000)
+def _as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
-def _longer(left: pa.Table, right: pa.Table, depth: int) -> pa.Table:
-    """The phrases of three words to ``depth`` along the pairs that go on."""
-    empty = _phrase_rows(0, np.zeros(0, np.int64), None, (np.zeros((0, 1), np.int64), *(np.zeros(0, np.int64),) * 3), depth, False)
+def _pair_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of words of each shard and their counts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            index = BiIndex(_numbers(row["numbers"]), 2)
+            pairs, _, _, count = index.extended(*index.words())
+            ids = np.append(0, _numbers(row["ids"]))
+            rows = _blocks(row["shard"], [ids[pairs[:, 0]], ids[pairs[:, 1]], count], 2, buckets)
+            yield from _as_table(rows, _BLOCK).to_batches()
+
+
+def _entries(group: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a bucket, a row each, and the place of each entry's block in ``group``."""
+    blocks = [_unpacked(x, columns) for x in group["block"].to_pylist()]
+    owner = np.repeat(np.arange(len(blocks)), [x.shape[1] for x in blocks])
+    return np.concatenate(blocks, axis=1), owner
+
+
+def _grouped(entries: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the first ``keys`` columns, and where each phrase starts in it."""
+    order = np.lexsort(entries[:keys][::-1])
+    sorted_keys = entries[:keys, order]
+    fresh = np.append(True, (sorted_keys[:, 1:] != sorted_keys[:, :-1]).any(axis=0))
+    return order, np.flatnonzero(fresh)
+
+
+def _counted_pairs(group: pa.Table, least: int) -> pa.Table:
+    """A bucket's pairs that reach ``least``, and which of them shards hold."""
+    entries, owner = _entries(group, 3)
+    order, starts = _grouped(entries, 2)
+    total = np.add.reduceat(entries[2, order], starts)
+    sizes = np.diff(np.append(starts, len(order)))
+    kept = total >= least
+    out = [(pair, a, False, None, None) for pair, a in zip(entries[:2, order[starts[kept]]].T.tolist(), total[kept].tolist())]
+    alive = np.empty(len(order), bool)
+    alive[order] = np.repeat(kept, sizes)
+    shards = group["shard"].to_pylist()
+    pairs = entries[:2, alive]
+    for at, start, end in _runs(owner[alive]):
+        out.append((None, None, None, shards[at], _packed(list(pairs[:, start:end]))))
+    return _as_table(out, _SUMMED)
+
+
+def _longer_blocks(left: pa.Table, right: pa.Table, depth: int, buckets: int) -> pa.Table:
+    """A shard's phrases of up to ``depth`` words along the pairs that go on, and what stands beside them.
+
+    Pairs are sent again where they are on the way to three words, to tell what stands beside them.
+    """
     if not left.num_rows or not right.num_rows:
-        return empty
-    text, ids = _numbers(left["numbers"][0].as_py()), np.frombuffer(left["ids"][0].as_py(), "<i8")
+        return _BLOCK.empty_table()
+    text, ids = (_numbers(left[c][0].as_py()) for c in ("numbers", "ids"))
     symbols = len(ids) + 1
-    first, second = (np.searchsorted(ids, right[c].to_numpy()) + 1 for c in ("w1", "w2"))
+    pairs = np.concatenate([_unpacked(x, 2) for x in right["block"].to_pylist()], axis=1)
+    order = np.argsort(ids)
+    first, second = order[np.searchsorted(ids[order], pairs)] + 1
     goes_on = np.append(np.isin(text[:-1] * symbols + text[1:], first * symbols + second), False)
     triple = goes_on & np.append(goes_on[1:], False)
     goes_on &= triple | np.append(False, triple[:-1])
@@ -248,26 +397,33 @@ def _longer(left: pa.Table, right: pa.Table, depth: int) -> pa.Table:
     chain = np.column_stack([text, np.zeros(len(text), np.int64)])
     chain = _between_breaks(chain[np.column_stack([stays, ~goes_on])])
     if not chain.any():
-        return empty
-    index = BiIndex(chain, depth)
-    shard, found, tables = left["shard"][0].as_py(), index.extended(*index.words()), []
-    for size in range(3, depth + 1):
+        return _BLOCK.empty_table()
+    index, known = BiIndex(chain, depth), np.append(0, ids)
+    found, columns = index.words(), []
+    for size in range(2, depth + 1):
         found = index.extended(*found)
-        if len(found[3]):
-            tables.append(_phrase_rows(shard, ids, index, found, depth, size < depth))
-    return pa.concat_tables(tables) if tables else empty
-
-
-def _summed(rows: DataFrame, words: list[str], least: int) -> DataFrame:
-    """Phrases that reach ``least``, and whether all their occurrences share a neighbour."""
-    total = rows.groupBy(*words).agg(
-        F.sum("n").alias("a"),
-        *(f(c).alias(f"{c}_{f.__name__}") for c in ("left", "right") for f in (F.min, F.max)),
-    )
-    same = [(F.col(f"{c}_min") == F.col(f"{c}_max")) & (F.col(f"{c}_min") > 0) for c in ("left", "right")]
-    return total.filter(F.col("a") >= least).select(
-        F.filter(F.array(*words), lambda w: w > 0).alias("words"), "a", (same[0] | same[1]).alias("inside")
-    )
+        phrases, start, back, count = found
+        words = [known[phrases[:, i]] if i < size else np.zeros(len(count), np.int64) for i in range(depth)]
+        # Of the longest phrases no longer one is looked for.
+        sides = index.sides(start, back, count) if size < depth else (np.zeros(len(count), np.int64),) * 2
+        columns.append([*words, count, *(known[x] for x in sides)])
+    columns = [np.concatenate(c) for c in zip(*columns)]
+    return _as_table(_blocks(left["shard"][0].as_py(), columns, depth, buckets), _BLOCK)
+
+
+def _counted_longer(group: pa.Table, depth: int, least: int) -> pa.Table:
+    """A bucket's phrases that reach ``least``, and whether all their occurrences share a neighbour."""
+    entries, _ = _entries(group, depth + 3)
+    order, starts = _grouped(entries, depth)
+    total = np.add.reduceat(entries[depth, order], starts)
+    inside = np.zeros(len(starts), bool)
+    for side in entries[depth + 1 :, order]:
+        low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
+        inside |= (low == high) & (low > 0)
+    kept = total >= least
+    words = entries[:depth, order[starts[kept]]].T.tolist()
+    rows = zip(words, total[kept].tolist(), inside[kept].tolist())
+    return _as_table([([w for w in own if w], a, same, None, None) for own, a, same in rows], _SUMMED)
 
 
 def frequent_phrases(
@@ -277,6 +433,7 @@ def frequent_phrases(
     least: int = LEAST,
     depth: int = DEPTH,
     shard_words: int = SHARD_WORDS,
+    bucket_words: int = BUCKET_WORDS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(words, phrases, totals)``, stored.
 
@@ -289,28 +446,38 @@ def frequent_phrases(
         raise ValueError("phrases have two words or more")
     shards = materialised(_shards(docs, lang_col, text_col, shard_words))
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    entry = F.posexplode(F.arrays_zip("words", "counts"))
-    held = shards.select("shard", "lang", entry.alias("at", "entry")).select(
-        "shard", "lang", (F.col("at") + 1).cast("long").alias("number"), "entry.words", "entry.counts"
+    all_words = shards.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-all_words // bucket_words))
+
+    # Shuffled rows are single blocks, so every word and phrase is sent once per shard that has it.
+    dealt = shards.select("shard", "lang", "words", "counts").mapInArrow(
+        lambda batches: _word_blocks(batches, buckets), _ddl(_WORDS)
     )
-    held = held.withColumnsRenamed({"words": "word", "counts": "n"})
-    words = held.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    words = materialised(words.withColumn("id", F.monotonically_increasing_id() + 1))
-    kept = held.join(words, ["lang", "word"]).select(F.col("shard").alias("own"), "number", "id")
+    counted = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_words(group, least, buckets), _ddl(_COUNTED))
+    counted = materialised(counted)
+    words = counted.filter("word is not null").select("id", "lang", "word", "f")
+    held = counted.filter("word is null").select(F.col("shard").alias("own"), "held")
     whole = shards.select("shard", "numbers").groupBy("shard")
-    pruned = materialised(whole.cogroup(kept.groupBy("own")).applyInArrow(_pruned, _PRUNED))
-    sent = materialised(pruned.mapInArrow(_pairs, "shard long, w1 long, w2 long, n long, left long, right long"))
-    pairs = materialised(_summed(sent, ["w1", "w2"], least).withColumn("inside", F.col("inside") & F.lit(depth > 2)))
+    pruned = materialised(whole.cogroup(held.groupBy("own")).applyInArrow(_pruned, _ddl(_PRUNED)))
+
+    dealt = pruned.mapInArrow(lambda batches: _pair_blocks(batches, buckets), _ddl(_BLOCK))
+    summed = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_pairs(group, least), _ddl(_SUMMED))
+    summed = materialised(summed)
+    pairs = summed.filter("words is not null").select("words", "a", "inside")
     singles = words.select(F.array("id").alias("words"), F.col("f").alias("a"), F.lit(False).alias("inside"))
     if depth == 2:
         return words, singles.unionByName(pairs), totals
-    alive = pairs.select(F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2"))
-    back = sent.select("shard", "w1", "w2").join(alive, ["w1", "w2"])
-    columns = [f"w{i + 1}" for i in range(depth)]
-    fields = ", ".join(f"{c} long" for c in ["shard", *columns, "n", "left", "right"])
-    longer = pruned.groupBy("shard").cogroup(back.groupBy("shard"))
-    longer = longer.applyInArrow(lambda left, right: _longer(left, right, depth), fields)
-    return words, materialised(singles.unionByName(pairs).unionByName(_summed(longer, columns, least))), totals
+
+    held = summed.filter("words is null").select(F.col("shard").alias("own"), "block")
+    longer = pruned.groupBy("shard").cogroup(held.groupBy("own"))
+    dealt = longer.applyInArrow(lambda left, right: _longer_blocks(left, right, depth, buckets), _ddl(_BLOCK))
+    found = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_longer(group, depth, least), _ddl(_SUMMED))
+    found = materialised(found.select("words", "a", "inside"))
+    # A pair is inside longer phrases if all its occurrences were on the way to them, and share a neighbour.
+    sided = found.filter(F.size("words") == 2).select("words", "a", "inside")
+    pairs = pairs.drop("inside").join(sided, ["words", "a"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    phrases = singles.unionByName(pairs).unionByName(found.filter(F.size("words") > 2))
+    return words, materialised(phrases), totals
 
 
 def collocations(
