@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import slices
@@ -46,6 +46,7 @@ PERCENT = 80
 LARGE = 20_000
 MORE = 56
 CHUNK = 4096
+CHUNK_BYTES = 32 << 20
 SIGMAS = 4.5
 SEED = 11
 
@@ -195,37 +196,81 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of sorted rows with one prefix, up to ``reach`` rows apart.
+    """Pairs ``(a, b)`` and marks ``(a, null, dense)`` of sorted rows with one prefix.
 
-    ``fits``: the sizes allow a link.  ``dense``: the rows are ``reach`` apart, so either may have
-    further neighbours in its region; every row that has some is in such a pair.
+    A region of up to ``reach`` rows gives all its pairs whose sizes allow a link.  In a larger one, which
+    is dense and compared whole later, a row is paired with the one before it only.  Every row of a pair
+    has a mark, and so has every row of a dense region: one per tree, whatever the region's size.
     """
-    held: list[np.ndarray] = []
+    held: list[np.ndarray] | None = None
+    grown = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         keys = np.frombuffer(b"".join(batch["key"].to_pylist()), _LEVEL).reshape(n, DEPTH)[:, :SHALLOW]
-        now = [batch["tree"].to_numpy(), keys, batch["rep"].to_numpy(), batch["n"].to_numpy()]
-        rows = [np.concatenate([old, new]) for old, new in zip(held, now)] if held else now
-        before = len(rows[0]) - n
-        tree, key, rep, size = rows
-        for back in range(1, reach + 1):
-            first = max(before, back)
-            i = np.arange(first, len(tree))
-            if not i.size:
-                break
-            j = i - back
-            same = (tree[i] == tree[j]) & (key[i] == key[j]).all(axis=1) & (rep[i] != rep[j])
-            i, j = i[same], j[same]
-            fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            dense = np.full(len(i), back == reach)
-            i, j, fits, dense = (x[fits | dense] for x in (i, j, fits, dense))
-            if i.size:
-                a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                columns = [pa.array(x) for x in (a, b, fits, dense)]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "fits", "dense"])
-        held = [r[-reach:] for r in rows]
+        rows = [batch["tree"].to_numpy(), keys, batch["rep"].to_numpy(), batch["n"].to_numpy()]
+        if held is not None:
+            rows = [np.concatenate([old, new]) for old, new in zip(held, rows)]
+        tree, key, _, _ = rows
+        fresh = np.append(True, (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(axis=1))
+        starts = np.flatnonzero(fresh)
+        # The last region may go on; of a dense one that was passed on already, only its last row is held.
+        last = int(starts[-1])
+        open_rows = len(tree) - last + (grown if last == 0 else 0)
+        if open_rows > reach:
+            yield from _near(rows, starts, grown, reach, percent, open_rows)
+            held, grown = [r[-1:] for r in rows], open_rows - 1
+        else:
+            if last:
+                yield from _near([r[:last] for r in rows], starts[:-1], grown, reach, percent, 0)
+                grown = 0
+            held = [r[last:] for r in rows]
+    if held is not None and len(held[0]) > 1:
+        yield from _near(held, np.zeros(1, np.int64), grown, reach, percent, 0)
+
+
+def _near(
+    rows: list[np.ndarray], starts: np.ndarray, grown: int, reach: int, percent: int, last: int
+) -> Iterator[pa.RecordBatch]:
+    """Pairs and marks of the regions that begin at ``starts``.
+
+    ``grown`` rows of the first region were passed on before its first row here, which was too;
+    ``last`` is the size of the last region if it is known to be dense.
+    """
+    _, _, rep, size = rows
+    sizes = np.diff(np.append(starts, len(rep)))
+    true_sizes = sizes.copy()
+    true_sizes[0] += grown
+    if last:
+        true_sizes[-1] = max(true_sizes[-1], last)
+    region = np.repeat(np.arange(len(starts)), sizes)
+    dense = np.repeat(true_sizes > reach, sizes)
+    touched = dense.copy()
+    a_parts, b_parts = [], []
+    for back in range(1, reach):
+        i = np.arange(back, len(rep))
+        j = i - back
+        near = (region[i] == region[j]) & (rep[i] != rep[j])
+        if back > 1:
+            near &= ~dense[i]
+        near &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[near], j[near]
+        if not i.size and back > 1:
+            continue
+        touched[i] = touched[j] = True
+        a_parts.append(np.minimum(rep[i], rep[j]))
+        b_parts.append(np.maximum(rep[i], rep[j]))
+    if a_parts:
+        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
+        columns = [pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense"])
+    if grown:
+        touched[0] = False  # it had its mark before
+    at = np.flatnonzero(touched)
+    if at.size:
+        columns = [pa.array(rep[at]), pa.nulls(len(at), pa.int64()), pa.array(dense[at])]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -272,45 +317,73 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.filter("ca <> cb").select(*pairs.columns)
 
 
-def _dense(near: DataFrame, classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes of dense regions ``(rep, label, keys, component)`` and their keys ``(rep, component, tree, key)``."""
-    ends = near.filter("dense").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = ends.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = classes.join(ends, F.col("rep") == F.col("node")).select("rep", "label", "keys", "component")
+def _dense(marks: DataFrame, classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of dense regions ``(rep, label, keys, component)`` and their keys ``(rep, n, component, tree, key)``."""
+    ends = marks.filter("dense").select("node").join(joined, "node", "left")
+    ends = ends.withColumn("component", F.coalesce("component", "node"))
+    rows = classes.join(ends, F.col("rep") == F.col("node")).select("rep", "n", "label", "keys", "component")
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.alias("tree"), F.substring("keys", t * _KEY_BYTES + 1, F.lit(_KEY_BYTES)).alias("key")),
     )
-    return rows, rows.select("rep", "component", F.explode(trees).alias("t")).select("rep", "component", "t.*")
+    planted = rows.select("rep", "n", "component", F.explode(trees).alias("t")).select("rep", "n", "component", "t.*")
+    return rows.drop("n"), planted
+
+
+def _prefix(depth: int) -> Column:
+    return F.substring("key", 1, depth * _LEVEL.itemsize)
+
+
+def _large(planted: DataFrame, depth: int) -> DataFrame:
+    """The regions ``(tree, prefix)`` of ``depth`` minima with more than ``LARGE`` rows."""
+    counts = planted.groupBy("tree", _prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.filter(F.col("rows") > LARGE).select("tree", "prefix")
+
+
+def _regions(placed: DataFrame) -> DataFrame:
+    """The regions ``(tree, region, chunks)`` that hold different components: aggregates, no window.
+
+    A chunk holds ``CHUNK`` rows or ``CHUNK_BYTES`` of sets, whichever is less.
+    """
+    held = placed.groupBy("tree", "region").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("n").alias("shingles"),
+        F.min("component").alias("least"),
+        F.max("component").alias("most"),
+    )
+    chunks = F.greatest(F.ceil(F.col("rows") / CHUNK), F.ceil(F.col("shingles") * 8 / CHUNK_BYTES)).cast("int")
+    return held.filter("least < most").select(
+        F.col("tree").alias("t"), F.col("region").alias("r"), chunks.alias("chunks")
+    )
 
 
 def _region_links(
-    near: DataFrame, classes: DataFrame, sets: DataFrame, joined: DataFrame, percent: int
+    marks: DataFrame, classes: DataFrame, sets: DataFrame, joined: DataFrame, percent: int
 ) -> DataFrame:
     """Links between different components inside dense regions, each region compared whole."""
-    rows, planted = _dense(near, classes, joined)
-    region = held = differ = None
-    for depth in range(DEPTH, SHALLOW - 1, -1):
-        prefix = F.substring("key", 1, depth * _LEVEL.itemsize)
-        whole = Window.partitionBy("tree", prefix)
-        count = F.count(F.lit(1)).over(whole)
-        mixed = F.min("component").over(whole) < F.max("component").over(whole)
-        small = F.lit(True) if depth == DEPTH else count <= LARGE
-        region = F.when(small, prefix).otherwise(region)
-        held = F.when(small, count).otherwise(held)
-        differ = F.when(small, mixed).otherwise(differ)
-    placed = planted.select("rep", "tree", region.alias("region"), held.alias("held"), differ.alias("differ"))
+    rows, planted = _dense(marks, classes, joined)
+    planted = materialised(planted)
+    placed = planted.withColumn("region", _prefix(SHALLOW))
+    for depth in range(SHALLOW, DEPTH):
+        # Where a region of this depth is large, its rows go on to the next.
+        large = _large(planted, depth).select(F.col("tree").alias("t"), F.col("prefix").alias("r"))
+        if large.isEmpty():
+            break
+        found = (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r"))
+        deeper = F.when(F.col("r").isNotNull(), _prefix(depth + 1)).otherwise(F.col("region"))
+        placed = placed.join(large, found, "left").withColumn("region", deeper).drop("t", "r")
     shallow = F.length("region") == SHALLOW * _LEVEL.itemsize
-    placed = placed.withColumn("whole", F.min(shallow).over(Window.partitionBy("rep")))
-    return _compared(placed.filter("differ").drop("differ"), rows, sets, percent)
+    whole = placed.groupBy(F.col("rep").alias("own")).agg(F.min(shallow).alias("whole"))
+    held = placed.join(_regions(placed), (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r")))
+    held = held.join(whole, F.col("rep") == F.col("own")).select("rep", "tree", "region", "chunks", "whole")
+    return _compared(held, rows, sets, percent)
 
 
-def _fallen(near: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+def _fallen(marks: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     """The classes ``(node, label)`` with a region that falls apart."""
-    rows, planted = _dense(near, classes, joined)
-    keyed = planted.select("rep", "tree", F.substring("key", 1, SHALLOW * _LEVEL.itemsize).alias("prefix"))
-    large = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > LARGE)
-    members = keyed.join(large, ["tree", "prefix"], "left_semi").select("rep").distinct()
+    rows, planted = _dense(marks, classes, joined)
+    keyed = planted.select("rep", "tree", _prefix(SHALLOW).alias("prefix"))
+    members = keyed.join(_large(planted, SHALLOW), ["tree", "prefix"], "left_semi").select("rep").distinct()
     return rows.join(members, "rep", "left_semi").select(F.col("rep").alias("node"), "label")
 
 
@@ -335,26 +408,22 @@ def _fallen_links(
     """Links between different components inside the regions that ``fallen`` classes have in the further trees."""
     own = joined.withColumnRenamed("node", "rep")
     members = fallen.select(F.col("node").alias("rep"), "label")
-    rows = classes.select("rep", "label", "keys").join(members, ["rep", "label"]).join(own, "rep", "left")
+    rows = classes.select("rep", "n", "label", "keys").join(members, ["rep", "label"]).join(own, "rep", "left")
     rows = rows.withColumn("component", F.coalesce("component", "rep"))
     keys = sets.join(fallen, ["node", "label"], "left_semi").select("node", "set")
     planted = materialised(keys.mapInArrow(_more_keys, "rep long, tree int, region binary"))
-    known = planted.join(rows.select("rep", "component"), "rep")
-    held = known.groupBy("tree", "region").agg(
-        F.count(F.lit(1)).alias("held"), F.min("component").alias("least"), F.max("component").alias("most")
-    )
-    differ = held.filter("least < most").select("tree", "region", "held")
-    placed = planted.join(differ, ["tree", "region"]).select("rep", "tree", "region", "held", F.lit(False).alias("whole"))
-    return _compared(placed, rows, sets, percent)
+    known = planted.join(rows.select("rep", "n", "component"), "rep")
+    held = known.join(_regions(known), (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r")))
+    placed = held.select("rep", "tree", "region", "chunks", F.lit(False).alias("whole"))
+    return _compared(placed, rows.drop("n"), sets, percent)
 
 
 def _compared(placed: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside the regions of ``placed (rep, tree, region, held, whole)``.
+    """Links inside the regions of ``placed (rep, tree, region, chunks, whole)``.
 
     A region is cut into chunks, and a task compares two chunks with the full sets at hand, so only
     links leave it.
     """
-    placed = placed.withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keyed = dealt.select(
@@ -444,15 +513,13 @@ def near_duplicates(
     planted = classes.select("rep", "n", "keys").mapInArrow(_planted, "tree int, key binary, rep long, n long")
     ordered = planted.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "rep")
     found = ordered.mapInArrow(
-        lambda batches: _prefixed(batches, REACH, percent), "a long, b long, fits boolean, dense boolean"
-    )
-    near = materialised(
-        found.groupBy("a", "b").agg(F.count_if("fits").alias("trees"), F.max("dense").alias("dense"))
+        lambda batches: _prefixed(batches, REACH, percent), "a long, b long, dense boolean"
     )
-    pairs = near.filter("trees > 0")
+    near = materialised(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("dense").alias("dense")))
+    pairs = near.filter("b is not null").select("a", "b", "trees")
+    marks = near.filter("b is null").select(F.col("a").alias("node"), "dense")
 
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(nodes, F.col("rep") == F.col("node"), "left_semi").select("rep", "label")
+    wanted = classes.join(marks, F.col("rep") == F.col("node"), "left_semi").select("rep", "label")
     shown = texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "label", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,11 +539,11 @@ def near_duplicates(
     links = links.unionByName(rest)
     if not rest.isEmpty():
         joined = materialised(components(links))
-    rest = materialised(_region_links(near, classes, sets, joined, percent))
+    rest = materialised(_region_links(marks, classes, sets, joined, percent))
     links = links.unionByName(rest)
     if not rest.isEmpty():
         joined = materialised(components(links))
-    fallen = materialised(_fallen(near, classes, joined))
+    fallen = materialised(_fallen(marks, classes, joined))
     if not fallen.isEmpty():
         rest = materialised(_fallen_links(fallen, classes, sets, joined, percent))
         if not rest.isEmpty():
