@@ -4,11 +4,11 @@
 task become a shard: word numbers with a 0 between pieces, and the words they stand for.
 
 *Index.*  ``BiIndex`` holds the Burrows-Wheeler transforms of a shard and of its reverse.  A phrase is
-a pair of intervals, one in each.  Extending it to the right by every word that follows reads its
-interval of the reverse transform: equal words are counted, the mapping of the first of them gives
-the longer phrase's interval there, and the number of smaller words gives its interval in the forward
-transform, which in turn shows the words to its left.  Suffixes need to be sorted no deeper than the
-longest phrase.
+a pair of intervals, one in each.  Extending it to the left by every word that stands there reads its
+interval of the forward transform: equal words are counted, the mapping of the first of them gives the
+longer phrase's interval there, and the number of smaller words gives its interval in the reverse
+transform.  Extending to the right is the same with the two exchanged; phrases grow by turns on
+either side.  Suffixes need to be sorted no deeper than the longest phrase.
 
 *Counting.*  A phrase that reaches ``least`` in all shards together consists of words and of pairs that
 do.  So words are counted first, other words become breaks, pairs are enumerated next, and longer
@@ -18,9 +18,8 @@ Nothing is dropped that could reach ``least``.
 *Sums.*  Phrases are dealt to buckets by their hashes, and a shard sends each bucket one compressed
 block: the phrases by column, and their counts.  A phrase is one entry per shard that has it, however
 frequent it is, so buckets are even; there are as many as shuffle partitions, and more if they held
-over ``BUCKET_WORDS`` words.  With a phrase of three words or more, or of two on its way to them, goes
-the word to its left and to its right where all its occurrences in the shard share one.  If all
-shards agree on one, the phrase never occurs without it, so the longer phrase has the same count.
+over ``BUCKET_WORDS`` words.  From the sums, a phrase as frequent as one that is a word longer, on its
+left or on its right, occurs only inside that one.
 
 *Scores.*  Every cut of a candidate looks up its two parts by joins; numbers are decimals of 38 digits
 (1000 times two counts below 10^17 fits).
@@ -79,15 +78,12 @@ _COUNTED = pa.schema(
         ("held", pa.binary()),
     ]
 )
-_PRUNED = pa.schema([("shard", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary())])
 _BLOCK = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("block", pa.binary())])
-_SUMMED = pa.schema(
-    [("words", pa.list_(pa.int64())), ("a", pa.int64()), ("inside", pa.bool_()), ("shard", pa.int64()), ("block", pa.binary())]
-)
+_SUMMED = pa.schema([("words", pa.list_(pa.int64())), ("a", pa.int64()), ("shard", pa.int64()), ("pairs", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return ", ".join(f"{f.name} {names.get(f.type, 'array<long>')}" for f in schema)
 
 
@@ -149,14 +145,12 @@ class BiIndex:
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
         self._symbols = int(text.max()) + 1
-        counts = np.bincount(text, minlength=self._symbols)
-        self._first = np.cumsum(counts) - counts
-        self._counts = counts
+        self._counts = np.bincount(text, minlength=self._symbols)
+        self._first = np.cumsum(self._counts) - self._counts
         #: What stands left of every suffix, and right of every reversed prefix, in sorted order.
-        self._left = text[self._sorted(text, depth, 1) - 1]
-        self._right = np.append(text, 0)[self._sorted(text, depth, -1) + 1]
-        self._mapped = np.empty(len(text), np.int64)
-        self._mapped[np.argsort(self._right, kind="stable")] = np.arange(len(text))
+        left = text[self._sorted(text, depth, 1) - 1]
+        right = np.append(text, 0)[self._sorted(text, depth, -1) + 1]
+        self._transforms = {"left": (left, self._mapping(left)), "right": (right, self._mapping(right))}
 
     def _sorted(self, text: np.ndarray, depth: int, step: int) -> np.ndarray:
         """Places by the ``depth`` words from there on (``step`` 1) or back (-1)."""
@@ -170,38 +164,36 @@ class BiIndex:
             keys.append(key)
         return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
 
+    @staticmethod
+    def _mapping(transform: np.ndarray) -> np.ndarray:
+        """From the row of a suffix to that of the suffix one word longer."""
+        mapped = np.empty(len(transform), np.int64)
+        mapped[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+        return mapped
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words as phrases ``(words, start, start in the reverse, count)``."""
         found = np.flatnonzero(self._counts[1:]) + 1
         return found[:, None], self._first[found], self._first[found], self._counts[found]
 
-    def extended(self, phrases, start, back, count):
-        """All phrases of one more word on the right."""
-        rows = np.arange(int(count.sum())) + np.repeat(back - (np.cumsum(count) - count), count)
-        follows = np.repeat(np.arange(len(count)), count) * self._symbols + self._right[rows]
-        key, first, n = np.unique(follows, return_index=True, return_counts=True)
+    def extended(self, found, side: str):
+        """All phrases of one more word on the ``left`` or ``right``."""
+        phrases, start, back, count = found
+        own, other = (start, back) if side == "left" else (back, start)
+        transform, mapped = self._transforms[side]
+        rows = np.arange(int(count.sum())) + np.repeat(own - (np.cumsum(count) - count), count)
+        beside = np.repeat(np.arange(len(count)), count) * self._symbols + transform[rows]
+        key, first, n = np.unique(beside, return_index=True, return_counts=True)
         parent, word = np.divmod(key, self._symbols)
         smaller = np.cumsum(n) - n
         opened = np.searchsorted(parent, parent)
         keep = word > 0
-        longer = np.column_stack([phrases[parent], word])[keep]
-        shifted = (start[parent] + smaller - smaller[opened])[keep]
-        return longer, shifted, self._mapped[rows[first]][keep], n[keep]
-
-    @staticmethod
-    def _shared(transform: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The one word in each interval, 0 where words differ or a piece ends."""
-        order = np.argsort(start)
-        bounds = np.column_stack([start[order], start[order] + count[order]]).ravel()
-        padded = np.append(transform, 0)
-        least, most = (f.reduceat(padded, bounds)[::2] for f in (np.minimum, np.maximum))
-        out = np.empty(len(start), np.int64)
-        out[order] = np.where(least == most, least, 0)
-        return out
-
-    def sides(self, start, back, count) -> tuple[np.ndarray, np.ndarray]:
-        """The word that always stands to the left of a phrase, and the one to its right."""
-        return self._shared(self._left, start, count), self._shared(self._right, back, count)
+        own = mapped[rows[first]][keep]
+        other = (other[parent] + smaller - smaller[opened])[keep]
+        before, word = phrases[parent[keep]], word[keep]
+        if side == "left":
+            return np.column_stack([word, before]), own, other, n[keep]
+        return np.column_stack([before, word]), other, own, n[keep]
 
 
 def _shards(docs: DataFrame, lang: str, text: str, words: int) -> DataFrame:
@@ -307,17 +299,14 @@ def _counted_words(group: pa.Table, least: int, buckets: int) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(columns, _COUNTED)], schema=_COUNTED)
 
 
-def _pruned(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard with only the words that go on, numbered anew in the same order."""
-    if not left.num_rows or not right.num_rows:
-        return _PRUNED.empty_table()
+def _pruned(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's word numbers with only the words that go on, numbered anew, and their identifiers."""
     numbers = _numbers(left["numbers"][0].as_py())
-    number, ids = np.concatenate([_unpacked(x, 2) for x in right["held"].to_pylist()], axis=1)
+    number, ids = np.concatenate([_unpacked(x, 2) for x in right["held"].to_pylist() if x is not None], axis=1)
     order = np.argsort(number)
     again = np.zeros(max(int(numbers.max()), int(number.max())) + 1, np.int64)
     again[number[order]] = np.arange(1, len(order) + 1)
-    row = (left["shard"][0].as_py(), _stored(_between_breaks(again[numbers])), _stored(ids[order]))
-    return pa.table([pa.array([x], f.type) for x, f in zip(row, _PRUNED)], schema=_PRUNED)
+    return _between_breaks(again[numbers]), ids[order]
 
 
 def _blocks(shard: int, columns: list[np.ndarray], keys: int, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -335,15 +324,15 @@ def _as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
-def _pair_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of words of each shard and their counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            index = BiIndex(_numbers(row["numbers"]), 2)
-            pairs, _, _, count = index.extended(*index.words())
-            ids = np.append(0, _numbers(row["ids"]))
-            rows = _blocks(row["shard"], [ids[pairs[:, 0]], ids[pairs[:, 1]], count], 2, buckets)
-            yield from _as_table(rows, _BLOCK).to_batches()
+def _pair_blocks(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """A shard's pairs of words that go on, and their counts."""
+    if not left.num_rows or not right.num_rows:
+        return _BLOCK.empty_table()
+    text, ids = _pruned(left, right)
+    index, known = BiIndex(text, 2), np.append(0, ids)
+    pairs, _, _, count = index.extended(index.words(), "right")
+    columns = [known[pairs[:, 0]], known[pairs[:, 1]], count]
+    return _as_table(_blocks(left["shard"][0].as_py(), columns, 2, buckets), _BLOCK)
 
 
 def _entries(group: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,29 +355,26 @@ def _counted_pairs(group: pa.Table, least: int) -> pa.Table:
     entries, owner = _entries(group, 3)
     order, starts = _grouped(entries, 2)
     total = np.add.reduceat(entries[2, order], starts)
-    sizes = np.diff(np.append(starts, len(order)))
     kept = total >= least
-    out = [(pair, a, False, None, None) for pair, a in zip(entries[:2, order[starts[kept]]].T.tolist(), total[kept].tolist())]
+    out = [(pair, a, None, None) for pair, a in zip(entries[:2, order[starts[kept]]].T.tolist(), total[kept].tolist())]
     alive = np.empty(len(order), bool)
-    alive[order] = np.repeat(kept, sizes)
+    alive[order] = np.repeat(kept, np.diff(np.append(starts, len(order))))
     shards = group["shard"].to_pylist()
     pairs = entries[:2, alive]
     for at, start, end in _runs(owner[alive]):
-        out.append((None, None, None, shards[at], _packed(list(pairs[:, start:end]))))
+        out.append((None, None, shards[at], _packed(list(pairs[:, start:end]))))
     return _as_table(out, _SUMMED)
 
 
 def _longer_blocks(left: pa.Table, right: pa.Table, depth: int, buckets: int) -> pa.Table:
-    """A shard's phrases of up to ``depth`` words along the pairs that go on, and what stands beside them.
-
-    Pairs are sent again where they are on the way to three words, to tell what stands beside them.
-    """
-    if not left.num_rows or not right.num_rows:
+    """A shard's phrases of three to ``depth`` words along the pairs that go on."""
+    blocks = [x for x in right["pairs"].to_pylist() if x is not None]
+    if not left.num_rows or not blocks:
         return _BLOCK.empty_table()
-    text, ids = (_numbers(left[c][0].as_py()) for c in ("numbers", "ids"))
+    text, ids = _pruned(left, right)
     symbols = len(ids) + 1
-    pairs = np.concatenate([_unpacked(x, 2) for x in right["block"].to_pylist()], axis=1)
     order = np.argsort(ids)
+    pairs = np.concatenate([_unpacked(x, 2) for x in blocks], axis=1)
     first, second = order[np.searchsorted(ids[order], pairs)] + 1
     goes_on = np.append(np.isin(text[:-1] * symbols + text[1:], first * symbols + second), False)
     triple = goes_on & np.append(goes_on[1:], False)
@@ -399,31 +385,34 @@ def _longer_blocks(left: pa.Table, right: pa.Table, depth: int, buckets: int) ->
     if not chain.any():
         return _BLOCK.empty_table()
     index, known = BiIndex(chain, depth), np.append(0, ids)
-    found, columns = index.words(), []
-    for size in range(2, depth + 1):
-        found = index.extended(*found)
-        phrases, start, back, count = found
+    found, columns = index.extended(index.words(), "right"), []
+    for size in range(3, depth + 1):
+        found = index.extended(found, "left" if size % 2 else "right")
+        phrases, _, _, count = found
         words = [known[phrases[:, i]] if i < size else np.zeros(len(count), np.int64) for i in range(depth)]
-        # Of the longest phrases no longer one is looked for.
-        sides = index.sides(start, back, count) if size < depth else (np.zeros(len(count), np.int64),) * 2
-        columns.append([*words, count, *(known[x] for x in sides)])
+        columns.append([*words, count])
     columns = [np.concatenate(c) for c in zip(*columns)]
     return _as_table(_blocks(left["shard"][0].as_py(), columns, depth, buckets), _BLOCK)
 
 
 def _counted_longer(group: pa.Table, depth: int, least: int) -> pa.Table:
-    """A bucket's phrases that reach ``least``, and whether all their occurrences share a neighbour."""
-    entries, _ = _entries(group, depth + 3)
+    """A bucket's phrases that reach ``least``."""
+    entries, _ = _entries(group, depth + 1)
     order, starts = _grouped(entries, depth)
     total = np.add.reduceat(entries[depth, order], starts)
-    inside = np.zeros(len(starts), bool)
-    for side in entries[depth + 1 :, order]:
-        low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
-        inside |= (low == high) & (low > 0)
     kept = total >= least
-    words = entries[:depth, order[starts[kept]]].T.tolist()
-    rows = zip(words, total[kept].tolist(), inside[kept].tolist())
-    return _as_table([([w for w in own if w], a, same, None, None) for own, a, same in rows], _SUMMED)
+    rows = zip(entries[:depth, order[starts[kept]]].T.tolist(), total[kept].tolist())
+    return _as_table([([w for w in own if w], a, None, None) for own, a in rows], _SUMMED)
+
+
+def _with_sides(phrases: DataFrame) -> DataFrame:
+    """Add ``inside``: an extension by one word, on the left or on the right, is as frequent."""
+    longer = phrases.filter(F.size("words") > 1)
+    last = F.expr("slice(words, 1, size(words) - 1)")
+    parts = longer.select(F.explode(F.array(last, F.expr("slice(words, 2, size(words) - 1)"))).alias("part"), "a")
+    most = parts.groupBy("part").agg(F.max("a").alias("most"))
+    found = phrases.join(most, F.col("words") == F.col("part"), "left")
+    return found.select("words", "a", F.coalesce(F.col("most") == F.col("a"), F.lit(False)).alias("inside"))
 
 
 def frequent_phrases(
@@ -438,8 +427,8 @@ def frequent_phrases(
     """``(words, phrases, totals)``, stored.
 
     ``words (id, lang, word, f)`` and ``phrases (words, a, inside)`` occur ``least`` times or more; a
-    phrase of 1 to ``depth`` words is an array of identifiers; ``inside``: it never occurs without a
-    certain word beside it, and the longer phrase is no longer than ``depth``.  ``totals (lang, n)``
+    phrase of 1 to ``depth`` words is an array of identifiers; ``inside``: it never occurs but inside a
+    longer one of them.  ``totals (lang, n)``
     counts all occurrences of words.
     """
     if depth < 2:
@@ -458,26 +447,24 @@ def frequent_phrases(
     words = counted.filter("word is not null").select("id", "lang", "word", "f")
     held = counted.filter("word is null").select(F.col("shard").alias("own"), "held")
     whole = shards.select("shard", "numbers").groupBy("shard")
-    pruned = materialised(whole.cogroup(held.groupBy("own")).applyInArrow(_pruned, _ddl(_PRUNED)))
-
-    dealt = pruned.mapInArrow(lambda batches: _pair_blocks(batches, buckets), _ddl(_BLOCK))
+    dealt = whole.cogroup(held.groupBy("own")).applyInArrow(
+        lambda left, right: _pair_blocks(left, right, buckets), _ddl(_BLOCK)
+    )
     summed = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_pairs(group, least), _ddl(_SUMMED))
     summed = materialised(summed)
-    pairs = summed.filter("words is not null").select("words", "a", "inside")
-    singles = words.select(F.array("id").alias("words"), F.col("f").alias("a"), F.lit(False).alias("inside"))
-    if depth == 2:
-        return words, singles.unionByName(pairs), totals
-
-    held = summed.filter("words is null").select(F.col("shard").alias("own"), "block")
-    longer = pruned.groupBy("shard").cogroup(held.groupBy("own"))
-    dealt = longer.applyInArrow(lambda left, right: _longer_blocks(left, right, depth, buckets), _ddl(_BLOCK))
-    found = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_longer(group, depth, least), _ddl(_SUMMED))
-    found = materialised(found.select("words", "a", "inside"))
-    # A pair is inside longer phrases if all its occurrences were on the way to them, and share a neighbour.
-    sided = found.filter(F.size("words") == 2).select("words", "a", "inside")
-    pairs = pairs.drop("inside").join(sided, ["words", "a"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    phrases = singles.unionByName(pairs).unionByName(found.filter(F.size("words") > 2))
-    return words, materialised(phrases), totals
+    phrases = words.select(F.array("id").alias("words"), F.col("f").alias("a"))
+    phrases = phrases.unionByName(summed.filter("words is not null").select("words", "a"))
+    if depth > 2:
+        pairs = summed.filter("words is null").select(F.col("shard").alias("own"), "pairs")
+        both = held.withColumn("pairs", F.lit(None).cast("binary")).unionByName(
+            pairs.withColumn("held", F.lit(None).cast("binary"))
+        )
+        dealt = whole.cogroup(both.groupBy("own")).applyInArrow(
+            lambda left, right: _longer_blocks(left, right, depth, buckets), _ddl(_BLOCK)
+        )
+        found = dealt.groupBy("bucket").applyInArrow(lambda group: _counted_longer(group, depth, least), _ddl(_SUMMED))
+        phrases = phrases.unionByName(materialised(found.select("words", "a")))
+    return words, materialised(_with_sides(phrases)), totals
 
 
 def collocations(

@@ -248,27 +248,23 @@ def test_op11_equals_brute_force(spark, shard_words, depth, least, top):
     assert sorted(tuple(r) for r in found) == expected and len(expected) > 5
 
 
-def test_op11_index_counts_every_phrase_and_its_sides():
+@pytest.mark.parametrize("sides", ["lll", "rrr", "lrl", "rlr"])
+def test_op11_index_counts_every_phrase_on_either_side(sides):
     rng = random.Random(8)
     text = collocations._between_breaks(np.array([rng.randint(0, 4) for _ in range(400)]))
     index = collocations.BiIndex(text, 4)
     found = index.words()
     for size in range(1, 5):
-        counts, before, after = Counter(), defaultdict(set), defaultdict(set)
+        counts = Counter()
         for i in range(len(text) - size):
             phrase = tuple(text[i : i + size].tolist())
             if 0 not in phrase:
                 counts[phrase] += 1
-                before[phrase].add(int(text[i - 1]))
-                after[phrase].add(int(text[i + size]))
-        phrases, start, back, n = found
+        phrases, _, _, n = found
+        assert len(phrases) == len(counts)
         assert dict(zip(map(tuple, phrases.tolist()), n.tolist())) == counts
-        left, right = index.sides(start, back, n)
-        for phrase, x, y in zip(map(tuple, phrases.tolist()), left.tolist(), right.tolist()):
-            assert x == (min(before[phrase]) if len(before[phrase]) == 1 else 0)
-            assert y == (min(after[phrase]) if len(after[phrase]) == 1 else 0)
         if size < 4:
-            found = index.extended(*found)
+            found = index.extended(found, "left" if sides[size - 1] == "l" else "right")
 
 
 def test_op11_long_texts_are_cut_between_pieces(spark, monkeypatch):
