@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 
@@ -18,6 +18,7 @@ _BLANK = re.compile(r"\s")
 #: Byte-level models name a byte by its own character where that prints, by one from 256 on where not.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _AS_PRINTED = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_SPACE = chr(_AS_PRINTED[32])
 _encoders: dict[str, Encoder] = {}
 
 
@@ -37,6 +38,8 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, equal to encoding each text whole.
 
+    A special token's string in a text is that token, as the library has it by default; the text is cut
+    there first.
     Byte-level pre-tokenising never joins a space to the word before it, so a text may be cut
     before each space that follows something other than white space.  The parts repeat: each is
     encoded by the tokenizer once while it stays in the cache.  A part without inner white space is
@@ -49,8 +52,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("special tokens must be matched as they are in the raw text")
+        self._special = {t.content: np.asarray([i], "<u4").tobytes() for i, t in added.items()}
+        names = sorted(self._special, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
         self._known_stops: dict[str, bytes] = {"": b""}
         (self._newline,) = np.frombuffer(self._whole("\n"), "<u4")
         self._spaced: dict[str, bytes] = {}
@@ -60,10 +68,12 @@ class Encoder:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
+    def _letters(self, lead: str, word: str) -> bytes:
         """Letters, with or without a space before them, are one pre-token: the model's own input."""
-        if not word.isascii() or word[0] == " ":
+        if not word.isascii():
             word = word.encode().decode("latin-1").translate(_AS_PRINTED)
+        if lead:
+            word = _SPACE + word
         return array("I", [part.id for part in self._model.tokenize(word)]).tobytes()
 
     def _stops(self, stops: str) -> bytes:
@@ -71,20 +81,21 @@ class Encoder:
             self._known_stops[stops] = self._whole(stops)
         return self._known_stops[stops]
 
-    def _fill(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Have ``cache`` hold all of ``words``, each encoded with ``lead`` before it."""
-        missing = words.difference(cache)
+    def _fill(self, cache: dict[str, bytes], lists: list[list[str]], lead: str) -> None:
+        """Have ``cache`` hold all words of ``lists``, each encoded with ``lead`` before it."""
+        missing = set(filterfalse(cache.__contains__, chain.from_iterable(lists)))
         if len(cache) + len(missing) > CACHE_WORDS:
             # Frequent words came early, and a dictionary keeps that order.
             kept = dict(islice(cache.items(), CACHE_WORDS // 2))
-            kept.update((word, cache[word]) for word in words if word in cache)
+            kept.update((word, cache[word]) for word in chain.from_iterable(lists) if word in cache)
             cache.clear()
             cache.update(kept)
         plain = []
         for word in missing:
             stem = word.rstrip(".,")
             if stem.isalpha():
-                cache[word] = (cache.get(stem) or self._letters(lead + stem)) + self._stops(word[len(stem) :])
+                ids = cache.get(stem) or self._letters(lead, stem)
+                cache[word] = ids if stem is word else ids + self._stops(word[len(stem) :])
             elif not word or _BLANK.search(word):
                 cache[word] = self._whole(lead + word)
             else:
@@ -102,9 +113,25 @@ class Encoder:
                 cache[word] = ids[start:end].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text."""
+        held = [i for i, text in enumerate(texts) if any(name in text for name in self._special)]
+        if not held:
+            return self._encode(texts)
+        pieces = {i: self._cut(texts[i]) for i in held}
+        plain = iter(self._encode([text for i, text in enumerate(texts) for text in pieces.get(i, [text])[::2]]))
+        out = []
+        for i in range(len(texts)):
+            own = pieces.get(i, [""])
+            ids = [next(plain)]
+            for name in own[1::2]:
+                ids += [self._special[name], next(plain)]
+            out.append(b"".join(ids))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [_BREAK.split(t) if _AFTER_BLANK.search(t) else t.split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
-        self._fill(self._first, set(heads), "")
-        self._fill(self._spaced, set().union(*parts), " ")
+        self._fill(self._first, [heads], "")
+        self._fill(self._spaced, parts, " ")
         known = self._spaced.__getitem__
         return [self._first[head] + b"".join(map(known, p)) for head, p in zip(heads, parts)]

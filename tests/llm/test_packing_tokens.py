@@ -17,7 +17,6 @@ from tests.conftest import SF
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,6 +28,7 @@ def test_encoder_equals_the_tokenizer_on_any_white_space(plain):
     rng = random.Random(1)
     marks = ["a", "B", " ", "  ", "\n", "\t", "é", "1", ".", "'s", " ", " ", "\x1c", "中", "<|endoftext|>"]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n", " a", "a \n b"]
+    texts += ["<|endoftext|>", "text <|endoftext|> more", "<|endoftext|><|endoftext|> x."]
     for text, ids in zip(texts, encoder(default_path()).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
 
@@ -64,7 +64,7 @@ def test_op1_covers_every_id_once(spark, plain):
 
 
 def test_packing_edge_cases(spark, documents, plain):
-    texts = [None, "", "a b c", "a b c", "word " * 900, "x" * 4000, "\n\n  \t", "a b c d e f g " * 3]
+    texts = [None, "", "a <|endoftext|> c", "a b c", "word " * 900, "x" * 4000, "\n\n  \t", "a b c d e f g " * 3]
     docs = documents(texts)
     clash = docs.withColumns({"start": F.lit(7), "ids": F.lit("x"), "sequence_id": F.lit(None), "doc": F.lit(1)})
     for source in (docs, clash):
@@ -110,7 +110,7 @@ def test_op6_equals_plain_encoding(spark, plain):
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip_and_prune(spark, documents, plain, encoding):
-    texts = [None, "", "a b", "a b", "x " * 5000, "ß é"] + [f"w{i}" for i in range(200)]
+    texts = [None, "", "a <|endoftext|>b", "a b", "x " * 5000, "ß é"] + [f"w{i}" for i in range(200)]
     docs = documents(texts, first=10).withColumn("ids", F.lit(1)).withColumn("file", F.lit("x"))
     docs = docs.unionByName(docs.filter("doc_id = 12"))
     path = shared_path(spark, "tokens")
