@@ -56,6 +56,8 @@ except ModuleNotFoundError as missing:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows that one task of a fit takes in a search of many fits at a time.
+ROWS_PER_SPLIT = 250_000
 BASELINE_BUCKET = 0
 ABSENT_BUCKET = 99
 
@@ -191,12 +193,14 @@ def _baseline(spark: SparkSession, sf_dir: str):
 def _tuned(spark: SparkSession, sf_dir: str):
     """The tuned study with the published grid, 8 settings in 3 folds."""
     cores = _cores(spark)
-    return _once(
-        "tuned",
-        spark,
-        sf_dir,
-        lambda: tuned(_txn(spark, sf_dir), "txn_id", parallelism=max(1, cores // 2), partitions=cores),
-    )
+
+    def study():
+        # Many fits at a time, so few splits each; more of them for more rows.
+        rows = _txn(spark, sf_dir)
+        splits = max(1, cores // 4, -(-rows.count() // ROWS_PER_SPLIT))
+        return tuned(rows, "txn_id", parallelism=cores, partitions=splits)
+
+    return _once("tuned", spark, sf_dir, study)
 
 
 def _gbt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
