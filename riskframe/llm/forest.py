@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import slices
+from riskframe.llm.common import batches_of, slices
 from riskframe.session import materialised
 
 TREES = 24
@@ -47,6 +47,7 @@ LARGE = 20_000
 MORE = 56
 CHUNK = 4096
 CHUNK_BYTES = 32 << 20
+PAIRS = 512
 SIGMAS = 4.5
 SEED = 11
 
@@ -478,10 +479,12 @@ def _region(group: pa.Table, percent: int) -> pa.Table:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, stored; two full sets go to Python with each, so few pairs at a time."""
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
+    with batches_of(pairs.sparkSession, PAIRS):
+        return materialised(both.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long"))
 
 
 def near_duplicates(
@@ -533,9 +536,9 @@ def near_duplicates(
     by_a, by_b = (Window.partitionBy(c).orderBy(F.desc("trees"), "a", "b") for c in ("a", "b"))
     ranked = pairs.withColumns({"i": F.row_number().over(by_a), "j": F.row_number().over(by_b)})
     best = ranked.filter((F.col("i") <= FIRST) | (F.col("j") <= FIRST))
-    links = materialised(_confirmed(best, sets, percent))
+    links = _confirmed(best, sets, percent)
     joined = materialised(components(links))
-    rest = materialised(_confirmed(_between(pairs, joined), sets, percent))
+    rest = _confirmed(_between(pairs, joined), sets, percent)
     links = links.unionByName(rest)
     if not rest.isEmpty():
         joined = materialised(components(links))

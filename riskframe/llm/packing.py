@@ -33,6 +33,8 @@ from riskframe.llm.tokens import default_path, encoder
 
 WINDOW = 2048
 MAX_OPEN = 4096
+#: Words in the tokenizer's cache: some 500 MB of a worker that holds nothing else.
+CACHE_WORDS = 1_500_000
 ID_BYTES = 4
 TASK_BITS = 33
 
@@ -165,7 +167,7 @@ def pack_split(
     for batch in batches:
         for part in slices(batch, "text"):
             texts = [t or "" for t in part["text"].to_pylist()]
-            for doc, ids in zip(part["doc"].to_pylist(), encoder(path).encode(texts)):
+            for doc, ids in zip(part["doc"].to_pylist(), encoder(path, CACHE_WORDS).encode(texts)):
                 whole = Piece(doc, ids + last, 0, len(ids) // ID_BYTES + 1)
                 while whole.length >= window:
                     head, whole = whole.cut(window)

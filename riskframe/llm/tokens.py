@@ -28,10 +28,11 @@ def default_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder per worker process and file; the cache's bound is that of the latest call."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]
 
 
@@ -51,6 +52,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.cache_words = CACHE_WORDS
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         added = self._tokenizer.get_added_tokens_decoder()
@@ -84,9 +86,9 @@ class Encoder:
     def _fill(self, cache: dict[str, bytes], lists: list[list[str]], lead: str) -> None:
         """Have ``cache`` hold all words of ``lists``, each encoded with ``lead`` before it."""
         missing = set(filterfalse(cache.__contains__, chain.from_iterable(lists)))
-        if len(cache) + len(missing) > CACHE_WORDS:
+        if len(cache) + len(missing) > self.cache_words:
             # Frequent words came early, and a dictionary keeps that order.
-            kept = dict(islice(cache.items(), CACHE_WORDS // 2))
+            kept = dict(islice(cache.items(), self.cache_words // 2))
             kept.update((word, cache[word]) for word in chain.from_iterable(lists) if word in cache)
             cache.clear()
             cache.update(kept)
