@@ -34,10 +34,10 @@ from riskframe.sources.schema import (  # noqa: E402
     BASE_FEATURES,
     COMPONENTS,
     LABEL,
+    OVERSAMPLING,
     TIME,
     TUNING_GRID,
     TXN,
-    WEIGHT,
 )
 from riskframe.sources.tables import (  # noqa: E402
     read_checked,
@@ -266,23 +266,29 @@ def _scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A search small enough for SQL to boost the same trees: features of few values, so that every
 #: value is a bin of its own.
-STEPS = ("day_part", "size", "v14", "v4")
+STEPS = ("day_part", "size", "step14", "step4")
 STEP_HOURS = 6
 COMPONENT_STEPS = (-0.1, 0.0, 0.1)
 SMALL_TREES = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.3}
 SMALL_GRID = {"maxIter": [2, 3], "maxDepth": [1, 2], "stepSize": [0.3]}
 
 
-def _stepped(df: DataFrame) -> DataFrame:
-    """Four features of four to seven values, weights and folds."""
-    steps = df.select(
-        "txn_id",
-        LABEL,
-        F.floor(F.col(TIME) / (3600 * STEP_HOURS)).cast("int").alias("day_part"),
-        bucket(AMOUNT, [10.0, 100.0, 500.0, 1000.0]).alias("size"),
-        bucket("V14", COMPONENT_STEPS).alias("v14"),
-        bucket("V4", COMPONENT_STEPS).alias("v4"),
+def _steps(df: DataFrame) -> DataFrame:
+    """Add four features of four to seven values."""
+    return df.withColumns(
+        {
+            "day_part": F.floor(F.col(TIME) / (3600 * STEP_HOURS)).cast("int"),
+            "size": bucket(AMOUNT, [10.0, 100.0, 500.0, 1000.0]),
+            # Column names ignore case, so these are not called v14 and v4.
+            "step14": bucket("V14", COMPONENT_STEPS),
+            "step4": bucket("V4", COMPONENT_STEPS),
+        }
     )
+
+
+def _stepped(df: DataFrame) -> DataFrame:
+    """The stepped features, weights and folds."""
+    steps = _steps(df).select("txn_id", LABEL, *STEPS)
     return sampling.hash_folds(weights.attach(steps), "txn_id")
 
 
@@ -326,6 +332,33 @@ def _cv_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _baseline_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, splits = _steps(_txn(spark, sf_dir)), _cores(spark)
+    return _rounded(baseline(rows, "txn_id", cols=STEPS, params=SMALL_TREES, partitions=splits).report, 6)
+
+
+def _small_tuned(spark: SparkSession, sf_dir: str):
+    def study():
+        rows, cores = _steps(_txn(spark, sf_dir)), _cores(spark)
+        return tuned(rows, "txn_id", cols=STEPS, axes=SMALL_GRID, parallelism=cores, partitions=max(1, cores // 4))
+
+    return _once("small tuned", spark, sf_dir, study)
+
+
+def _tuned_by_value_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_small_tuned(spark, sf_dir).sweep.select("threshold", "tp", "fp", "fn", "tn", "f1"), 6)
+
+
+def _tuned_by_value_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    study = _small_tuned(spark, sf_dir)
+    chosen = {"maxIter": study.search.best["maxIter"], "maxDepth": study.search.best["maxDepth"]}
+    return study.final.select(
+        *[F.lit(v).alias(name) for name, v in chosen.items()],
+        F.lit(study.threshold).alias("threshold"),
+        "tp", "tn", "fp", "fn", "detection_rate_pct", "false_alarm_rate_pct",
+    )
+
+
 def _smote(df: DataFrame) -> DataFrame:
     return _rounded(synthetic.smote(df, "txn_id", BASE_FEATURES), 6)
 
@@ -537,6 +570,9 @@ def _queries() -> dict[str, Query]:
         "gbt_by_value_importances": _gbt_by_value_importances,
         "gbt_by_value_nodes": _gbt_by_value_nodes,
         "cv_by_value": _cv_by_value,
+        "baseline_by_value": _baseline_by_value,
+        "tuned_by_value_sweep": _tuned_by_value_sweep,
+        "tuned_by_value_final": _tuned_by_value_final,
         # models
         "gbt_scored": _gbt_scored,
         "gbt_scored_positives": _gbt_scored_positives,
@@ -778,30 +814,42 @@ def _standardize_sql(names: list[str]) -> str:
     return _STATS.format(moments=moments) + f" SELECT txn_id, {scaled} FROM txn, stats"
 
 
-def _cells_sql() -> str:
-    """Rows that agree in the four stepped features, label and fold, with their number and weight."""
+def _cells_sql(copies: int = 1, stratified: bool = False) -> str:
+    """Rows that agree in the four stepped features, label, fold and side, with their number and weight.
+
+    Positives of the training side count ``copies`` times; classes are balanced on that side.
+    """
     step = "CASE WHEN {c} < -0.1::DOUBLE THEN 0 WHEN {c} < 0 THEN 1 WHEN {c} < 0.1::DOUBLE THEN 2 ELSE 3 END"
     size = "CASE WHEN Amount < 10 THEN 0 WHEN Amount < 100 THEN 1 WHEN Amount < 500 THEN 2 WHEN Amount < 1000 THEN 3 ELSE 4 END"
-    slot = _SLOT.format(key="'fold:' || txn_id", slots=3)
+    place = "(('0x' || substr(md5('fold:' || txn_id), 1, 8))::BIGINT)"
+    rank = f"dense_rank() OVER (PARTITION BY side, y ORDER BY {place} % 2147483648, txn_id) - 1"
     return (
-        _TXN
-        + f""", stepped AS (
+        _SPLIT
+        + f""", sided AS (
   SELECT txn_id, Class AS y, CAST(floor("Time" / {3600 * STEP_HOURS}) AS INTEGER) AS f0, {size} AS f1,
-         {step.format(c='V14')} AS f2, {step.format(c='V4')} AS f3, {slot} AS fold
-  FROM txn),
-classes AS (SELECT y, (SELECT count(*) FROM stepped) / (2.0::DOUBLE * count(*)) AS weight FROM stepped GROUP BY y),
-cells AS (
-  SELECT f0, f1, f2, f3, y, fold, count(*) AS n, count(*) * max(weight) AS w
-  FROM stepped JOIN classes USING (y) GROUP BY ALL)"""
+         {step.format(c='V14')} AS f2, {step.format(c='V4')} AS f3,
+         CASE WHEN inside THEN 'train' WHEN validates THEN 'validation' ELSE 'test' END AS side
+  FROM split),
+stepped AS (SELECT *, ({rank if stratified else place}) % 3 AS fold FROM sided)"""
+        + f""", counted AS (
+  SELECT f0, f1, f2, f3, y, fold, side, CAST(sum(CASE WHEN side = 'train' AND y = 1 THEN {copies} ELSE 1 END) AS BIGINT) AS n
+  FROM stepped GROUP BY ALL)"""
     )
 
 
+def _weighted_cells(learning: str) -> str:
+    return f""", classes AS (
+  SELECT y, (SELECT sum(n) FROM counted WHERE {learning}) / (2.0::DOUBLE * sum(n)) AS weight
+  FROM counted WHERE {learning} GROUP BY y),
+grouped AS (SELECT counted.*, n * weight AS w FROM counted JOIN classes USING (y))"""
+
+
 def _boosted_sql(tag: str, inside: str, trees: int, depth: int, step: float) -> str:
     """Boost ``trees`` trees of ``depth`` levels on the cells ``inside``.
 
     ``<tag>_m<t>`` has all cells and their margin after ``t`` trees, ``<tag>_b<t>_<l>`` the splits of level ``l``.
     """
-    sql = f""", {tag}_m0 AS (SELECT *, {inside} AS learns, 0.0::DOUBLE AS m FROM cells),
+    sql = f""", {tag}_m0 AS (SELECT *, {inside} AS learns, 0.0::DOUBLE AS m FROM grouped),
 {tag}_values AS (
   SELECT DISTINCT unnest([0, 1, 2, 3]) AS f, unnest([f0, f1, f2, f3]) AS v FROM {tag}_m0 WHERE learns)"""
     value = "CASE b.f WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END"
@@ -851,19 +899,22 @@ def _by_value_sql(result: str) -> str:
     splits = " UNION ALL ".join(f"SELECT {t} AS t, {lv} AS l, f, gain, tw FROM t_b{t}_{lv}" for t in trees for lv in levels)
     leaves = " UNION ALL ".join(f"SELECT {t} AS t, leaf, n FROM t_leaf{t}" for t in trees)
     rates = " UNION ALL ".join(f"SELECT {t} AS t, {1.0 if t == 1 else small['stepSize']}::DOUBLE AS rate" for t in trees)
-    return _cells_sql() + boosted + f""", splits AS ({splits}), leaves AS ({leaves}), rates AS ({rates}),
+    return _cells_sql() + _weighted_cells("true") + boosted + f""", splits AS ({splits}), leaves AS ({leaves}), rates AS ({rates}),
 ends AS (SELECT f0, f1, f2, f3, max(1 / (1 + exp(-2 * m))) AS score FROM t_m{small['maxIter']} GROUP BY ALL)
 {result}"""
 
 
-def _cv_by_value_sql() -> str:
-    tag, sql, parts = "k{i}d{d}", _cells_sql(), []
+def _search_sql(learning: str) -> str:
+    """``means (trees, depth, metric)``: the mean PR area over the folds of the rows ``learning``."""
+    sql, parts = "", []
     for i in range(3):
         for d in SMALL_GRID["maxDepth"]:
-            name = tag.format(i=i, d=d)
-            sql += _boosted_sql(name, f"fold <> {i}", max(SMALL_GRID["maxIter"]), d, SMALL_GRID["stepSize"][0])
+            name = f"k{i}d{d}"
+            sql += _boosted_sql(
+                name, f"{learning} AND fold <> {i}", max(SMALL_GRID["maxIter"]), d, SMALL_GRID["stepSize"][0]
+            )
             parts += [
-                f"SELECT {t} AS trees, {d} AS depth, fold, m, y, n FROM {name}_m{t} WHERE NOT learns"
+                f"SELECT {t} AS trees, {d} AS depth, fold, m, y, n FROM {name}_m{t} WHERE {learning} AND fold = {i}"
                 for t in SMALL_GRID["maxIter"]
             ]
     return sql + f""", judged AS ({" UNION ALL ".join(parts)}),
@@ -879,11 +930,57 @@ c AS (
   FROM k),
 areas AS (
   SELECT trees, depth, fold, sum(p / pp * (prec + coalesce(prev, prec)) / 2) AS area FROM c GROUP BY ALL),
-means AS (SELECT trees, depth, avg(area) AS metric FROM areas GROUP BY ALL)
+means AS (SELECT trees, depth, avg(area) AS metric FROM areas GROUP BY ALL)"""
+
+
+def _cv_by_value_sql() -> str:
+    return _cells_sql() + _weighted_cells("true") + _search_sql("true") + """
 SELECT CAST(trees AS INTEGER) AS "maxIter", CAST(depth AS INTEGER) AS "maxDepth", round(metric, 6) AS avg_metric,
   row_number() OVER (ORDER BY metric DESC, trees, depth) = 1 AS is_best FROM means"""
 
 
+def _baseline_by_value_sql() -> str:
+    """The baseline study: weights and trees of the training side, the report of the other."""
+    trees = SMALL_TREES["maxIter"]
+    boosted = _boosted_sql("t", "side = 'train'", trees, SMALL_TREES["maxDepth"], SMALL_TREES["stepSize"])
+    report = _report_sql("judged").replace(", 9) AS value", ", 6) AS value")
+    return _cells_sql() + _weighted_cells("side = 'train'") + boosted + f""", ends AS (
+  SELECT f0, f1, f2, f3, round(max(1 / (1 + exp(-2 * m))), 12) AS score FROM t_m{trees} GROUP BY ALL),
+judged AS (
+  SELECT y AS Class, score, CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+  FROM stepped JOIN ends USING (f0, f1, f2, f3) WHERE side <> 'train')""" + report
+
+
+def _tuned_by_value_sql(result: str) -> str:
+    """The tuned study: copies, even folds, the search, a refit, a threshold and the final decision."""
+    train_side, rate = "side = 'train'", SMALL_GRID["stepSize"][0]
+    sql = _cells_sql(OVERSAMPLING, stratified=True) + _weighted_cells(train_side) + _search_sql(train_side)
+    finals = []
+    for d in SMALL_GRID["maxDepth"]:
+        sql += _boosted_sql(f"d{d}", train_side, max(SMALL_GRID["maxIter"]), d, rate)
+        finals += [
+            f"SELECT {t} AS trees, {d} AS depth, side, y, n, round(1 / (1 + exp(-2 * m)), 12) AS score FROM d{d}_m{t}"
+            for t in SMALL_GRID["maxIter"]
+        ]
+    return sql + f""", chosen AS (SELECT trees, depth FROM means ORDER BY metric DESC, trees, depth LIMIT 1),
+finals AS ({" UNION ALL ".join(finals)}),
+model AS (SELECT * FROM finals JOIN chosen USING (trees, depth)),
+t AS (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.4, 0.5]) AS DOUBLE) AS threshold),
+swept AS (
+  SELECT threshold,
+         coalesce(sum(n) FILTER (WHERE y = 1 AND score >= threshold), 0) AS tp,
+         coalesce(sum(n) FILTER (WHERE y = 0 AND score >= threshold), 0) AS fp,
+         coalesce(sum(n) FILTER (WHERE y = 1 AND score < threshold), 0) AS fn,
+         coalesce(sum(n) FILTER (WHERE y = 0 AND score < threshold), 0) AS tn
+  FROM model, t WHERE side = 'validation' GROUP BY threshold),
+sweep AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM swept),
+best AS (
+  SELECT threshold FROM (
+    SELECT threshold, f1 FROM sweep WHERE f1 > 0 UNION ALL SELECT 0.5::DOUBLE, 0.0::DOUBLE)
+  ORDER BY f1 DESC, threshold LIMIT 1)
+{result}"""
+
+
 def _near_sql(source: str, key: str, features: list[str], k: int) -> str:
     """Every positive's ``k`` nearest others: all pairs, which is what the operator avoids."""
     squares = " + ".join(f'(a."{c}" - b."{c}") * (a."{c}" - b."{c}")' for c in features)
@@ -1098,4 +1195,20 @@ SELECT feature, round(share, 6) AS importance,
                FROM leaves e GROUP BY t"""
         ),
         "cv_by_value": _cv_by_value_sql(),
+        "baseline_by_value": _baseline_by_value_sql(),
+        "tuned_by_value_sweep": _tuned_by_value_sql(
+            """SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+               CAST(tn AS BIGINT) AS tn, round(f1, 6) AS f1 FROM sweep"""
+        ),
+        "tuned_by_value_final": _tuned_by_value_sql(
+            """, decided AS (
+  SELECT CAST(coalesce(sum(n) FILTER (WHERE y = 1 AND score >= threshold), 0) AS BIGINT) AS tp,
+         CAST(coalesce(sum(n) FILTER (WHERE y = 0 AND score < threshold), 0) AS BIGINT) AS tn,
+         CAST(coalesce(sum(n) FILTER (WHERE y = 0 AND score >= threshold), 0) AS BIGINT) AS fp,
+         CAST(coalesce(sum(n) FILTER (WHERE y = 1 AND score < threshold), 0) AS BIGINT) AS fn
+  FROM model, best WHERE side = 'test')
+SELECT CAST(trees AS INTEGER) AS "maxIter", CAST(depth AS INTEGER) AS "maxDepth", threshold, tp, tn, fp, fn, """
+            + _RATES
+            + " FROM decided, chosen, best"
+        ),
     }

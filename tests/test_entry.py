@@ -11,6 +11,9 @@ from tests.conftest import SF
 
 QUERIES, ORACLE = entry._queries(), entry._oracle_sql()
 TABLES = ["lineitem", "embeddings", "events"]
+MID = SF.replace("sf0.001", "sf0.01")
+#: With 37 positives leaves are pure, and their equal scores differ in the last digit between engines.
+LARGER = {"cv_by_value"}
 #: 25 fits and four fits of copied tables: test_models checks them with small settings.
 LONG = {"cv_metrics", "tuned_sweep", "scaling"}
 FITTED = LONG | {"gbt_scored", "gbt_scored_positives", "gbt_importances", "baseline_report"}
@@ -33,7 +36,16 @@ def canonical(rows, columns):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG))
+def test_a_search_equals_its_sql(spark):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.sql(f"create view {name} as select * from '{MID}/{name}.parquet'")
+    for name in LARGER:
+        df, expected = QUERIES[name](spark, MID), con.sql(ORACLE[name])
+        assert canonical(df.collect(), df.columns) == canonical(expected.fetchall(), expected.columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG - LARGER))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     expected = duck.sql(ORACLE[name])
@@ -41,7 +53,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert canonical(df.collect(), df.columns) == canonical(expected.fetchall(), expected.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG))
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG - LARGER))
 def test_plans_stay_in_the_jvm_and_never_cross_join(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
