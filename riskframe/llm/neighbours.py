@@ -7,8 +7,10 @@ sample tells how many lists a query must probe to find ``recall`` of its neighbo
 query a first bound: ``k`` neighbours among ``SEEDS`` vectors of it.
 
 *Scan.*  Lists are cut into blocks of at most ``BLOCK`` vectors, a large list into several and small
-ones together, and queries into parts; one task compares one block with one part.  It adds up
-distances by blocks of ``STEP`` rotated columns.  After ``d`` of ``D`` columns, the hypothesis that a
+ones together.  A task holds one block and lets the queries sent to it pass by, so a candidate is sent
+once, whatever the number of queries; only a block that more than ``QUERIES`` of them visit is dealt to
+several tasks.  Of equal vectors the ``k + 1`` smallest identifiers are candidates, since no other can
+be an answer.  The scan adds up distances by blocks of ``STEP`` rotated columns.  After ``d`` of ``D`` columns, the hypothesis that a
 candidate lies within the query's bound is rejected, and the candidate abandoned, when its scaled
 partial distance exceeds the bound by the factor ``1 + EPSILON / sqrt(d)``.  What is left is scored
 exactly on the original vectors in double precision; the ``k`` best so far tighten the bound for the
@@ -16,8 +18,8 @@ lists that follow, and the ``k`` best per query and block go on.
 
 Defined results: a vector takes no part when it is null, zero, of another length than the commonest,
 or holds a null or non-finite component, nor does a null identifier; exactly repeated rows count
-once; rows that share the query's identifier are not its neighbours; ties go to the smaller
-identifier; a query with fewer candidates than ``k`` gets them all; an empty table gives no rows.
+once; rows that share the query's identifier are not its neighbours, and a query identifier with
+several vectors gets the best of them all; ties go to the smaller identifier; a query with fewer candidates than ``k`` gets them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ SAMPLE = 20_000
 SEEDS = 1024
 MAX_LISTS = 1024
 BLOCK = 8192
-QUERIES = 4096
+QUERIES = 1 << 16
+PASSING = 4096
 STEP = 16
 EPSILON = 2.1
 SEED = 7
@@ -163,40 +166,70 @@ def _scan(
     return rows[i], columns[j]
 
 
-def _compare(left: pa.Table, right: pa.Table, index: Index, k: int, schema: pa.Schema) -> pa.Table:
-    """The best of one block of candidates for one part of the queries."""
-    if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
-    ids, vectors = left["id"].to_numpy(), _matrix(left["vec"])
-    lists = left["list"].to_numpy()
-    asked, asking, bound = right["id"].to_numpy(), _matrix(right["vec"]), right["bound"].to_numpy()
-    probes = right["lists"].to_pylist()
-    turned = index.turned(vectors).astype(np.float32)
-    turned_q = index.turned(asking, query=True).astype(np.float32)
-    length2 = np.einsum("ij,ij->i", asking, asking)
-    limit = (length2 + index.norm2 - 2 * bound).astype(np.float32)
-    found_i, found_j, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for one in np.unique(lists):
-        own = np.flatnonzero(lists == one)
-        who = np.asarray([i for i, p in enumerate(probes) if one in p], dtype=np.int64)
-        for start in range(0, len(who), 512):
-            some = who[start : start + 512]
-            i, j = _scan(turned_q[some], limit[some], turned[own])
-            i, j = some[i], own[j]
-            other = asked[i] != ids[j]
-            i, j = i[other], j[other]
-            score = np.empty(len(i))
-            for at in range(0, len(i), 100_000):
-                part = slice(at, at + 100_000)
-                score[part] = (asking[i[part]] * vectors[j[part]]).sum(axis=1)
-            found_i, found_j = np.append(found_i, i), np.append(found_j, j)
-            found = np.append(found, score)
-        kept = _best(found_i, ids[found_j], found, k)
-        found_i, found_j, found = found_i[kept], found_j[kept], found[kept]
-        full, first, size = np.unique(found_i, return_index=True, return_counts=True)
-        full, last = full[size == k], (first + size - 1)[size == k]
-        limit[full] = np.minimum(limit[full], (length2[full] + index.norm2 - 2 * found[last]).astype(np.float32))
-    return pa.table([asked[found_i], ids[found_j], found], schema=schema)
+class _Block:
+    """A block of candidates that batches of queries pass by."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, index: Index) -> None:
+        self._ids, self._vectors, self._lists, self._index = ids, vectors, lists, index
+        self._turned = index.turned(vectors).astype(np.float32)
+
+    def compared(
+        self, asked: np.ndarray, asking: np.ndarray, bound: np.ndarray, probes: list[list[int]], k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of the block for some queries: identifiers of query and candidate, scores."""
+        ids, vectors, index = self._ids, self._vectors, self._index
+        turned_q = index.turned(asking, query=True).astype(np.float32)
+        length2 = np.einsum("ij,ij->i", asking, asking)
+        limit = (length2 + index.norm2 - 2 * bound).astype(np.float32)
+        found_i, found_j, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for one in np.unique(self._lists):
+            own = np.flatnonzero(self._lists == one)
+            who = np.asarray([i for i, p in enumerate(probes) if one in p], dtype=np.int64)
+            for start in range(0, len(who), 512):
+                some = who[start : start + 512]
+                i, j = _scan(turned_q[some], limit[some], self._turned[own])
+                i, j = some[i], own[j]
+                other = asked[i] != ids[j]
+                i, j = i[other], j[other]
+                score = np.empty(len(i))
+                for at in range(0, len(i), 100_000):
+                    part = slice(at, at + 100_000)
+                    score[part] = (asking[i[part]] * vectors[j[part]]).sum(axis=1)
+                found_i, found_j = np.append(found_i, i), np.append(found_j, j)
+                found = np.append(found, score)
+            kept = _best(found_i, ids[found_j], found, k)
+            found_i, found_j, found = found_i[kept], found_j[kept], found[kept]
+            full, first, size = np.unique(found_i, return_index=True, return_counts=True)
+            full, last = full[size == k], (first + size - 1)[size == k]
+            limit[full] = np.minimum(limit[full], (length2[full] + index.norm2 - 2 * found[last]).astype(np.float32))
+        return asked[found_i], ids[found_j], found
+
+
+def _passed(
+    batches: Iterator[pa.RecordBatch], index: Index, k: int, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """The best per query and block, from rows sorted by block and part, candidates first."""
+    at, block, gathered = None, None, []
+    for batch in batches:
+        place = np.column_stack([batch["block"].to_numpy(), batch["part"].to_numpy()])
+        asks = batch["asks"].to_numpy(zero_copy_only=False)
+        new = np.append(True, (place[1:] != place[:-1]).any(axis=1) | (asks[1:] != asks[:-1]))
+        starts = np.flatnonzero(new)
+        for start, end in zip(starts.tolist(), np.append(starts[1:], len(asks)).tolist()):
+            rows = batch.slice(start, end - start)
+            if tuple(place[start]) != at:
+                at, block, gathered = tuple(place[start]), None, []
+            if not asks[start]:
+                gathered.append((rows["id"].to_numpy(), _matrix(rows["vec"]), rows["list"].to_numpy()))
+                continue
+            if block is None and gathered:
+                block, gathered = _Block(*(np.concatenate(x) for x in zip(*gathered)), index), []
+            for first in range(0, rows.num_rows if block else 0, PASSING):
+                some = rows.slice(first, PASSING)
+                found = block.compared(
+                    some["id"].to_numpy(), _matrix(some["vec"]), some["bound"].to_numpy(), some["lists"].to_pylist(), k
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
 
 def nearest(
@@ -237,18 +270,20 @@ def nearest(
             yield pa.RecordBatch.from_arrays(columns, names=["id", "asks", "vec", "list"])
 
     listed = materialised(rows.mapInArrow(assign, "id long, asks boolean, vec binary, list int"))
-    counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
+    smallest = Window.partitionBy("vec").orderBy("id")
+    answers = listed.withColumn("i", F.row_number().over(smallest)).filter(F.col("i") <= k + 1)
+    answers = materialised(answers.select("id", "vec", "list"))
+    counts = {r["list"]: r["count"] for r in answers.groupBy("list").count().collect()}
     blocks, pieces = _blocks(counts)
     asking = listed.filter("asks")
-    parts = max(1, -(-asking.count() // QUERIES))
 
     places = spark.createDataFrame(
         [(one, blocks[one], pieces[one]) for one in counts], "at int, first int, pieces int"
     )
     candidates = (
-        listed.join(F.broadcast(places), F.col("list") == F.col("at"))
+        answers.join(F.broadcast(places), F.col("list") == F.col("at"))
         .withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-        .select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "vec", "list")
+        .select("block", "id", "vec", "list")
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +320,14 @@ def nearest(
                     names=["block", "id", "vec", "bound", "lists"],
                 )
 
-    routed = asking.select("id", "vec").mapInArrow(
-        route, "block int, id long, vec binary, bound double, lists array<int>"
+    routed = materialised(
+        asking.select("id", "vec").mapInArrow(route, "block int, id long, vec binary, bound double, lists array<int>")
     )
-    queries = routed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    # One row per block: how many tasks its queries are dealt to.
+    dealt = routed.groupBy(F.col("block").alias("at")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    here = F.col("block") == F.col("at")
+    queries = routed.join(dealt, here).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = candidates.join(dealt, here).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found_type = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +341,16 @@ def nearest(
                     [pa.array(ids[i]), pa.array(at.sample_ids[j]), pa.array(score)], schema=found_type
                 )
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _compare(left, right, index.value, k, found_type)
-
-    keys = ["block", "part"]
-    found = (
-        candidates.groupBy(*keys)
-        .cogroup(queries.groupBy(*keys))
-        .applyInArrow(compare, "query_id long, vec_id long, score double")
+    columns = ["block", "part", "asks", "id", "vec", "list", "bound", "lists"]
+    both = (
+        sent.withColumns({"asks": F.lit(False), "bound": F.lit(None).cast("double"), "lists": F.lit(None).cast("array<int>")})
+        .select(*columns)
+        .unionByName(queries.withColumns({"asks": F.lit(True), "list": F.lit(None).cast("int")}).select(*columns))
+    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = both.repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "asks")
+    found = met.mapInArrow(
+        lambda batches: _passed(batches, index.value, k, found_type), "query_id long, vec_id long, score double"
     )
     # The seeds that gave the bound are neighbours too: with them every query has its k.
     found = found.unionByName(asking.select("id", "vec").mapInArrow(known, found.schema))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,47 @@ def test_search_with_many_lists_blocks_ties_and_invalid_vectors(spark, monkeypat
     assert neighbours.nearest(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_candidates_are_sent_once_per_block_unless_many_queries_visit_it(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 6)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers = {}
+    for limit in (1 << 16, 100):
+        monkeypatch.setattr(neighbours, "QUERIES", limit)
+        found = neighbours.nearest(vectors, F.col("vec_id") % 2 == 0, k=4)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and "explode(sequence(0, (parts" in plan
+        answers[limit] = sorted(map(tuple, found.collect()))
+    assert answers[1 << 16] == answers[100] and len(answers[100]) == 4 * 600
+
+
+def test_blocks_take_queries_in_any_batches():
+    rng = np.random.default_rng(7)
+    ids, points = np.arange(300), rng.normal(size=(300, 5))
+    norm2 = float((points**2).sum(1).max())
+    index = neighbours._build(ids, points, 300, norm2, 3, 0.97)
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    rows = []
+    for part in (0, 1):
+        for i in range(300):
+            rows.append((7, part, False, i, points[i].tobytes(), 0, None, None))
+        for q in range(part, 300, 2):
+            rows.append((7, part, True, q, points[q].tobytes(), None, -np.inf, [0]))
+    rows += [(8, 0, True, 1, points[1].tobytes(), None, -np.inf, [0])]  # a block without candidates
+    names = ["block", "part", "asks", "id", "vec", "list", "bound", "lists"]
+    types = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    found = []
+    for size in (10_000, 37):
+        out = neighbours._passed(iter(table.to_batches(max_chunksize=size)), index, 3, schema)
+        found.append(sorted(tuple(r.values()) for b in out for r in b.to_pylist()))
+    assert found[0] == found[1] and len(found[0]) == 900
+    scores = points @ points.T
+    np.fill_diagonal(scores, -np.inf)
+    best = {(q, j) for q in range(300) for j in np.argsort(-scores[q], kind="stable")[:3].tolist()}
+    assert {r[:2] for r in found[0]} == best
+
+
 # --- near-duplicates -------------------------------------------------------
 
 
