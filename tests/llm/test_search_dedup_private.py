@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -255,6 +256,10 @@ def surrogates_kind(spark, entity):
 
 
 def feistel(text, key, alphabets):
+    if len(text) == 1:
+        by = int(hashlib.sha256(key.encode()).hexdigest()[:4], 16)
+        own = next((a for a in alphabets if text in a), text)
+        return own[(own.index(text) + 1 + by % (len(own) - 1)) % len(own)] if len(own) > 1 else text
     half = len(text) // 2
     left, right = text[:half], text[half:]
 
@@ -348,6 +353,99 @@ def test_surrogate_edge_cases(spark, documents):
 # --- pipeline --------------------------------------------------------------
 
 
+def plain_entities(text):
+    """The pattern, and then the names of persons it found, by another engine."""
+    found = [m for m in regex.finditer(surrogates.ANY, text)]
+    person, title = surrogates.PATTERNS[-1][1], rf"^{surrogates._TITLE}\.? "
+    names = {
+        word for m in found if regex.fullmatch(person, m[0]) for word in regex.sub(title, "", m[0]).split(" ")
+    }
+    if names:
+        alone = "|".join(sorted(names, key=lambda w: (-len(w), w)))
+        pattern = f"{surrogates.ANY}|{surrogates._ALONE[0]}{alone}{surrogates._ALONE[1]}"
+        found = [m for m in regex.finditer(pattern, text)]
+    return [(i, m.start(), m[0]) for i, m in enumerate(found)]
+
+
+def test_op7_finds_what_plain_code_finds(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    rows = surrogates.entities(docs, "k").collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append((r["ordinal"], r["start"], r["entity"]))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    expected = {i: plain_entities(t) for i, t in texts.items() if t and regex.search(surrogates.ANY, t)}
+    assert len(expected) > 50 and {i: sorted(e) for i, e in got.items()} == expected
+    clean = {r["doc_id"]: r["text"] for r in surrogates.replaced(docs, "k").collect()}
+    for i, text in texts.items():
+        if i not in expected:
+            assert clean[i] == text
+    for r in rows:
+        assert r["surrogate"] != r["entity"] and r["surrogate"] in clean[r["doc_id"]]
+
+
+def test_spellings_of_one_entity_share_a_surrogate(spark, documents):
+    texts = [
+        "+1 555 123 4567 +1-555-123-4567 +15551234567",
+        "Ann.Lee@mail.example.com ann.lee@mail.example.com ANN.LEE@mail.example.com",
+        "DE89 3704 0044 0532 0130 00 DE89370400440532013000",
+        "4111 1111 1111 1111 4111111111111111",
+    ]
+    found = defaultdict(set)
+    for r in surrogates.entities(documents(texts), "k").collect():
+        found[r["doc_id"]].add(regex.sub(r"[ .@-]", "", r["surrogate"]).lower())
+        assert r["surrogate"] != r["entity"] and len(r["surrogate"]) == len(r["entity"])
+    assert all(len(v) == 1 for v in found.values()) and len(found) == 4
+
+
+def test_every_mention_of_a_person_becomes_the_same_name(spark, documents):
+    text = "Ask John Smith. Dr. John Smith and Smith's wife, Frau Łąska-Ёж; Smithson, łąska and John stay or go."
+    clean = surrogates.replaced(documents([text, "John Smith"]), "k").orderBy("doc_id").collect()
+    new = regex.search(r"Dr\. (\p{L}+) (\p{L}+) and", clean[0]["text"])
+    first, last = new[1], new[2]
+    assert first != "John" and last != "Smith" and (first[-1], last[-1]) == ("n", "h")
+    assert clean[0]["text"].startswith(f"Ask {first} {last}. ") and f"and {last}'s wife" in clean[0]["text"]
+    assert f"Smithson, łąska and {first} stay" in clean[0]["text"] and "Łąska" not in clean[0]["text"]
+    assert clean[1]["text"] == "John Smith"
+
+
+def test_addresses_stay_in_their_networks_and_accounts_stay_valid(spark, documents):
+    import ipaddress
+
+    ips = [f"{a}.{b}" for a in ("10.1", "127.0", "172.16", "172.31", "192.168", "8.8", "172.32") for b in ("0.1", "3.4", "255.254")]
+    rows = surrogates.entities(documents([" ".join(ips)]), "k").collect()
+    nets = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "127.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")]
+
+    def of(ip):
+        return next((n for n in nets if ipaddress.ip_address(ip) in n), None)
+
+    assert len(rows) == len(ips) and len({r["surrogate"] for r in rows}) == len(ips)
+    assert all(of(r["entity"]) == of(r["surrogate"]) for r in rows)
+
+    def rest(iban):
+        plain = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE88370400440532013000"]
+    rows = surrogates.entities(documents(accounts), "k").orderBy("doc_id").collect()
+    assert [rest(r["surrogate"]) for r in rows] == [rest(r["entity"]) for r in rows] == [1, 1, 0]
+
+
+def test_a_surrogate_that_is_its_entity_is_flagged(spark):
+    found = spark.createDataFrame(
+        [("secret", "a", "a"), ("secret", "b", "c"), ("key", "d", "e"), ("key", "f", "e")], "kind string, entity string, surrogate string"
+    )
+    flags = {r["entity"]: r["collides"] for r in surrogates.checked(found).collect()}
+    assert flags == {"a": True, "b": False, "d": True, "f": True}
+
+
+def test_columns_of_like_names_stay(spark):
+    rows = [(1, "mail a@b.com", "p", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __pattern string, __found string")
+    out = surrogates.replaced(docs, "k").first()
+    assert (out["__pattern"], out["__found"]) == ("p", "f") and "a@b.com" not in out["text"]
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     columns, states = docs.columns, []
