@@ -29,12 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from riskframe.llm.common import slices
-from riskframe.llm.tokens import default_path, encoder
+from riskframe.llm.tokens import CACHE_WORDS, default_path, encoder
 
 WINDOW = 2048
 MAX_OPEN = 4096
-#: Words in the tokenizer's cache: some 500 MB of a worker that holds nothing else.
-CACHE_WORDS = 1_500_000
 ID_BYTES = 4
 TASK_BITS = 33
 
@@ -145,6 +143,7 @@ def pack_split(
     max_open: int,
     path: str,
     keep_ids: bool,
+    cache_words: int = CACHE_WORDS,
 ) -> Iterator[pa.RecordBatch]:
     levels, rows = Levels(window), []
     last = np.asarray([end_id], "<u4").tobytes()
@@ -167,7 +166,7 @@ def pack_split(
     for batch in batches:
         for part in slices(batch, "text"):
             texts = [t or "" for t in part["text"].to_pylist()]
-            for doc, ids in zip(part["doc"].to_pylist(), encoder(path, CACHE_WORDS).encode(texts)):
+            for doc, ids in zip(part["doc"].to_pylist(), encoder(path, cache_words).encode(texts)):
                 whole = Piece(doc, ids + last, 0, len(ids) // ID_BYTES + 1)
                 while whole.length >= window:
                     head, whole = whole.cut(window)
@@ -202,12 +201,14 @@ def pack(
     max_open: int = MAX_OPEN,
     tokenizer: str | None = None,
     keep_ids: bool = True,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: ``(<id_col>, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``.
 
     Pieces of one ``sequence_id`` fill it from ``offset`` 0 on without gaps.  All sequences hold
     ``window`` ids, but for at most one run of powers of two per input split.  ``keep_ids`` adds the
-    ids themselves.
+    ids themselves.  More ``cache_words`` encode faster; a worker keeps them, some 200 bytes each, for
+    the stages that follow.
     """
     path = tokenizer or default_path()
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
@@ -222,6 +223,6 @@ def pack(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         task = TaskContext.get().partitionId()
-        return pack_split(batches, to_arrow_schema(out), task, window, end_id, max_open, path, keep_ids)
+        return pack_split(batches, to_arrow_schema(out), task, window, end_id, max_open, path, keep_ids, cache_words)
 
     return rows.mapInArrow(run, out).withColumnRenamed("doc", id_col)
