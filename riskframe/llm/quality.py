@@ -13,7 +13,7 @@ the mean of their weights.
 
 Defined results: a null or empty text scores the bias alone; a null identifier is scored and never
 trained on; labels other than 0 and 1 are left out, and conflicting labels of an identifier count by
-their majority (a tie: 1); without labels every score is 0.5; an empty table gives no rows.
+their majority (a tie: 1), and of several texts of one identifier one is learned; without labels every score is 0.5; an empty table gives no rows.
 ``score`` and ``predicted`` replace columns of those names.
 """
 
@@ -159,9 +159,11 @@ def fit(
     total = known.count()
     steps = 1 << 20
     cut = steps if total <= max_rows else steps * max_rows // total
-    # About max_rows rows, whatever the size of the tables.
+    # About max_rows rows, whatever the size of the tables: an identifier with several texts gives one.
     sample = F.broadcast(known.filter(F.pmod("order", F.lit(steps)) < cut))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(sample, "id")
+    one = F.min_by(F.struct("text", "label", "order"), F.xxhash64("text")).alias("one")
+    rows = rows.groupBy("id").agg(one).select("id", "one.*")
     shard = F.pmod(F.xxhash64("order"), F.lit(SHARDS))
     dealt = rows.withColumn("shard", shard).repartition(SHARDS, "shard")
     ordered = dealt.sortWithinPartitions("shard", "order", "id").select("text", "label")

@@ -247,6 +247,15 @@ def test_vectorised_ngrams_equal_plain_counts():
         assert value == pytest.approx(float(weights[slots] @ values))
 
 
+def test_a_repeated_identifier_is_learned_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    first = labels.filter("quality is not null").first()["doc_id"]
+    again = docs.filter(F.col("doc_id") == first).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy")
+    one, many = (quality.fit(d, labels, epochs=1) for d in (docs, docs.unionByName(again)))
+    assert (one.weights == many.weights).all() and one.bias == many.bias
+
+
 def test_quality_edge_cases(spark, documents):
     docs = documents([None, "", "good words here", "good words here", "bad!! BAD!!" * 50, "x" * 50_000])
     docs = docs.withColumn("score", F.lit("old")).unionByName(
