@@ -33,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, window=2048, end_id=1, keep_ids=False, cache_words=1_200_000)
+    return packing.pack(docs, window=2048, end_id=1, keep_ids=False, cache_words=1_600_000)
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Sequence
 from itertools import chain, filterfalse, islice
 
 import numpy as np
@@ -15,9 +16,12 @@ JOINED = 64
 _AFTER_BLANK = re.compile(r"\s ")
 _BREAK = re.compile(r"(?<=\S) ")
 _BLANK = re.compile(r"\s")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Byte-level models name a byte by its own character where that prints, by one from 256 on where not.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _AS_PRINTED = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_BASE, _ONE = np.uint64(0x100000001B3), np.uint64(1)
+_HEAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = chr(_AS_PRINTED[32])
 _encoders: dict[str, Encoder] = {}
 
@@ -62,7 +66,8 @@ class Encoder:
         names = sorted(self._special, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
         self._known_stops: dict[str, bytes] = {"": b""}
-        (self._newline,) = np.frombuffer(self._whole("\n"), "<u4")
+        self._line = self._whole("\n")
+        (self._newline,) = np.frombuffer(self._line, "<u4")
         self._spaced: dict[str, bytes] = {}
         self._first: dict[str, bytes] = {}
 
@@ -83,21 +88,23 @@ class Encoder:
             self._known_stops[stops] = self._whole(stops)
         return self._known_stops[stops]
 
-    def _fill(self, cache: dict[str, bytes], lists: list[list[str]], lead: str) -> None:
-        """Have ``cache`` hold all words of ``lists``, each encoded with ``lead`` before it."""
+    def _fill(self, cache: dict[str, bytes], lists: list[list[str]], lead: str, keep: Sequence[list[str]] = ()) -> None:
+        """Have ``cache`` hold all words of ``lists``, each encoded with ``lead`` before it; those of ``keep`` stay."""
         missing = set(filterfalse(cache.__contains__, chain.from_iterable(lists)))
         if len(cache) + len(missing) > self.cache_words:
             # Frequent words came early, and a dictionary keeps that order.
             kept = dict(islice(cache.items(), self.cache_words // 2))
-            kept.update((word, cache[word]) for word in chain.from_iterable(lists) if word in cache)
+            kept.update((word, cache[word]) for word in chain(*lists, *keep) if word in cache)
             cache.clear()
             cache.update(kept)
-        plain = []
+        plain, lines = [], []
         for word in missing:
             stem = word.rstrip(".,")
             if stem.isalpha():
                 ids = cache.get(stem) or self._letters(lead, stem)
                 cache[word] = ids if stem is word else ids + self._stops(word[len(stem) :])
+            elif "\n" in word and _LINES.fullmatch(word):
+                lines.append(word)
             elif not word or _BLANK.search(word):
                 cache[word] = self._whole(lead + word)
             else:
@@ -114,6 +121,15 @@ class Encoder:
             for word, start, end in zip(some, starts, ends.tolist()):
                 cache[word] = ids[start:end].tobytes()
 
+        if lines:
+            # A line end between words is one id of its own, and what follows has no space before it.
+            split = [word.split("\n") for word in lines]
+            self._fill(cache, [[parts[0] for parts in split]], lead, [*lists, *keep])
+            heads = [cache[parts[0]] for parts in split]
+            self._fill(self._first, [parts[1:] for parts in split], "", [*lists, *keep] if cache is self._first else ())
+            for word, head, parts in zip(lines, heads, split):
+                cache[word] = self._line.join([head, *map(self._first.__getitem__, parts[1:])])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
         held = [i for i, text in enumerate(texts) if any(name in text for name in self._special)]
@@ -131,9 +147,64 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_BREAK.split(t) if _AFTER_BLANK.search(t) else t.split(" ") for t in texts]
+        # Only spaces that follow white space need care.
+        odd = [i for i, text in enumerate(texts) if _AFTER_BLANK.search(text)]
+        found = dict(zip(odd, self._by_parts([_BREAK.split(texts[i]) for i in odd])))
+        plain = [text.encode() for i, text in enumerate(texts) if i not in found]
+        rest = iter(self._by_words(plain))
+        return [found[i] if i in found else next(rest) for i in range(len(texts))]
+
+    def _by_parts(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of texts that are given in parts, each but the first to have a space before it."""
         heads = [p.pop(0) for p in parts]
         self._fill(self._first, [heads], "")
+        opened = [self._first[head] for head in heads]
         self._fill(self._spaced, parts, " ")
         known = self._spaced.__getitem__
-        return [self._first[head] + b"".join(map(known, p)) for head, p in zip(heads, parts)]
+        return [head + b"".join(map(known, p)) for head, p in zip(opened, parts)]
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts that may be cut before every space.
+
+        All texts at once: a word is looked up once, however often it occurs, and the ids are put
+        together by its occurrences.  Equal words are found by their hashes and then compared.
+        """
+        if not texts:
+            return []
+        whole = b" " + b" ".join(texts)
+        raw = np.frombuffer(whole, np.uint8)
+        starts = np.flatnonzero(raw == 32)
+        sizes = np.diff(np.append(starts, len(raw)))
+        counts = np.fromiter((text.count(b" ") + 1 for text in texts), np.int64, len(texts))
+        firsts = np.cumsum(counts) - counts
+        powers = np.full(int(sizes.max()), _BASE)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        inside = np.arange(len(raw)) - np.repeat(starts, sizes)
+        hashed = np.add.reduceat((raw + _ONE) * powers[inside], starts)
+        hashed ^= sizes.astype(np.uint64) << np.uint64(48)
+        hashed[firsts] ^= _HEAD
+        distinct, shown, which = np.unique(hashed, return_index=True, return_inverse=True)
+        head = np.zeros(len(starts), bool)
+        head[firsts] = True
+        if (sizes != sizes[shown][which]).any() or (head != head[shown][which]).any() or (
+            raw != raw[inside + np.repeat(starts[shown][which], sizes)]
+        ).any():
+            return self._by_parts([text.decode().split(" ") for text in texts])
+        ends = (starts + sizes)[shown].tolist()
+        words = [whole[start:end].decode() for start, end in zip((starts[shown] + 1).tolist(), ends)]
+        opening = head[shown]
+        values = [b""] * len(words)
+        for cache, lead, at in ((self._first, "", np.flatnonzero(opening)), (self._spaced, " ", np.flatnonzero(~opening))):
+            own = [words[i] for i in at.tolist()]
+            self._fill(cache, [own], lead)
+            for i, word in zip(at.tolist(), own):
+                values[i] = cache[word]
+        flat = np.frombuffer(b"".join(values), "<u4")
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begins = np.cumsum(lengths) - lengths
+        sent = lengths[which]
+        ends = np.cumsum(sent)
+        ids = flat[np.arange(int(ends[-1])) + np.repeat(begins[which] - (ends - sent), sent)].tobytes()
+        bounds = np.append(0, ends[firsts + counts - 1]) * 4
+        return [ids[start:end] for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist())]

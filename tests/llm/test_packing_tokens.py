@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from riskframe.llm import packing, tokenfiles
 from riskframe.llm.queries import op1_packing, op6_token_files
-from riskframe.llm.tokens import default_path, encoder
+from riskframe.llm.tokens import Encoder, default_path, encoder
 from riskframe.session import shared_path
 from tests.conftest import SF
 
@@ -33,6 +33,17 @@ def test_encoder_equals_the_tokenizer_on_any_white_space(plain):
         assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
 
 
+def test_a_small_cache_changes_nothing(plain):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdé.,", k=rng.randint(1, 5))) for _ in range(400)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\n\n", "  ", "\t"]) for _ in range(60)) for _ in range(200)]
+    small = Encoder(default_path())
+    small.cache_words = 50
+    for i in range(0, 200, 20):
+        for text, ids in zip(texts[i : i + 20], small.encode(texts[i : i + 20])):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
+
+
 def whole(rows, texts, plain, end, window):
     """Every id lies in one piece and every sequence is gapless; returns the padding."""
     docs, bins = defaultdict(list), defaultdict(list)
