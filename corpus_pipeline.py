@@ -47,7 +47,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their ids."""
-    return packing.pack(docs, window=2048, end_id=1)
+    # Workers keep their caches for other stages, so this one is small.
+    return packing.pack(docs, window=2048, end_id=1, cache_words=250_000)
 
 
 STAGES = [
