@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain, filterfalse, islice
 
 import numpy as np
@@ -12,6 +12,8 @@ import numpy as np
 BYTE_BPE = "byte_bpe_50k.json"
 CACHE_WORDS = 500_000
 JOINED = 64
+#: Bytes of text whose words are looked up at once; that takes some 50 times as much memory.
+TOGETHER = 500_000
 
 _AFTER_BLANK = re.compile(r"\s ")
 _BREAK = re.compile(r"(?<=\S) ")
@@ -150,10 +152,18 @@ class Encoder:
         # Only spaces that follow white space need care.
         odd = [i for i, text in enumerate(texts) if _AFTER_BLANK.search(text)]
         found = dict(zip(odd, self._by_parts([_BREAK.split(texts[i]) for i in odd])))
-        plain = [text.encode() for i, text in enumerate(texts) if i not in found]
-        rest = iter(self._by_words(plain))
+        rest = self._grouped([text.encode() for i, text in enumerate(texts) if i not in found])
         return [found[i] if i in found else next(rest) for i in range(len(texts))]
 
+    def _grouped(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts that may be cut before every space, some ``TOGETHER`` bytes at a time."""
+        start = held = 0
+        for end, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= TOGETHER or end == len(texts):
+                yield from self._by_words(texts[start:end])
+                start, held = end, 0
+
     def _by_parts(self, parts: list[list[str]]) -> list[bytes]:
         """The ids of texts that are given in parts, each but the first to have a space before it."""
         heads = [p.pop(0) for p in parts]
@@ -169,8 +179,6 @@ class Encoder:
         All texts at once: a word is looked up once, however often it occurs, and the ids are put
         together by its occurrences.  Equal words are found by their hashes and then compared.
         """
-        if not texts:
-            return []
         whole = b" " + b" ".join(texts)
         raw = np.frombuffer(whole, np.uint8)
         starts = np.flatnonzero(raw == 32)
