@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from riskframe.session import materialised
 from riskframe.sources.schema import TXN
 
+#: Text takes several times the room of Parquet, so it is compressed; a compressed file is read by one
+#: task, so its rows are bounded.
+CSV_WRITE = {"header": True, "compression": "gzip", "maxRecordsPerFile": 250_000}
+
 
 def read_transactions(
     spark: SparkSession,
@@ -116,7 +120,8 @@ def write_table(
 
     Partitioned writes are rebalanced on the partition columns first: each
     value lands in few files of the advisory size, and a value that holds a
-    large share of the rows is divided among several tasks.
+    large share of the rows is divided among several tasks.  CSV files are
+    compressed, start with a header each and hold a bounded number of rows.
     """
     spark = df.sparkSession
     out = df.hint("rebalance", *partition_by) if partition_by else df
@@ -126,7 +131,7 @@ def write_table(
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_WRITE).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}; use 'csv' or 'parquet'")
     return read_transactions(spark, path, fmt, _stored_schema(df, partition_by))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.session import materialised, shared_path
+from riskframe.sources import tables
 from riskframe.sources.schema import TXN
 from riskframe.sources.tables import read_checked, read_transactions, replace_partitions, write_table
 
@@ -40,6 +41,15 @@ def test_csv_header_must_match_the_schema(spark, cards):
         read_transactions(spark, path, "csv").agg(F.sum("Time"), F.sum("Class")).collect()
 
 
+def test_csv_files_are_compressed_and_bounded(spark, cards, monkeypatch):
+    monkeypatch.setitem(tables.CSV_WRITE, "maxRecordsPerFile", 1_000)
+    path = shared_path(spark, "csv")
+    stored = write_table(cards, path, fmt="csv")
+    per_file = stored.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert all(r["file"].endswith(".csv.gz") and r["count"] <= 1_000 for r in per_file)
+    assert same(cards, stored)
+
+
 def test_malformed_rows_are_kept_as_null_or_raise(spark):
     path = shared_path(spark, "csv")
     spark.createDataFrame([("Class,Amount",), ("1,2.5",), ("x,3.5",)], "value string").coalesce(1).write.text(path)
