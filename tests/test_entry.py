@@ -79,3 +79,15 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 def test_entry_reports_metrics(spark):
     rows = entry.entry(spark).collect()
     assert {r["metric"] for r in rows} >= {"roc_auc", "pr_auc", "tp", "fn"}
+
+
+def test_damaged_text_has_its_header_when_the_table_comes_from_a_shuffle(spark, duck):
+    # Spark puts partitions that lie on an executor, such as shuffled ones, before others in one task.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["csv_rejects"](spark, SF)
+        expected = duck.sql(ORACLE["csv_rejects"])
+        assert canonical(df.collect(), df.columns) == canonical(expected.fetchall(), expected.columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
