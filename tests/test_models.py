@@ -127,6 +127,28 @@ def test_a_search_equals_fits_of_every_setting(weighted):
         assert row["avg_metric"] == pytest.approx(total, abs=1e-9)
 
 
+def test_splits_of_a_large_training_table_do_not_grow_with_it(spark, weighted, monkeypatch):
+    monkeypatch.setattr(train, "ROWS_PER_FILE", 50)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        rows = train._training_input(weighted, ["V1", "Class"])
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        # Four files, each opened at the cost of 4 MB.
+        assert sum(sizes) == weighted.count() and max(sizes) <= 4 * 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_small_training_tables_are_spread_and_large_ones_kept(weighted, monkeypatch):
+    rows = weighted.select("V1", "Class").coalesce(2)
+    assert train._spread(rows, 3, rows.count()).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(train, "ROWS_PER_SPLIT", 1)
+    assert train._spread(rows, 3, rows.count()) is rows
+    model = train.fit_gbt(weighted, ["V1", "V14"], params={"maxIter": 2, "maxDepth": 2}, partitions=3)
+    assert score(model, weighted).count() == weighted.count()
+
+
 def test_scores_follow_from_the_table_of_nodes(weighted):
     cols = ["V1", "V4", "V14", "Amount"]
     model = train.fit_gbt(weighted, cols, params={"maxIter": 12, "maxDepth": 4, "stepSize": 0.3})
