@@ -114,3 +114,25 @@ def test_stratified_folds_broadcast_only_the_hot_keys(spark):
     df = spark.createDataFrame([(f"k{i}", i % 2) for i in range(400)] + [("hot", 0)] * 400, "key string, Class int")
     plan = sampling.stratified_folds(df, "key", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") == 1 and "Window" not in plan
+
+
+def test_stratified_folds_shuffle_hashes_instead_of_copies_of_the_keys(spark):
+    df = spark.createDataFrame([(f"k{i}", i % 2) for i in range(400)], "key string, Class int")
+    plan = sampling.stratified_folds(df, "key", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__key" not in plan and "__hash" in plan
+
+
+def test_stratified_folds_tell_keys_of_equal_hashes_apart(spark, monkeypatch):
+    def few(key, salt):
+        text = F.col(key) if isinstance(key, str) else key
+        return F.shiftleft(F.conv(F.substring(F.md5(text.cast("binary")), 1, 2), 16, 10).cast("bigint") % 5, 60)
+
+    monkeypatch.setattr(sampling, "_hash", few)
+    rows = [(f"k{i}", i % 3 % 2) for i in range(90)] * 2 + [("hot", 0)] * 300 + [(None, 1)] * 300
+    df = spark.createDataFrame(rows, "key string, Class int").repartition(3)
+    out = sampling.stratified_folds(df, "key", 3)
+    keys = {(r["Class"], r["key"], r["fold"]) for r in out.distinct().collect()}
+    assert out.count() == len(rows) and len(keys) == len({key[:2] for key in keys}) == 92
+    for label in (0, 1):
+        sizes = [sum(key[::2] == (label, fold) for key in keys) for fold in range(3)]
+        assert max(sizes) - min(sizes) <= 1
