@@ -2,10 +2,12 @@
 
 The neighbours are exact.  Positives of equal features form one point, which keeps only as many keys as
 can ever be returned.  The points are cut by a k-d tree into leaves of at most ``LEAF`` points: every
-level is one aggregate per open node (range and approximate median of each feature), and a node is cut
-at the median of its widest feature.  A point first meets the points of its own leaf; the distance of
-the last neighbour found there is its reach.  Then the points descend the tree level by level, by joins
-on the node's number, into boxes within their reach only, and meet the points of the leaves they get to.
+level is one aggregate per open node (the range of each feature) and one of its widest feature alone,
+at whose approximate quartiles the node is cut into up to ``WAYS`` others.  A leaf's points are kept in
+one row.  A point first meets the points of its own leaf; the distance of the last neighbour found there
+is its reach.  Then the leaves, not the points, descend the tree level by level, by joins on the node's
+number, into boxes within the reach of any of their points; a point meets the points of those leaves
+whose box lies within its own reach, and sends on only what lies within it as well.
 All pairs meet only where boxes exclude nothing, as with many features of equal spread; ``visits`` tells
 the share of leaves that were met.  The tree is a table like any other: nothing of it is collected.
 
@@ -28,13 +30,17 @@ from riskframe.sources.schema import LABEL, OVERSAMPLING
 
 NEIGHBOURS = 5
 LEAF = 128
+#: Parts that a node is cut into at most.
+WAYS = 4
+#: The number of a level's first node is that of the level times so much.
+LEVEL = 1 << 56
 #: Places on the way from a positive to its neighbour.
 PLACES = 1 << 31
 
 
 @dataclass
 class Leaves:
-    """``points (point, x, keys, node)`` and ``boxes (node, n, low, high, cut)`` of all nodes."""
+    """``points (point, x, keys, node)`` and ``boxes (node, parent, n, low, high, cut)`` of all nodes."""
 
     points: DataFrame
     boxes: DataFrame
@@ -47,84 +53,91 @@ def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)
 
 
-def _to_box(x: Column, low: Column, high: Column) -> Column:
-    """Squared distance to a box; rounded like the distance to a point of it, so never beyond that."""
-    sides = F.arrays_zip(x.alias("x"), low.alias("low"), high.alias("high"))
-    gap = F.transform(sides, lambda s: F.greatest(s["low"] - s["x"], F.lit(0.0), s["x"] - s["high"]))
+def _apart(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    """Squared distance of two boxes; rounded like that of points of them, so never beyond it."""
+    sides = F.arrays_zip(low.alias("a"), high.alias("b"), other_low.alias("c"), other_high.alias("d"))
+    gap = F.transform(sides, lambda s: F.greatest(s["c"] - s["b"], F.lit(0.0), s["a"] - s["d"]))
     return F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g)
 
 
 def _nodes(active: DataFrame, leaf: int) -> DataFrame:
-    """One row per node: its size, its box, and the feature and value to cut it at (null: a leaf)."""
-    long = active.select("node", F.posexplode("x").alias("feature", "v"))
+    """One row per node: its size, its box, and the feature and values to cut it at (null: a leaf)."""
+    long = active.select("node", "parent", F.posexplode("x").alias("feature", "v"))
     per = long.groupBy("node", "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.percentile_approx("v", 0.5, 1000).alias("middle"),
+        F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
-    # A cut below the largest value leaves points on both sides; half of them or more may share it.
-    widest = F.max_by(F.struct("feature", "middle", "low", "high"), F.struct(F.col("high") - F.col("low"), -F.col("feature")))
+    widest = F.max_by(F.struct("feature", "low", "high"), F.struct(F.col("high") - F.col("low"), -F.col("feature")))
     rows = per.groupBy("node").agg(
+        F.first("parent").alias("parent"),
         F.first("n").alias("n"),
         F.array_sort(F.collect_list(F.struct("feature", "low", "high"))).alias("sides"),
         widest.alias("widest"),
     )
+    rows = materialised(rows)
+    wide = rows.filter(F.col("n") > leaf).select(F.col("node").alias("own"), F.col("widest.feature").alias("feature"))
+    steps = [i / WAYS for i in range(1, WAYS)]
+    steps = F.percentile_approx(F.col("x")[F.col("feature")], steps, 1000).alias("steps")
+    cuts = active.join(wide, F.col("node") == F.col("own")).groupBy("own").agg(steps)
+    # A cut below the largest value leaves points on both sides; half of them or more may share it.
     half = F.col("widest.low") / 2 + F.col("widest.high") / 2
-    below = F.coalesce(
-        *[F.when(c < F.col("widest.high"), c) for c in (F.col("widest.middle"), half)], F.col("widest.low")
+    lone = F.array(F.when(half < F.col("widest.high"), half).otherwise(F.col("widest.low")))
+    below = F.array_distinct(F.filter("steps", lambda v: v < F.col("widest.high")))
+    at = F.when(F.size(below) > 0, below).otherwise(lone)
+    cut = F.when(F.col("n") > leaf, F.struct(F.col("widest.feature").alias("feature"), at.alias("at")))
+    return rows.join(cuts, F.col("node") == F.col("own"), "left").select(
+        "node", "parent", "n", F.col("sides.low").alias("low"), F.col("sides.high").alias("high"), cut.alias("cut")
     )
-    cut = F.when(F.col("n") > leaf, F.struct(F.col("widest.feature").alias("feature"), below.alias("at")))
-    return rows.select("node", "n", F.col("sides.low").alias("low"), F.col("sides.high").alias("high"), cut.alias("cut"))
 
 
 def leaves(points: DataFrame, leaf: int = LEAF) -> Leaves:
     """Cut ``points (point, x, keys)`` with distinct ``x`` until no leaf holds more than ``leaf``."""
-    active = materialised(points.withColumn("node", F.lit(1).cast("bigint")))
+    none = F.lit(None).cast("bigint")
+    active = materialised(points.withColumns({"node": F.lit(0).cast("bigint"), "parent": none}))
     settled, boxes = [], []
     while True:
-        boxes.append(materialised(_nodes(active, leaf)))
-        cut = boxes[-1].select(F.col("node").alias("own"), "cut")
+        # Numbered as they are stored, so that a node's parts are numbers that no other node's have.
+        numbered = _nodes(active, leaf).withColumn("place", F.monotonically_increasing_id())
+        boxes.append(materialised(numbered))
+        cut = boxes[-1].select(F.col("node").alias("own"), "cut", "place")
         placed = active.join(cut, F.col("node") == F.col("own")).drop("own")
-        settled.append(placed.filter("cut is null").drop("cut"))
+        settled.append(placed.filter("cut is null").select("point", "x", "keys", "node"))
         if boxes[-1].filter("cut is not null").isEmpty():
             break
-        right = F.col("x")[F.col("cut.feature")] > F.col("cut.at")
-        further = placed.filter("cut is not null").withColumn("node", 2 * F.col("node") + right.cast("bigint"))
-        active = materialised(further.drop("cut"))
-    return Leaves(
-        materialised(reduce(DataFrame.unionByName, settled)), reduce(DataFrame.unionByName, boxes), len(boxes)
+        value = F.col("x")[F.col("cut.feature")]
+        part = F.size(F.filter("cut.at", lambda v: value > v))
+        further = placed.filter("cut is not null").withColumns(
+            {"parent": F.col("node"), "node": F.lit(len(boxes) * LEVEL) + F.col("place") * WAYS + part}
+        )
+        active = materialised(further.select("point", "x", "keys", "node", "parent"))
+    return Leaves(reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, boxes), len(boxes))
+
+
+def _nearest(x: Column, members: Column, k: int, reach: Column | None = None) -> Column:
+    """The first ``k + 1`` keys ``(d, key, x)`` of the points in ``members``, by distance and key."""
+    met = F.transform(members, lambda m: F.struct(squared_distance(x, m["x"]).alias("d"), m["x"].alias("x"), m["keys"].alias("keys")))
+    if reach is not None:
+        met = F.filter(met, lambda m: m["d"] <= reach)
+    each = F.transform(
+        met, lambda m: F.transform(m["keys"], lambda key: F.struct(m["d"].alias("d"), key.alias("key"), m["x"].alias("x")))
     )
+    return F.slice(F.array_sort(F.flatten(each)), 1, k + 1)
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The first ``k + 1`` of ``pairs (point, d, key)``, by distance and key."""
-    order = Window.partitionBy("point").orderBy("d", "key")
-    return pairs.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
-
-
-def _met(points: DataFrame, others: DataFrame) -> DataFrame:
-    """Distances of ``points (point, x, node)`` to the keys in their nodes."""
-    there = others.select(F.col("node").alias("at"), F.col("x").alias("y"), F.col("keys").alias("found"))
-    met = points.join(there, F.col("node") == F.col("at"))
-    return met.select("point", squared_distance(F.col("x"), F.col("y")).alias("d"), "found")
-
-
-def _visits(tree: Leaves, reach: DataFrame) -> DataFrame:
-    """The leaves ``(point, x, reach, node)`` other than its own that lie within a point's reach."""
-    waiting = reach.withColumns({"home": F.col("node"), "node": F.lit(1).cast("bigint")})
-    arrived = []
-    boxes = tree.boxes.select(F.col("node").alias("at"), "low", "high", F.col("cut").isNull().alias("leaf"))
-    for level in range(tree.levels):
-        # Nodes of a level are numbered from 2^level on, so a level's boxes are a range of the table.
-        own = boxes.filter(F.col("at").between(1 << level, (1 << level + 1) - 1))
-        near = waiting.join(own, F.col("node") == F.col("at"))
-        within = F.col("reach").isNull() | (_to_box(F.col("x"), F.col("low"), F.col("high")) <= F.col("reach"))
-        near = materialised(near.filter(within).drop("at", "low", "high"))
-        arrived.append(near.filter("leaf and node <> home").drop("leaf"))
-        waiting = near.filter("not leaf").drop("leaf").withColumn(
-            "node", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1))
-        )
+def _near_leaves(tree: Leaves, reach: DataFrame) -> DataFrame:
+    """``(home, node, low, high)``: the other leaves within reach of a leaf's box, by ``reach (home, reach)``."""
+    boxes = tree.boxes.select(F.col("node").alias("at"), F.col("parent").alias("up"), "low", "high", F.col("cut").isNull().alias("leaf"))
+    homes = boxes.filter("leaf").select(F.col("at").alias("own"), F.col("low").alias("own_low"), F.col("high").alias("own_high"))
+    waiting = materialised(
+        homes.join(reach, F.col("own") == F.col("home")).drop("own").withColumn("node", F.lit(0).cast("bigint"))
+    )
+    arrived = [boxes.limit(0).select(F.col("up").alias("home"), F.col("at").alias("node"), "low", "high")]
+    for level in range(1, tree.levels):
+        own = boxes.filter((F.col("at") >= level * LEVEL) & (F.col("at") < (level + 1) * LEVEL))
+        near = waiting.join(own, F.col("node") == F.col("up"))
+        within = _apart(*(F.col(c) for c in ("own_low", "own_high", "low", "high"))) <= F.col("reach")
+        near = materialised(near.filter(within).drop("node", "up").withColumnRenamed("at", "node"))
+        arrived.append(near.filter("leaf and node <> home").select("home", "node", "low", "high"))
+        waiting = near.filter("not leaf").drop("leaf", "low", "high")
     return reduce(DataFrame.unionByName, arrived)
 
 
@@ -161,33 +174,46 @@ def nearest_neighbours(
         raise ValueError("k and leaf must be at least 1")
     points = materialised(_points(df, key, features, k).withColumn("point", F.monotonically_increasing_id()))
     tree = leaves(points, leaf)
-    near = tree.points.select("point", "x", "node")
-    inside = _met(near, tree.points).select("point", "d", F.explode("found").alias("key"))
-    first = materialised(_nearest(inside, k))
+    # A leaf's points are one row: at most `leaf` of them.
+    members = materialised(tree.points.groupBy("node").agg(F.collect_list(F.struct("point", "x", "keys")).alias("members")))
+    inside = members.select("node", "members", F.explode("members").alias("own")).select(
+        "node", "own.point", "own.x", "own.keys", _nearest(F.col("own.x"), F.col("members"), k).alias("best")
+    )
     # Fewer than k + 1 keys in its own leaf: any leaf may hold a neighbour.
-    limit = first.groupBy("point").agg(F.max(F.when(F.col("i") == k + 1, F.col("d"))).alias("reach"))
-    visits = materialised(_visits(tree, near.join(limit, "point")))
-    more = _met(visits, tree.points).select("point", "d", F.explode("found").alias("key"))
-    best = materialised(_nearest(first.drop("i").unionByName(more), k).drop("i"))
-
-    owners = tree.points.select("point", "x")
-    spread = points.select("x", F.explode("keys").alias("key"))
-    listed = best.join(spread.withColumnRenamed("x", "y"), "key").groupBy("point").agg(
-        F.array_sort(F.collect_list(F.struct("d", "key", F.col("y").alias("x")))).alias("all")
+    last = F.coalesce(F.get(F.col("best"), F.lit(k))["d"], F.lit(float("inf")))
+    own = materialised(inside.withColumn("reach", last))
+    near = materialised(_near_leaves(tree, own.groupBy(F.col("node").alias("home")).agg(F.max("reach").alias("reach"))))
+    met = own.select("point", "x", "reach", F.col("node").alias("from")).join(near, F.col("from") == F.col("home"))
+    zero = _apart(F.col("x"), F.col("x"), F.col("low"), F.col("high"))
+    visits = met.filter(zero <= F.col("reach")).select("point", "x", "reach", "node")
+    there = members.withColumnRenamed("node", "at")
+    found = visits.join(there, F.col("node") == F.col("at")).select(
+        F.col("point").alias("of"), _nearest(F.col("x"), F.col("members"), k, F.col("reach")).alias("some")
+    )
+    more = materialised(
+        found.filter(F.size("some") > 0).groupBy("of").agg(F.flatten(F.collect_list("some")).alias("more"))
     )
+    both = F.array_sort(F.concat("best", F.coalesce("more", F.slice("best", 1, 0))))
+    listed = own.join(more, F.col("point") == F.col("of"), "left").select(
+        "x", "keys", F.slice(both, 1, k + 1).alias("all")
+    )
+
+    others = F.slice(F.filter("all", lambda e: e["key"] != F.col("key")), 1, k).alias("neighbours")
+    whole = listed.filter(F.size("keys") <= k).select("x", F.explode("keys").alias("key"), "all")
+    # Such a point may have more keys than it keeps.
+    full = listed.filter(F.size("keys") > k).select("x", "all")
     x = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
     rows = df.select(F.col(key).cast("string").alias("key"), x.alias("x")).filter("key is not null").distinct()
-    others = F.filter("all", lambda e: e["key"] != F.col("key"))
-    found = rows.join(owners.join(listed, "point"), "x").select("key", "x", F.slice(others, 1, k).alias("neighbours"))
+    owners = whole.select("key", "x", others).unionByName(rows.join(full, "x").select("key", "x", others))
     count = tree.boxes.filter("cut is null").agg(F.count(F.lit(1)).alias("leaves"))
-    met = visits.agg(F.count(F.lit(1)).alias("elsewhere"))
+    elsewhere = visits.agg(F.count(F.lit(1)).alias("elsewhere"))
     total = points.agg(F.count(F.lit(1)).alias("points"))
     report = total.select(
         "points",
         count.scalar().alias("leaves"),
-        (F.col("points") + met.scalar()).alias("visited"),
+        (F.col("points") + elsewhere.scalar()).alias("visited"),
     )
-    return Neighbours(found, report)
+    return Neighbours(owners, report)
 
 
 def smote(

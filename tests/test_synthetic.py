@@ -113,3 +113,24 @@ def test_no_cross_join_and_no_python(spark):
     plan = synthetic.smote(df, "id", FEATURES, k=2)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
         assert operator not in plan
+
+
+def test_leaves_descend_a_shallow_tree_in_place_of_points(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(f"k{i}", rng.random(), rng.random(), 0.0, 1) for i in range(1000)], SCHEMA)
+    points = synthetic._points(df, "id", FEATURES, 5).withColumn("point", F.monotonically_increasing_id())
+    tree = synthetic.leaves(points, 10)
+    sizes = [r["count"] for r in tree.points.groupBy("node").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 10
+    # Cut in halves, a thousand points need seven cuts.
+    assert tree.levels <= 6
+    boxes = [r for r in tree.boxes.collect() if r["cut"] is None]
+    assert len(boxes) == len({r["node"] for r in boxes}) == len(sizes)
+    reach = spark.createDataFrame([(r["node"], 0.002) for r in boxes], "home long, reach double")
+    found = {(r["home"], r["node"]) for r in synthetic._near_leaves(tree, reach).collect()}
+
+    def apart(a, b):
+        gaps = (max(b["low"][i] - a["high"][i], 0.0, a["low"][i] - b["high"][i]) for i in range(3))
+        return sum(g * g for g in gaps)
+
+    assert found == {(a["node"], b["node"]) for a in boxes for b in boxes if a is not b and apart(a, b) <= 0.002}
