@@ -140,6 +140,12 @@ def test_splits_of_a_large_training_table_do_not_grow_with_it(spark, weighted, m
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_split_of_a_large_training_table_holds_at_most_two_spread_parts(spark):
+    rows = train._training_input(spark.range(2_400_000), ["id"])
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_400_000 and max(sizes) <= 2 * train.ROWS_PER_SPLIT
+
+
 def test_small_training_tables_are_spread_and_large_ones_kept(weighted, monkeypatch):
     rows = weighted.select("V1", "Class").coalesce(2)
     assert train._spread(rows, 3, rows.count()).rdd.getNumPartitions() == 3
