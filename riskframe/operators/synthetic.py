@@ -17,7 +17,7 @@ partitioning gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -112,15 +112,33 @@ def leaves(points: DataFrame, leaf: int = LEAF) -> Leaves:
     return Leaves(reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, boxes), len(boxes))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _nearest(x: Column, members: Column, k: int, reach: Column | None = None) -> Column:
-    """The first ``k + 1`` keys ``(d, key, x)`` of the points in ``members``, by distance and key."""
+    """The first ``k + 1`` keys ``(d, key, x)`` of the points in ``members``, by distance and key.
+
+    A point has a key at least, so they lie no farther than the ``k + 1``-th point; only the keys of points
+    up to there are spelt out and sorted.
+    """
     met = F.transform(members, lambda m: F.struct(squared_distance(x, m["x"]).alias("d"), m["x"].alias("x"), m["keys"].alias("keys")))
     if reach is not None:
         met = F.filter(met, lambda m: m["d"] <= reach)
-    each = F.transform(
-        met, lambda m: F.transform(m["keys"], lambda key: F.struct(m["d"].alias("d"), key.alias("key"), m["x"].alias("x")))
-    )
-    return F.slice(F.array_sort(F.flatten(each)), 1, k + 1)
+
+    def keys_to(met: Column, last: Column) -> Column:
+        each = F.transform(
+            F.filter(met, lambda m: m["d"] <= last),
+            lambda m: F.transform(m["keys"], lambda key: F.struct(m["d"].alias("d"), key.alias("key"), m["x"].alias("x"))),
+        )
+        return F.slice(F.sort_array(F.flatten(each)), 1, k + 1)
+
+    def first(met: Column) -> Column:
+        last = F.coalesce(F.get(F.sort_array(met["d"]), F.lit(k)), F.lit(float("inf")))
+        return _with(last, lambda last: keys_to(met, last))
+
+    return _with(met, first)
 
 
 def _near_leaves(tree: Leaves, reach: DataFrame) -> DataFrame:
@@ -174,8 +192,9 @@ def nearest_neighbours(
         raise ValueError("k and leaf must be at least 1")
     points = materialised(_points(df, key, features, k).withColumn("point", F.monotonically_increasing_id()))
     tree = leaves(points, leaf)
-    # A leaf's points are one row: at most `leaf` of them.
-    members = materialised(tree.points.groupBy("node").agg(F.collect_list(F.struct("point", "x", "keys")).alias("members")))
+    # A leaf's points are one row: at most `leaf` of them.  Small parts are not merged, for their leaves take long.
+    dealt = tree.points.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    members = materialised(dealt.groupBy("node").agg(F.collect_list(F.struct("point", "x", "keys")).alias("members")))
     inside = members.select("node", "members", F.explode("members").alias("own")).select(
         "node", "own.point", "own.x", "own.keys", _nearest(F.col("own.x"), F.col("members"), k).alias("best")
     )
@@ -193,7 +212,7 @@ def nearest_neighbours(
     more = materialised(
         found.filter(F.size("some") > 0).groupBy("of").agg(F.flatten(F.collect_list("some")).alias("more"))
     )
-    both = F.array_sort(F.concat("best", F.coalesce("more", F.slice("best", 1, 0))))
+    both = F.sort_array(F.concat("best", F.coalesce("more", F.slice("best", 1, 0))))
     listed = own.join(more, F.col("point") == F.col("of"), "left").select(
         "x", "keys", F.slice(both, 1, k + 1).alias("all")
     )

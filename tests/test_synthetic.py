@@ -46,6 +46,16 @@ def test_neighbours_equal_brute_force_with_ties_and_equal_rows(spark, values, k,
     assert len(found) == len(expected)
 
 
+@pytest.mark.parametrize("k, reach", [(1, None), (2, None), (2, 1.0), (9, None)])
+def test_only_keys_as_near_as_the_last_wanted_point_are_sorted(spark, k, reach):
+    points = [([2.0], ["f"]), ([1.0], ["d", "e"]), ([0.0], ["c"]), ([-1.0], ["a", "b"]), ([5.0], ["g"])]
+    df = spark.createDataFrame([([0.0], points)], "x array<double>, members array<struct<x: array<double>, keys: array<string>>>")
+    out = df.select(synthetic._nearest(F.col("x"), F.col("members"), k, None if reach is None else F.lit(reach)).alias("best"))
+    near = sorted((x[0] ** 2, key) for x, keys in points for key in keys if reach is None or x[0] ** 2 <= reach)
+    assert [(n["d"], n["key"]) for n in out.first()["best"]] == near[: k + 1]
+    assert "array_sort" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_bounds_leave_most_leaves_unvisited(spark):
     rng = random.Random(4)
     centres = [(100.0 * i, 50.0 * (i % 7)) for i in range(40)]
