@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator, Sequence
 from itertools import chain, filterfalse, islice
+from string import punctuation
 
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 CACHE_WORDS = 500_000
 JOINED = 64
+#: Runs of punctuation whose ids are kept.
+STOPS = 10_000
 #: Bytes of text whose words are looked up at once; that takes some 50 times as much memory.
 TOGETHER = 500_000
 
@@ -22,10 +25,14 @@ _LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Byte-level models name a byte by its own character where that prints, by one from 256 on where not.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _AS_PRINTED = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_PRINTED = "".join(chr(_AS_PRINTED.get(b, b)) for b in range(256))
 _BASE, _ONE = np.uint64(0x100000001B3), np.uint64(1)
+#: 1 divided by ``_BASE``, modulo 2 ** 64.
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _HEAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = chr(_AS_PRINTED[32])
 _encoders: dict[str, Encoder] = {}
+_kept_powers: dict[np.uint64, np.ndarray] = {}
 
 
 def default_path() -> str:
@@ -34,6 +41,15 @@ def default_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """At least the first ``n`` powers, kept for the next call."""
+    if base not in _kept_powers or len(_kept_powers[base]) < n:
+        powers = np.full(n, base)
+        powers[0] = 1
+        _kept_powers[base] = np.cumprod(powers, dtype=np.uint64)
+    return _kept_powers[base]
+
+
 def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One encoder per worker process and file; the cache's bound is that of the latest call."""
     if path not in _encoders:
@@ -52,7 +68,7 @@ class Encoder:
     encoded by the tokenizer once while it stays in the cache.  A part without inner white space is
     encoded together with many others, a newline apart, since a newline between words is always one
     id of its own; any other part is encoded by itself.  Words of letters alone, which are one
-    pre-token each, go to the tokenizer's model directly, and full stops and commas after them apart.
+    pre-token each, go to the tokenizer's model directly, and punctuation after them, one more, apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,6 +83,7 @@ class Encoder:
         self._special = {t.content: np.asarray([i], "<u4").tobytes() for i, t in added.items()}
         names = sorted(self._special, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
+        self._id = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._known_stops: dict[str, bytes] = {"": b""}
         self._line = self._whole("\n")
         (self._newline,) = np.frombuffer(self._line, "<u4")
@@ -80,15 +97,19 @@ class Encoder:
     def _letters(self, lead: str, word: str) -> bytes:
         """Letters, with or without a space before them, are one pre-token: the model's own input."""
         if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_AS_PRINTED)
-        if lead:
-            word = _SPACE + word
-        return array("I", [part.id for part in self._model.tokenize(word)]).tobytes()
+            word = charmap_decode(word.encode(), "strict", _PRINTED)[0]
+        parts = self._model.tokenize(_SPACE + word if lead else word)
+        if len(parts) == 1:
+            return self._id[parts[0].id]
+        return b"".join([self._id[part.id] for part in parts])
 
     def _stops(self, stops: str) -> bytes:
-        if stops not in self._known_stops:
-            self._known_stops[stops] = self._whole(stops)
-        return self._known_stops[stops]
+        ids = self._known_stops.get(stops)
+        if ids is None:
+            ids = self._whole(stops)
+            if len(self._known_stops) < STOPS:
+                self._known_stops[stops] = ids
+        return ids
 
     def _fill(self, cache: dict[str, bytes], lists: list[list[str]], lead: str, keep: Sequence[list[str]] = ()) -> None:
         """Have ``cache`` hold all words of ``lists``, each encoded with ``lead`` before it; those of ``keep`` stay."""
@@ -100,11 +121,15 @@ class Encoder:
             cache.clear()
             cache.update(kept)
         plain, lines = [], []
+        letters = self._letters
         for word in missing:
-            stem = word.rstrip(".,")
+            if word.isalpha():
+                cache[word] = letters(lead, word)
+                continue
+            stem = word.rstrip(punctuation)
             if stem.isalpha():
-                ids = cache.get(stem) or self._letters(lead, stem)
-                cache[word] = ids if stem is word else ids + self._stops(word[len(stem) :])
+                ids = cache.get(stem) or letters(lead, stem)
+                cache[word] = ids + self._stops(word[len(stem) :])
             elif "\n" in word and _LINES.fullmatch(word):
                 lines.append(word)
             elif not word or _BLANK.search(word):
@@ -185,29 +210,42 @@ class Encoder:
         sizes = np.diff(np.append(starts, len(raw)))
         counts = np.fromiter((text.count(b" ") + 1 for text in texts), np.int64, len(texts))
         firsts = np.cumsum(counts) - counts
-        powers = np.full(int(sizes.max()), _BASE)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        inside = np.arange(len(raw)) - np.repeat(starts, sizes)
-        hashed = np.add.reduceat((raw + _ONE) * powers[inside], starts)
+        # A word's hash adds up its bytes by powers of their places, and is brought back to the word's start.
+        hashed = raw + _ONE
+        hashed *= _powers(_BASE, len(raw))[: len(raw)]
+        hashed = np.add.reduceat(hashed, starts) * _powers(_UNBASE, len(raw))[starts]
         hashed ^= sizes.astype(np.uint64) << np.uint64(48)
         hashed[firsts] ^= _HEAD
         distinct, shown, which = np.unique(hashed, return_index=True, return_inverse=True)
         head = np.zeros(len(starts), bool)
         head[firsts] = True
-        if (sizes != sizes[shown][which]).any() or (head != head[shown][which]).any() or (
-            raw != raw[inside + np.repeat(starts[shown][which], sizes)]
-        ).any():
+        there = np.repeat(starts[shown][which] - starts, sizes)
+        there += np.arange(len(raw))
+        if (sizes != sizes[shown][which]).any() or (head != head[shown][which]).any() or (raw != raw[there]).any():
             return self._by_parts([text.decode().split(" ") for text in texts])
-        ends = (starts + sizes)[shown].tolist()
-        words = [whole[start:end].decode() for start, end in zip((starts[shown] + 1).tolist(), ends)]
-        opening = head[shown]
-        values = [b""] * len(words)
-        for cache, lead, at in ((self._first, "", np.flatnonzero(opening)), (self._spaced, " ", np.flatnonzero(~opening))):
-            own = [words[i] for i in at.tolist()]
-            self._fill(cache, [own], lead)
-            for i, word in zip(at.tolist(), own):
-                values[i] = cache[word]
+        del there
+        # The words that open a text first, then those with a space before them.
+        order = np.argsort(~head[shown], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        which, shown = place[which], shown[order]
+        lows, highs = starts[shown] + 1, (starts + sizes)[shown]
+        text = whole.decode()
+        if len(text) < len(raw):
+            # Characters before a byte.
+            before = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+            lows, highs = before[lows], before[highs]
+        words = [text[low:high] for low, high in zip(lows.tolist(), highs.tolist())]
+        opening = int(head[shown].sum())
+        values = []
+        for cache, lead, own in ((self._first, "", words[:opening]), (self._spaced, " ", words[opening:])):
+            known = list(map(cache.get, own))
+            gaps = [i for i, ids in enumerate(known) if ids is None]
+            fresh = [own[i] for i in gaps]
+            self._fill(cache, [fresh], lead)
+            for i, word in zip(gaps, fresh):
+                known[i] = cache[word]
+            values += known
         flat = np.frombuffer(b"".join(values), "<u4")
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         begins = np.cumsum(lengths) - lengths

@@ -33,6 +33,25 @@ def test_encoder_equals_the_tokenizer_on_any_white_space(plain):
         assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
 
 
+def test_long_texts_of_wide_characters_equal_the_tokenizer(plain):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abé中😀\n.,1", k=rng.randint(0, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (200_000, 1, 20, 50_000)]
+    for text, ids in zip(texts, encoder(default_path()).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(text)
+
+
+def test_punctuation_after_a_known_word_needs_no_encoding_of_the_word(plain, monkeypatch):
+    own, tails = Encoder(default_path()), ["$$$", "!", ".***", "'", "%'&", ",,", ")\"", "<|", "_"]
+    texts = [f"Haus zz{tail} zz été{tail}" for tail in tails]
+    own.encode(["Haus zz été zz été Haus"])
+    encoded, whole = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda text: encoded.append(text) or whole(text))
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
+    assert sorted(encoded) == sorted(tails)
+
+
 def test_a_small_cache_changes_nothing(plain):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdé.,", k=rng.randint(1, 5))) for _ in range(400)]
