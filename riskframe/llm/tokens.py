@@ -42,12 +42,16 @@ def default_path() -> str:
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """At least the first ``n`` powers, kept for the next call."""
-    if base not in _kept_powers or len(_kept_powers[base]) < n:
-        powers = np.full(n, base)
-        powers[0] = 1
-        _kept_powers[base] = np.cumprod(powers, dtype=np.uint64)
-    return _kept_powers[base]
+    """At least the first ``n`` powers, kept for the next call unless a long text needs more of them."""
+    kept = _kept_powers.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept
+    powers = np.full(max(n, 2 * TOGETHER), base)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    if n <= 2 * TOGETHER:
+        _kept_powers[base] = powers
+    return powers
 
 
 def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskframe.llm import packing, tokenfiles
+from riskframe.llm import packing, tokenfiles, tokens
 from riskframe.llm.queries import op1_packing, op6_token_files
 from riskframe.llm.tokens import Encoder, default_path, encoder
 from riskframe.session import shared_path
@@ -52,6 +52,14 @@ def test_punctuation_after_a_known_word_needs_no_encoding_of_the_word(plain, mon
     assert sorted(encoded) == sorted(tails)
 
 
+def test_powers_for_a_long_text_are_not_kept():
+    n = 2 * tokens.TOGETHER + 1
+    powers = tokens._powers(tokens._BASE, n)
+    assert len(powers) >= n and len(tokens._powers(tokens._BASE, 10)) == 2 * tokens.TOGETHER
+    undone = powers[:10] * tokens._powers(tokens._UNBASE, 10)[:10]
+    assert (undone == 1).all()
+
+
 def test_a_small_cache_changes_nothing(plain):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdé.,", k=rng.randint(1, 5))) for _ in range(400)]
