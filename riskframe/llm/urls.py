@@ -231,10 +231,13 @@ def score(urls: DataFrame, model: Ratio, url_col: str) -> DataFrame:
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select(F.col("__url").alias("url")).distinct().repartitionByRange(parts, "url").sortWithinPartitions("url")
     chunks = materialised(ordered.mapInArrow(_chunked, "chunk long, url string"))
-    found = chunks.mapInArrow(_asked, "chunk long, key long").join(model.table, "key").select("chunk", "key", "no", "yes")
+    # Merged: by size estimates a chunk's keys are no larger than its URLs, so Spark would send many times its
+    # limit through the driver.
+    asked = chunks.mapInArrow(_asked, "chunk long, key long").hint("merge")
+    found = asked.join(model.table, "key").select("chunk", "key", "no", "yes")
     scored = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_answered, "url string, score double")
     own = scored.withColumnRenamed("url", "__scored")
-    return rows.join(own, F.col("__url") == F.col("__scored"), "left").select(*kept, "score")
+    return rows.join(own.hint("merge"), F.col("__url") == F.col("__scored"), "left").select(*kept, "score")
 
 
 def judge(

@@ -176,6 +176,16 @@ def test_url_scores_equal_a_model_of_plain_dictionaries(spark):
         assert (r["score"] >= model.cut) == r["ok"]
 
 
+def test_url_lookups_do_not_pass_through_the_driver(spark):
+    # A chunk asks for many times the bytes that its URLs have, so a small table is no sign of a small answer.
+    frame = spark.createDataFrame([(f"http://h{i % 2}.org/{i}", i % 2 == 0) for i in range(100)], "url string, ok boolean")
+    scored = urls.score(frame, urls.fit(frame, "url", "ok"), "url")
+    assert scored.count() == 100
+    for plan in (scored, scored.groupBy("ok").count()):
+        plan.collect()
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_url_models_keep_every_context(spark):
     # More than 2^20 contexts and symbols, nearly all of them seen once.
     rng = np.random.default_rng(4)
