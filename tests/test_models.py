@@ -1,10 +1,11 @@
 import duckdb
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import positive_probability
-from riskframe.operators import drift, evaluate, features, sampling, train, weights
+from riskframe.operators import boost, drift, evaluate, features, sampling, train, weights
 from riskframe.operators.score import decide, score
 from riskframe.plans.baseline import baseline
 from riskframe.plans.explore import explore
@@ -127,6 +128,34 @@ def test_a_search_equals_fits_of_every_setting(weighted):
         assert row["avg_metric"] == pytest.approx(total, abs=1e-9)
 
 
+@pytest.mark.parametrize("collected", [1, 32])
+def test_fits_side_by_side_share_their_passes_and_equal_mllib(weighted, monkeypatch, collected):
+    cols, passes, total = ["V1", "V4", "V14", "Amount"], [], boost._total
+    monkeypatch.setattr(boost, "_total", lambda found, parts: passes.append(parts) or total(found, parts))
+    monkeypatch.setattr(boost, "COLLECTED", collected)  # with one, three partitions are summed by a shuffle
+    settings = [{"maxIter": 3, "maxDepth": 2, "stepSize": 0.3}, {"maxIter": 2, "maxDepth": 3, "stepSize": 0.1}]
+    *stages, trees = train.gbt_pipeline(cols).getStages()
+    features_model = Pipeline(stages=stages).fit(weighted)
+    models = train._boosted(features_model, weighted.repartition(3), trees, settings)
+    assert len(passes) == 3 + 3 + 2 + 1  # the levels of each tree's deepest fit, and the last leaves
+    for model, setting in zip(models, settings):
+        assert model.getNumTrees == setting["maxIter"] and model.getMaxDepth() == setting["maxDepth"]
+        found = train.tree_nodes(PipelineModel([*features_model.stages, model]))
+        own = train.tree_nodes(train.gbt_pipeline(cols, params=setting).fit(weighted))
+        found, own = ([tuple(r) for r in nodes.na.fill(-1).orderBy("tree", "node").collect()] for nodes in (found, own))
+        assert len(found) == len(own)
+        for a, b in zip(found, own):
+            assert a == pytest.approx(b, rel=1e-6, abs=1e-9)
+
+
+def test_rows_that_cannot_be_fitted_are_refused(spark):
+    rows = [(1.0, 0, 1.0), (2.0, 1, 1.0)]
+    for bad in ((3.0, 2, 1.0), (3.0, None, 1.0), (3.0, 1, -1.0), (3.0, 1, None)):
+        df = spark.createDataFrame([*rows, bad], "V1 double, Class int, classWeight double")
+        with pytest.raises(ValueError, match="1 of 3 rows"):
+            train.fit_gbt(df, ["V1"], params={"maxIter": 1}, partitions=1)
+
+
 def test_splits_of_a_large_training_table_do_not_grow_with_it(spark, weighted, monkeypatch):
     monkeypatch.setattr(train, "ROWS_PER_FILE", 50)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
